@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, token_output
+from . import decontamination, mixing, ngram_jaccard, quality_rules, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,26 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+multi AS (SELECT g FROM sh GROUP BY g HAVING count(*) > 1),
+s2 AS (SELECT sh.doc_id, g FROM sh JOIN multi USING (g)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s2 a JOIN s2 b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, reach.c FROM reach JOIN e ON e.x = reach.doc_id WHERE reach.c < e.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(c) FROM reach r WHERE r.doc_id = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return token_output.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
 
@@ -85,7 +105,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_token_output": op7_token_output,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL}
