@@ -10,6 +10,7 @@ extra input columns are ignored by ``judge`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,9 @@ BOILERPLATE = (
 )
 
 
+_PHRASES = "(?i)" + "|".join(re.escape(p) for p in BOILERPLATE)
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Thresholds, in percent unless they say otherwise."""
@@ -44,25 +48,18 @@ def _count(text: Column, *marks: str) -> Column:
     return (F.length(text) - F.length(bare)) / len(marks[0])
 
 
-def _known(text: Column) -> Column:
-    small, known = F.lower(text), F.lit(False)
-    for phrase in BOILERPLATE:
-        known = known | F.contains(small, F.lit(phrase))
-    return known
-
-
-def line_fails(line: Column, rules: LineRules, marked: Column | None = None, known: Column | None = None) -> Column:
+def line_fails(line: Column, rules: LineRules) -> Column:
     """Punctuation, navigation and boilerplate rules of one line; a blank line passes.
 
-    Words are counted by their separators (spaces and tabs). marked and known: whether the whole
-    text has any mark or phrase, so that lines of other texts need no look."""
+    Words are counted by their separators (spaces and tabs). One search decides whether a line has
+    anything to count. (A test of the whole text outside the lambda would be inlined into it.)"""
     words = _count(line, " ", "\t") + 1
     bars = _count(line, "|")
-    return ((F.lit(True) if marked is None else marked) & (
+    return (line.rlike("[#*$%&<>|]|!!") & (
         (_count(line, *"#*$%&<>") * 100 > words * rules.max_symbols)
         | ((bars * 100 > words * rules.max_separators) & (bars >= 2))
         | (_count(line, "!!") * 100 > words * rules.max_exclaimed)
-    )) | ((F.lit(True) if known is None else known) & _known(line))
+    )) | line.rlike(_PHRASES)
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -92,9 +89,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     for c in " \t\n\x0b\x0c\r":
         bare = F.replace(bare, F.lit(c), F.lit(""))
     full = F.filter("_lines", lambda x: x.rlike(r"[^ \t-\r]"))
-    df = df.withColumns({"_marked": F.col("_t").rlike("[#*$%&<>|]|!!"), "_known": _known(F.col("_t"))})
-    fails = lambda x: line_fails(x, rules, F.col("_marked"), F.col("_known"))
-    df = df.withColumns({"_full": full, "_bad": F.filter("_lines", fails), "_chars": F.length(bare)})
+    df = df.withColumns({"_full": full, "_bad": F.filter("_lines", lambda x: line_fails(x, rules)), "_chars": F.length(bare)})
     df = df.withColumn("chars_lost", F.expr("aggregate(_bad, 0L, (a, x) -> a + length(x))"))
     failed = (F.col("_n") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("_n").cast("long") * rules.max_repeat)
     return df.select(
@@ -109,7 +104,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         F.size("_bad").cast("long").alias("lines_removed"),
         "chars_lost",
         *[F.col(f"_c_{c}") for c in carry],
-        *([F.when(F.col("_text").isNotNull(), F.array_join(F.filter("_lines", lambda x: ~fails(x)), "\n")).alias("_clean")] if carry else []),
+        *([F.when(F.col("_text").isNotNull(), F.array_join(F.filter("_lines", lambda x: ~line_fails(x, rules)), "\n")).alias("_clean")] if carry else []),
     )
 
 
