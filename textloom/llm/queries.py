@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scan, token_output, url_filters
+from . import decontamination, language_id, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scan, substring_dedup, token_output, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,23 @@ FROM d LEFT JOIN n USING (doc_id)
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents")).drop("n_repeats")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM ranked WHERE r > 1) GROUP BY doc_id),
+pos AS (SELECT doc_id, w[j] AS x, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+goner AS (SELECT doc_id, unnest(js) AS j FROM gone),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS s FROM pos ANTI JOIN goner USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(gone.js), 0)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return token_output.digests(table(spark, sf_dir, "documents"), vocabulary or vocabulary_path())
 
@@ -124,9 +141,10 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_output": op7_token_output,
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_substring_dedup": OP6_SQL}
