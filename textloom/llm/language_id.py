@@ -28,7 +28,7 @@ TRAIN_DOCS = 120
 LEXICON = 4000
 _BITS = 15
 _T = 1 << _BITS
-PIECE = 8 << 20
+PIECE = 2 << 20
 
 
 def _cell(a: np.ndarray, b: np.ndarray, c: np.ndarray, kind: int) -> np.ndarray:

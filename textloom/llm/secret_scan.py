@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey", b"key", b"bearer", b"credential", b"auth")
 
 TRAIN_DOCS = 400
-PIECE = 4 << 20
+PIECE = 2 << 20
 _LONG_HEX = re.compile(rb"[0-9a-f]{16,}")
 _KEYED = re.compile(rb"password|passwd|secret|token|api_?key")
 
