@@ -8,9 +8,10 @@
 3. Token-group matrix: a prefix filter orders shingles by a bounded frequency sketch, rarest first.
    Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only those
    tokens enter the matrix of (token, group). A token whose documents lie in one group opens nothing.
-4. A document meets another group only on a token of the matrix, with sizes that allow t. Groups are
-   split into blocks of BLOCK documents; a block is opened for a document if the document's shingles
-   found in the block's union reach the bound ceil(t n), and then compared set by set.
+4. Groups are split into blocks of BLOCK documents. The matrix bounds the overlap of a document and a
+   block: sizes must allow t, and enough of the document's prefix must stand in the block's union. Blocks
+   that qualify are opened: the document's whole overlap with the block's whole union must reach
+   ceil(t n), and then sets are compared one by one.
 5. Links of steps 2 and 4 give components. Links inside one group are not repeated: they can't change a
    component; every other link between different sets is found.
 
@@ -36,7 +37,7 @@ from .store import saved
 SHINGLE = 5
 PERCENT = 80
 #: Counters of the frequency sketch, whatever the input's size: they only order tokens.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 64
 BLOCK = 64
 
@@ -70,7 +71,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [piece.column("_id"), n, total(W.mix), total(lambda s: W.mix(s ^ salt)), least(lambda s: s), least(lambda s: W.mix(s + salt))]
             yield pa.RecordBatch.from_arrays([cols[0], *[pa.array(c, pa.int64()) for c in cols[1:]], pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
     step = len(sketch) // SLICES
-    counts = [np.minimum(sketch[i * step : (i + 1) * step], 65535).astype("<u2").tobytes() for i in range(SLICES)]
+    counts = [np.minimum(sketch[i * step : (i + 1) * step], 255).astype(np.uint8).tobytes() for i in range(SLICES)]
     nulls = [pa.nulls(SLICES, kind)] + [pa.nulls(SLICES, pa.int64())] * 5
     yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names=names)
 
@@ -80,7 +81,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts")):
-            add = np.frombuffer(raw.as_buffer(), "<u2").astype(np.uint32)
+            add = np.frombuffer(raw.as_buffer(), np.uint8).astype(np.uint32)
             sums[part] = sums[part] + add if part in sums else add
     keys = list(sums)
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([np.minimum(sums[k], 65535).astype("<u2").tobytes() for k in keys], pa.binary())], names=["part", "counts"])
@@ -90,13 +91,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _index_length(n: int, percent: int = PERCENT) -> int:
-    """Prefix of the smaller set of a pair: the overlap is 2t/(1+t) of it at least."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
-
-
 def _prefixes(sketch):
-    """(token, rep, grp, size) of each representative's rarest shingles; size is negative beyond the prefix of a pair's smaller set."""
+    """(token, rep, grp, n) of each representative's rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, "<u2")
@@ -108,11 +104,11 @@ def _prefixes(sketch):
                     if n:
                         p = min(n, prefix_length(n))
                         tokens.append(s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]])
-                        size.append(np.where(np.arange(p) < _index_length(n), n, -n))
+                        size.append(np.full(p, n))
                         lengths[d] = p
                 if tokens:
                     owner = pa.array(np.repeat(np.arange(piece.num_rows), lengths))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64), pa.int64()), piece.column("rep").take(owner), piece.column("grp").take(owner), pa.array(np.concatenate(size), pa.int32())], names=["token", "rep", "grp", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64), pa.int64()), piece.column("rep").take(owner), piece.column("grp").take(owner), pa.array(np.concatenate(size), pa.int32())], names=["token", "rep", "grp", "n"])
 
     return run
 
@@ -212,18 +208,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # step 3: the matrix, without the tokens of one group
     grouped = saved(classes.select("rep", "n").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp")), "groups")
     tagged = base.join(grouped, F.col("_id") == F.col("rep")).select("rep", "grp", "_text")
-    matrix = tagged.mapInArrow(_prefixes(sketch), f"token long, rep {kind}, grp {kind}, size int")
+    matrix = tagged.mapInArrow(_prefixes(sketch), f"token long, rep {kind}, grp {kind}, n int")
     same = Win.partitionBy("token")
     matrix = matrix.withColumn("a", F.min("grp").over(same)).withColumn("b", F.max("grp").over(same)).where("a <> b")
-    matrix = saved(matrix.select("token", "rep", "grp", F.abs("size").alias("n"), (F.col("size") > 0).alias("early")), "matrix")
+    matrix = saved(matrix.select("token", "rep", "grp", "n"), "matrix")
 
-    # step 4: the larger document of a pair meets blocks of other groups on a token
+    # step 4: the larger document of a pair meets blocks of other groups, and must find enough of its prefix
+    # in a block's union: sets x <= y that share a = ceil(t/(1+t) (x+y)) share a - ceil(t y) + 1 of their prefixes
     members = grouped.groupBy("grp").agg(F.count("*").alias("m"))
     blocks = saved(grouped.join(members, "grp").select("rep", "n", "grp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("b")), "blocks")
-    columns = matrix.where("early").join(blocks.select("rep", "b"), "rep").groupBy("token", "grp", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    probes = matrix.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("grp").alias("qg"))
-    met = probes.join(columns, "token").where(f"qg <> grp and low <= qn and qn * {PERCENT} <= high * 100").select("q", "grp", "b").distinct()
-    met = saved(met, "met")
+    columns = matrix.join(blocks.select("rep", "b"), "rep").groupBy("token", "grp", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    probes = matrix.select("token", F.col("rep").alias("q"), F.col("n").cast("long").alias("qn"), F.col("grp").alias("qg"))
+    met = probes.join(columns, "token").where(f"qg <> grp and low <= qn and qn * {PERCENT} <= high * 100")
+    met = met.groupBy("q", "grp", "b").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.first("qn").alias("qn"))
+    ceil = lambda x, d: f"(({x} + {d - 1}) div {d})"
+    part = ceil(f"{PERCENT} * qn", 100)
+    least = f"{ceil(f'{PERCENT} * (qn + greatest(low, {part}))', 100 + PERCENT)} - {part} + 1"
+    met = saved(met.where(f"c >= {least}").select("q", "grp", "b"), "met")
     inside = blocks.join(met.select("grp", "b").distinct(), ["grp", "b"]).select("grp", "b", "rep", F.lit(True).alias("member"))
     stacked = inside.unionAll(met.select("grp", "b", F.col("q").alias("rep"), F.lit(False).alias("member"))).select(F.concat_ws("/", "grp", "b").alias("blk"), "member", "rep")
     work = _with_text(base, saved(stacked, "asked")).repartition(n_parts, "blk").sortWithinPartitions("blk", F.desc("member")).select("blk", "member", "rep", "_text")
