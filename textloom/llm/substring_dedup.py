@@ -34,7 +34,8 @@ WINDOW = 20
 ANCHOR = 10
 FILTER_BITS = 28
 SLICES = 64
-PIECE = 8 << 20
+#: First windows that a task holds before it sends them; repeats among them need not travel.
+HELD = 1_000_000
 _SHIFT = np.uint64(64 - FILTER_BITS)
 _LAST = np.iinfo(np.int64).max
 _PACKED = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
@@ -81,7 +82,7 @@ def _known(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in W.pieces(batch, "_text", PIECE):
+        for piece in W.pieces(batch, "_text"):
             ws = W.tokenize(piece.column("_text"))
             hashes, at, owner = _anchors(ws)
             own = (at - ws.first[owner]) % ANCHOR == 0
@@ -105,7 +106,7 @@ def _probes(index, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(index.value, np.uint8)
         for batch in batches:
-            for piece in W.pieces(batch, "_text", PIECE):
+            for piece in W.pieces(batch, "_text"):
                 ws = W.tokenize(piece.column("_text"))
                 hashes, at, owner = _anchors(ws)
                 own = (at - ws.first[owner]) % ANCHOR == 0
@@ -140,41 +141,49 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(anchors, buckets: int):
-    """(bucket, packed) of the first window of each kind over an anchor, and (null, id, starts) of the others."""
+    """(bucket, null, windows) of the first window of each kind over an anchor, and (below 0, id, starts) of the others."""
+
+    def over_anchors(piece: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
+        ws = W.tokenize(piece.column("_text"))
+        ids = piece.column("_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
+        h = ws.hashes()
+        hashes, at = ws.windows(h, ANCHOR)
+        key = hashes & ~np.uint64(3)
+        hit = _known(bitmap, _cells(key))
+        hit[hit] = _known(bitmap, _cells(key[hit], True))
+        upto = np.zeros(len(ws.start) + 1, np.int32)
+        upto[at[hit] + 1] = 1
+        upto = np.cumsum(upto, dtype=np.int32)
+        full, first = ws.windows(h, WINDOW)
+        use = upto[first + ANCHOR] > upto[first]  # an anchor starts at one of the first ten words
+        full, first = full[use], first[use]
+        doc = np.searchsorted(ws.first, first, "right") - 1
+        out = np.zeros(len(full), _WINDOW)
+        out["h"], out["id"], out["at"] = full, ids[doc], first - ws.first[doc]
+        out["c"] = W.mix(W._WORDS.ranges(W._WORDS.sums(W.mix(h)), first, first + WINDOW)).astype(np.uint32)
+        return out
+
+    def sent(x: np.ndarray) -> list:
+        first, late = _earliest(x)
+        rows = [(-1 - i % buckets, i, raw) for i, raw in _by_id(late["id"], late["at"])]
+        order, bounds = _split(first["h"], buckets)
+        first = first[order]
+        return rows + [(b, None, first[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "id", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(anchors.value, np.uint8)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for piece in W.pieces(batch, "_text", PIECE):
-                ws = W.tokenize(piece.column("_text"))
-                ids = piece.column("_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
-                hashes, at, owner = _anchors(ws)
-                key = hashes & ~np.uint64(3)
-                hit = _known(bitmap, _cells(key)) & _known(bitmap, _cells(key, True))
-                upto = np.zeros(len(ws.start) + 1, np.int64)
-                upto[at[hit] + 1] = 1
-                upto = np.cumsum(upto)
-                h = ws.hashes()
-                full, first = ws.windows(h, WINDOW)
-                use = upto[first + ANCHOR] > upto[first]  # an anchor starts at one of the first ten words
-                full, first = full[use], first[use]
-                other = W.mix(W._WORDS.ranges(W._WORDS.sums(W.mix(h)), first, first + WINDOW)).astype(np.uint32)
-                doc = np.searchsorted(ws.first, first, "right") - 1
-                place = first - ws.first[doc]
-                order = np.lexsort((place, ids[doc], other, full))
-                full, other, doc, place = full[order], other[order], doc[order], place[order]
-                new = np.ones(len(full), np.bool_)
-                new[1:] = (full[1:] != full[:-1]) | (other[1:] != other[:-1])
-                group = np.cumsum(new) - 1
-                lead = np.flatnonzero(new)
-                later = (ids[doc] != ids[doc[lead]][group]) | (place != place[lead][group])
-                rows = list(_by_id(ids[doc[later]], place[later]))
-                record = np.zeros(len(lead), _WINDOW)
-                record["h"], record["c"], record["id"], record["at"] = full[lead], other[lead], ids[doc[lead]], place[lead]
-                order, bounds = _split(record["h"], buckets)
-                record = record[order]
-                sent = [(b, None, record[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]] + [(None, i, x) for i, x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sent], pa.int32()), pa.array([s[1] for s in sent], pa.int64()), pa.array([s[2] for s in sent], pa.binary())], names=["bucket", "id", "packed"])
+            for piece in W.pieces(batch, "_text"):
+                held.append(over_anchors(piece, bitmap))
+                if sum(map(len, held)) >= HELD:
+                    yield batch_of(sent(np.concatenate(held)))
+                    held = []
+        if held:
+            yield batch_of(sent(np.concatenate(held)))
 
     return run
 
@@ -182,6 +191,16 @@ def _windows(anchors, buckets: int):
 _WINDOW = np.dtype([("h", "<u8"), ("id", "<i8"), ("c", "<u4"), ("at", "<u4")])
 
 
+def _earliest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest window of each kind, and all that are later than it."""
+    x = x[np.lexsort((x["at"], x["id"], x["c"], x["h"]))]
+    new = np.ones(len(x), np.bool_)
+    new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])
+    first = x[new]
+    lead = np.cumsum(new) - 1
+    return first, x[(x["id"] != first["id"][lead]) | (x["at"] != first["at"][lead])]
+
+
 def _by_id(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.lexsort((place, ids))
     ids, place = ids[order], place[order].astype("<u4")
@@ -191,20 +210,23 @@ def _by_id(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the first windows of the tasks, all but the earliest."""
+    """Of the first windows of the tasks, all but the earliest; what tasks found themselves passes."""
     held: dict[int, list] = {}
     for batch in batches:
-        for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
-            held.setdefault(b, []).append(np.frombuffer(raw.as_buffer(), _WINDOW))
+        rows = []
+        for b, i, raw in zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), batch.column("packed")):
+            if b < 0:
+                rows.append((i, raw.as_py()))
+            else:
+                held.setdefault(b, []).append(np.frombuffer(raw.as_py(), _WINDOW))
+        yield _starts(rows)
     for parts in held.values():
-        x = np.concatenate(parts)
-        x = x[np.lexsort((x["at"], x["id"], x["c"], x["h"]))]
-        new = np.ones(len(x), np.bool_)
-        new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])
-        lead = x[np.flatnonzero(new)][np.cumsum(new) - 1]
-        late = x[(x["id"] != lead["id"]) | (x["at"] != lead["at"])]
-        rows = list(_by_id(late["id"], late["at"]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "starts"])
+        late = _earliest(np.concatenate(parts))[1]
+        yield _starts(list(_by_id(late["id"], late["at"])))
+
+
+def _starts(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "starts"])
 
 
 def _repeated(starts: list[bytes] | None, n: int) -> np.ndarray:
@@ -229,9 +251,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     index = _bitmap(rows.mapInArrow(_blocks, pair))
     live = rows.mapInArrow(_probes(index, buckets), pair).repartition(n, "bucket").mapInArrow(_live, pair)
     anchors = _bitmap(live)
-    found = saved(rows.mapInArrow(_windows(anchors, buckets), "bucket int, id long, packed binary"), "windows")
-    later = found.where("bucket is not null").select("bucket", "packed").repartition(n, "bucket").mapInArrow(_later, "id long, starts binary")
-    all_starts = later.unionAll(found.where("bucket is null").select("id", F.col("packed").alias("starts")))
+    found = rows.mapInArrow(_windows(anchors, buckets), "bucket int, id long, packed binary").repartition(n, "bucket")
+    all_starts = found.mapInArrow(_later, "id long, starts binary")
     starts = all_starts.groupBy("id").agg(F.collect_list("starts").alias("_starts"))
     return base.join(starts, F.coalesce("_id", F.lit(_LAST)) == F.col("id"), "left").drop("id")
 
