@@ -146,3 +146,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     part = out.where("_take > 0 and _take < _n and _size > 0").withColumn("_more", F.when(F.row_number().over(Win.partitionBy("_s", "_z", "_l").orderBy("_order", "_id")) <= F.col("_take"), 1).otherwise(0))
     done = whole.unionByName(part).drop("_s").join(F.broadcast(aim.withColumnRenamed("_source", "_s")), F.expr("_source <=> _s"))
     return done.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_rounds") + F.col("_more"))).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken, with the input's columns.
+
+    Rows of one id and size share what the mix takes of them; null ids are an id of their own."""
+    from pyspark.sql import Window as Win
+
+    taken = mix(docs, id_col, text_col, source_col, **options).where("size > 0")
+    taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col("size").alias("_ms")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
+    names = docs.columns
+    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_mi")))
+    single = rows.where("_mk = 1 or _mt % _mk = 0").withColumn("_mc", F.expr("_mt div _mk"))
+    several = rows.where("not (_mk = 1 or _mt % _mk = 0)")
+    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_ms").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
+    return single.unionByName(several).withColumn("_mc", F.explode(F.expr("if(_mc > 0, sequence(1, _mc), cast(array() as array<bigint>))"))).select(*names)

@@ -135,6 +135,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -146,5 +152,6 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_substring_dedup": OP6_SQL}
