@@ -8,7 +8,8 @@
 3. Token-group matrix: a prefix filter orders shingles by a bounded frequency sketch, rarest first.
    Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only those
    tokens enter the matrix of (token, group). A token whose documents lie in one group opens nothing.
-4. Groups are split into blocks of BLOCK documents. The matrix bounds the overlap of a document and a
+4. Groups, and single documents of one least hash together, are split into blocks of BLOCK documents.
+   The matrix bounds the overlap of a document and a
    block: sizes must allow t, and enough of the document's prefix must stand in the block's union. Blocks
    that qualify are opened: the document's whole overlap with the block's whole union must reach
    ceil(t n), and then sets are compared one by one.
@@ -140,26 +141,29 @@ def _verify_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, members first (query null), then the documents that probe it."""
+    """Rows sorted by block, members first, then the documents that probe it; pairs of one group are known."""
     block, members, union = None, [], np.zeros(0, np.uint64)
     stale = True
     for batch in batches:
         u, v = [], []
         for piece in W.pieces(batch, "_text"):
-            for b, member, i, s in zip(piece.column("blk").to_pylist(), piece.column("member").to_pylist(), piece.column("rep").to_pylist(), shingle_sets(piece.column("_text"))):
+            names = ("blk", "member", "rep", "grp")
+            for b, member, i, g, s in zip(*(piece.column(c).to_pylist() for c in names), shingle_sets(piece.column("_text"))):
                 if b != block:
                     block, members, stale = b, [], True
                 if member:
-                    members.append((i, s))
+                    members.append((i, g, s))
                     stale = True
                     continue
                 if stale:
-                    union = np.unique(np.concatenate([m for _, m in members])) if members else np.zeros(0, np.uint64)
+                    union = np.unique(np.concatenate([m for *_, m in members])) if members else np.zeros(0, np.uint64)
                     stale = False
                 if len(np.intersect1d(union, s, assume_unique=True)) * 100 < PERCENT * len(s):
                     continue
-                for j, m in members:
-                    if _linked(m, s):
+                done = {g}  # one link to a group is enough
+                for j, h, m in members:
+                    if h not in done and _linked(m, s):
+                        done.add(h)
                         u.append(i)
                         v.append(j)
         kind = batch.schema.field("rep").type
@@ -206,7 +210,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     near = components(saved(work.mapInArrow(_verify_pivots, f"u {kind}, v {kind}"), "links"))
 
     # step 3: the matrix, without the tokens of one group
-    grouped = saved(classes.select("rep", "n").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp")), "groups")
+    grouped = saved(classes.select("rep", "n", "k1").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "k1", F.coalesce("component", "rep").alias("grp")), "groups")
     tagged = base.join(grouped, F.col("_id") == F.col("rep")).select("rep", "grp", "_text")
     matrix = tagged.mapInArrow(_prefixes(sketch), f"token long, rep {kind}, grp {kind}, n int")
     same = Win.partitionBy("token")
@@ -216,18 +220,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # step 4: the larger document of a pair meets blocks of other groups, and must find enough of its prefix
     # in a block's union: sets x <= y that share a = ceil(t/(1+t) (x+y)) share a - ceil(t y) + 1 of their prefixes
     members = grouped.groupBy("grp").agg(F.count("*").alias("m"))
-    blocks = saved(grouped.join(members, "grp").select("rep", "n", "grp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("b")), "blocks")
-    columns = matrix.join(blocks.select("rep", "b"), "rep").groupBy("token", "grp", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    homes = grouped.join(members, "grp").withColumn("home", F.when(F.col("m") > 1, F.concat(F.lit("g"), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("k"), F.col("k1").cast("string"))))
+    room = homes.groupBy("home").agg(F.count("*").alias("size"))
+    split = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("string")
+    blocks = saved(homes.join(room, "home").select("rep", "grp", F.concat("home", F.lit("/"), split).alias("blk")), "blocks")
+    columns = matrix.join(blocks.select("rep", "blk"), "rep").groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g1"), F.max("grp").alias("g2"))
     probes = matrix.select("token", F.col("rep").alias("q"), F.col("n").cast("long").alias("qn"), F.col("grp").alias("qg"))
-    met = probes.join(columns, "token").where(f"qg <> grp and low <= qn and qn * {PERCENT} <= high * 100")
-    met = met.groupBy("q", "grp", "b").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.first("qn").alias("qn"))
+    met = probes.join(columns, "token").where(f"(qg <> g1 or qg <> g2) and low <= qn and qn * {PERCENT} <= high * 100")
+    met = met.groupBy("q", "blk").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.first("qn").alias("qn"), F.first("qg").alias("qg"))
     ceil = lambda x, d: f"(({x} + {d - 1}) div {d})"
     part = ceil(f"{PERCENT} * qn", 100)
     least = f"{ceil(f'{PERCENT} * (qn + greatest(low, {part}))', 100 + PERCENT)} - {part} + 1"
-    met = saved(met.where(f"c >= {least}").select("q", "grp", "b"), "met")
-    inside = blocks.join(met.select("grp", "b").distinct(), ["grp", "b"]).select("grp", "b", "rep", F.lit(True).alias("member"))
-    stacked = inside.unionAll(met.select("grp", "b", F.col("q").alias("rep"), F.lit(False).alias("member"))).select(F.concat_ws("/", "grp", "b").alias("blk"), "member", "rep")
-    work = _with_text(base, saved(stacked, "asked")).repartition(n_parts, "blk").sortWithinPartitions("blk", F.desc("member")).select("blk", "member", "rep", "_text")
+    met = saved(met.where(f"c >= {least}").select("q", "qg", "blk"), "met")
+    inside = blocks.join(met.select("blk").distinct(), "blk").select("blk", "rep", "grp", F.lit(True).alias("member"))
+    stacked = inside.unionAll(met.select("blk", F.col("q").alias("rep"), F.col("qg").alias("grp"), F.lit(False).alias("member")))
+    work = _with_text(base, saved(stacked, "asked")).repartition(n_parts, "blk").sortWithinPartitions("blk", F.desc("member")).select("blk", "member", "rep", "grp", "_text")
     more = saved(work.mapInArrow(_open_blocks, f"u {kind}, v {kind}"), "links")
 
     # step 5
