@@ -141,7 +141,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(anchors, buckets: int):
-    """(bucket, null, windows) of the first window of each kind over an anchor, and (below 0, id, starts) of the others."""
+    """(bucket, windows) of the first window of each kind over an anchor, and (below 0, places) of the others."""
 
     def over_anchors(piece: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
         ws = W.tokenize(piece.column("_text"))
@@ -163,15 +163,12 @@ def _windows(anchors, buckets: int):
         out["c"] = W.mix(W._WORDS.ranges(W._WORDS.sums(W.mix(h)), first, first + WINDOW)).astype(np.uint32)
         return out
 
-    def sent(x: np.ndarray) -> list:
+    def sent(x: np.ndarray) -> pa.RecordBatch:
         first, late = _earliest(x)
-        rows = [(-1 - i % buckets, i, raw) for i, raw in _by_id(late["id"], late["at"])]
         order, bounds = _split(first["h"], buckets)
         first = first[order]
-        return rows + [(b, None, first[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "id", "packed"])
+        rows = [(b, first[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
+        return _rows(rows + _late_rows(late, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(anchors.value, np.uint8)
@@ -180,10 +177,10 @@ def _windows(anchors, buckets: int):
             for piece in W.pieces(batch, "_text"):
                 held.append(over_anchors(piece, bitmap))
                 if sum(map(len, held)) >= HELD:
-                    yield batch_of(sent(np.concatenate(held)))
+                    yield sent(np.concatenate(held))
                     held = []
         if held:
-            yield batch_of(sent(np.concatenate(held)))
+            yield sent(np.concatenate(held))
 
     return run
 
@@ -201,42 +198,56 @@ def _earliest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, x[(x["id"] != first["id"][lead]) | (x["at"] != first["at"][lead])]
 
 
-def _by_id(ids: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((place, ids))
-    ids, place = ids[order], place[order].astype("<u4")
-    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    for a, b in zip(heads.tolist(), np.append(heads[1:], len(ids)).tolist()):
-        yield int(ids[a]), place[a:b].tobytes()
+_PLACE = np.dtype([("id", "<i8"), ("at", "<u4")])
+
+
+def _late_rows(late: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Places of later windows by a bucket of their documents, numbered from -1 down."""
+    places = np.zeros(len(late), _PLACE)
+    places["id"], places["at"] = late["id"], late["at"]
+    order, bounds = _split(W.mix(places["id"].astype(np.uint64)), buckets)
+    places = places[order]
+    return [(-1 - b, places[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _later(buckets: int):
     """Of the first windows of the tasks, all but the earliest; what tasks found themselves passes."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        rows = []
-        for b, i, raw in zip(batch.column("bucket").to_pylist(), batch.column("id").to_pylist(), batch.column("packed")):
-            if b < 0:
-                rows.append((i, raw.as_py()))
-            else:
-                held.setdefault(b, []).append(np.frombuffer(raw.as_py(), _WINDOW))
-        yield _starts(rows)
-    for parts in held.values():
-        late = _earliest(np.concatenate(parts))[1]
-        yield _starts(list(_by_id(late["id"], late["at"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            found = []
+            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+                if b < 0:
+                    found.append((b, raw.as_py()))
+                else:
+                    held.setdefault(b, []).append(np.frombuffer(raw.as_py(), _WINDOW))
+            yield _rows(found)
+        late = [_earliest(np.concatenate(parts))[1] for parts in held.values()]
+        if late:
+            yield _rows(_late_rows(np.concatenate(late), buckets))
+
+    return run
 
 
-def _starts(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "starts"])
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document of this task's buckets: the starts of its later windows."""
+    held = [np.frombuffer(raw.as_py(), _PLACE) for batch in batches for raw in batch.column("packed")]
+    x = np.concatenate(held) if held else np.zeros(0, _PLACE)
+    x = x[np.lexsort((x["at"], x["id"]))]
+    heads = np.flatnonzero(np.concatenate([[True], x["id"][1:] != x["id"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    bounds = np.append(heads, len(x)).tolist()
+    at = np.ascontiguousarray(x["at"])
+    yield pa.RecordBatch.from_arrays([pa.array(x["id"][heads], pa.int64()), pa.array([at[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["id", "_starts"])
 
 
-def _repeated(starts: list[bytes] | None, n: int) -> np.ndarray:
+def _repeated(starts: bytes | None, n: int) -> np.ndarray:
     """Which of a document's words lie in a repeat."""
     edge = np.zeros(n + 1, np.int64)
-    for raw in starts or ():
-        at = np.frombuffer(raw, "<u4").astype(np.int64)
-        at = at[at + WINDOW <= n]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+    at = np.unique(np.frombuffer(starts or b"", "<u4").astype(np.int64))
+    at = at[at + WINDOW <= n]
+    edge[at] += 1
+    edge[at + WINDOW] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -251,9 +262,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     index = _bitmap(rows.mapInArrow(_blocks, pair))
     live = rows.mapInArrow(_probes(index, buckets), pair).repartition(n, "bucket").mapInArrow(_live, pair)
     anchors = _bitmap(live)
-    found = rows.mapInArrow(_windows(anchors, buckets), "bucket int, id long, packed binary").repartition(n, "bucket")
-    all_starts = found.mapInArrow(_later, "id long, starts binary")
-    starts = all_starts.groupBy("id").agg(F.collect_list("starts").alias("_starts"))
+    found = rows.mapInArrow(_windows(anchors, buckets), pair).repartition(n, "bucket").mapInArrow(_later(buckets), pair)
+    starts = found.repartition(n, "bucket").mapInArrow(_starts, "id long, _starts binary")
     return base.join(starts, F.coalesce("_id", F.lit(_LAST)) == F.col("id"), "left").drop("id")
 
 
