@@ -1,5 +1,6 @@
-"""Registry of the queries and of their DuckDB equivalents."""
+"""All queries of the analytics engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "bm25_search"
+from . import graph_queries, integrity_queries, search_queries, text_queries, version_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "bm25_topk_documents"
