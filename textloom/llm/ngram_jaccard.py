@@ -2,9 +2,9 @@
 
 1. Each document becomes its set of 5-word shingles (64-bit hashes). Documents of equal sets fall into
    one class by a 128-bit digest; the least id stands for it, so exact copies cost one row each.
-2. Grouping: representatives that share one of two least hashes are compared with the least such
-   representative, and the links found partition similar documents into groups (hot keys need no
-   special care: one comparison a document and key).
+2. Grouping: representatives that share one of two least hashes are compared with one such representative
+   (the least, or the last) and with a few others that come by, and the links found partition similar
+   documents into groups (hot keys need no special care: a bounded number of comparisons a document).
 3. Token-group matrix: a prefix filter orders shingles by a bounded frequency sketch, rarest first.
    Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only those
    tokens enter the matrix of (token, group). A token whose documents lie in one group opens nothing.
@@ -122,20 +122,29 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both * 100 >= percent * (small + large - both) and both > 0
 
 
+#: Documents beside the pivot that a task keeps for comparison.
+KEPT = 7
+
+
 def _verify_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pivot, the pivot's own rows first; compares each with them."""
-    pivot, own = None, []
+    """Rows sorted by pivot, the pivot's own rows first; compares each with them, then with the first few others."""
+    pivot, own, others = None, [], []
     for batch in batches:
         u, v = [], []
         for piece in W.pieces(batch, "_text"):
             for p, i, s in zip(piece.column("pivot").to_pylist(), piece.column("rep").to_pylist(), shingle_sets(piece.column("_text"))):
                 if p != pivot:
-                    pivot, own = p, []
+                    pivot, own, others = p, [], []
                 if i == p:
-                    own.append(s)
-                elif any(_linked(o, s) for o in own):
-                    u.append(i)
-                    v.append(p)
+                    own.append((i, s))
+                    continue
+                for j, o in own + others:
+                    if _linked(o, s):
+                        u.append(i)
+                        v.append(j)
+                        break
+                if len(others) < KEPT:
+                    others.append((i, s))
         kind = batch.schema.field("rep").type
         yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
@@ -200,9 +209,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     classes = saved(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2")), "classes")
 
-    # step 2: each representative against the least one of its keys
-    keyed = classes.select("rep", F.explode(F.array(F.struct(F.lit(1).alias("w"), F.col("k1").alias("k")), F.struct(F.lit(2).alias("w"), F.col("k2").alias("k")))).alias("x")).select("rep", "x.w", "x.k")
-    pivots = keyed.groupBy("w", "k").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # step 2: each representative against one of each of its keys
+    key = lambda w, k: F.struct(F.lit(w).alias("w"), F.col(k).alias("k"))
+    keyed = classes.select("rep", F.explode(F.array(key(1, "k1"), key(2, "k2"))).alias("x")).select("rep", "x.w", "x.k")
+    pivot = F.when(F.col("w") == 1, F.min("rep")).otherwise(F.max("rep"))
+    pivots = keyed.groupBy("w", "k").agg(pivot.alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = keyed.join(pivots, ["w", "k"]).where("rep <> pivot").select("pivot", "rep").distinct()
     pairs = saved(pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))), "pairs")
     ends = pairs.unionByName(pairs.select("pivot", "salt").distinct().withColumn("rep", F.col("pivot")))
