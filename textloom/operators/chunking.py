@@ -63,7 +63,8 @@ def spans(text: str) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     if len(out) > 1 and out[-1][1] - out[-1][0] < TAIL and out[-1][1] - out[-2][0] <= HARD:
-        out[-2][1] = out.pop()[1]
+        tail = out.pop()
+        out[-1][1] = tail[1]
     return [(a, b) for a, b in out]
 
 
