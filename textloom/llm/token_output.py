@@ -29,12 +29,20 @@ from . import words as W
 from .store import fresh_path
 
 BLOCK_DOCS = 1024
-BLOCK_IDS = 4 << 20
-CACHE_UNITS = 1_000_000
+BLOCK_IDS = 1 << 20
+CACHE_UNITS = 3_000_000
+#: Rows that reach a worker at once while encoding.
+BATCH_ROWS = 1000
 #: Unicode white space beyond ASCII; texts with it, or with a special token, are encoded whole.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+_GAPS = frozenset(b" \t\n\x0b\x0c\r")
+_LETTER, _MARK = np.zeros(256, np.bool_), np.zeros(256, np.bool_)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+
+
 class Encoder:
     """Whole texts to ids. White-space-led units encode alike wherever they stand (no pre-token
     crosses the gap before white space), so each distinct unit is encoded once and kept in a
@@ -47,42 +55,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: bytes of each id: the vocabulary writes a byte as one character
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.starts, self.sizes = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        """Known units: sorted hashes with the slots of their ids, kept in arrays for their size."""
+        self.known, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.pool, self.used, self.n = np.zeros(1 << 20, self.dtype), 0, 0
+        self.starts, self.sizes = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of sorted keys, -1 for new ones."""
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        return np.where(self.known[at] == keys, self.slot_of[at], -1) if len(self.known) else np.full(len(keys), -1)
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype)
 
-    def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.slots)
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(keys) > len(self.starts):
+        while self.n + len(sizes) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(keys)] = sizes
+        self.starts[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(sizes)] = sizes
         self.used += len(ids)
-        self.slots.update(zip(keys, range(n, n + len(keys))))
+        self.n += len(sizes)
+
+    def _learn(self, keys: np.ndarray, units: list[bytes], wide: bool) -> None:
+        """Encodes new units: those led by white space joined, 128 at a time, the others alone.
 
-    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        """Encodes new units: those led by white space joined, 2,000 at a time, the others alone."""
-        led = [i for i, u in enumerate(units) if u[:1].isspace() and not u[-1:].isspace()]
+        The bytes of each id tell which unit it belongs to."""
+        led = [i for i, u in enumerate(units) if u[0] in _GAPS and u[-1] not in _GAPS and not (wide and _WIDE.search(u))]
         alone = sorted(set(range(len(units))) - set(led))
-        texts = ["".join(units[i].decode() for i in led[a : a + 2000]) for a in range(0, len(led), 2000)]
-        for a, e in zip(range(0, len(led), 2000), self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            part = led[a : a + 2000]
-            bounds = np.cumsum([len(units[i].decode()) for i in part])
-            at = np.array([x for x, _ in e.offsets], np.int64)
-            owner = np.searchsorted(bounds, at, "right")
-            self._add(keys[part].tolist(), np.array(e.ids, self.dtype), np.bincount(owner, minlength=len(part)))
+        first = self.n
+        for a in range(0, len(led), 128):
+            part = [units[i] for i in led[a : a + 128]]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
+            bounds = np.cumsum([len(u) for u in part])
+            owner = np.searchsorted(bounds, np.cumsum(self.lengths[ids]) - self.lengths[ids], "right")
+            self._add(ids.astype(self.dtype), np.bincount(owner, minlength=len(part)))
         for i in alone:
             ids = self._whole(units[i])
-            self._add([int(keys[i])], ids, np.array([len(ids)]))
+            self._add(ids, np.array([len(ids)]))
+        every = np.concatenate([self.known, keys[led + alone]])
+        order = np.argsort(every, kind="stable")
+        self.known = every[order]
+        self.slot_of = np.concatenate([self.slot_of, np.arange(first, self.n, dtype=np.int32)])[order]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         ws = W.tokenize(texts)
@@ -96,7 +117,8 @@ class Encoder:
             while at >= 0:
                 odd.add(int(np.searchsorted(off, at, "right")) - 1)
                 at = raw.find(s, at + 1)
-        # a unit: the gap before a word and the word; what follows the last word is a unit too
+        # a unit: the gap before a word and the word; what follows the last word is a unit too.
+        # Inside a word, an ASCII mark behind an ASCII letter begins another unit: a pre-token ends there.
         tails = np.flatnonzero(off[1:] > np.where(ws.counts > 0, ws.end[np.maximum(ws.first[1:] - 1, 0)] if len(ws.end) else 0, off[:-1]))
         begin = np.concatenate([off[:1], ws.end[:-1]]) if len(ws.end) else np.zeros(0, np.int64)
         heads = ws.first[:-1][ws.counts > 0]
@@ -106,18 +128,24 @@ class Encoder:
         owner = np.concatenate([np.repeat(np.arange(n), ws.counts), tails])
         order = np.argsort(begin, kind="stable")
         begin, end, owner = begin[order], end[order], owner[order]
+        cut = np.flatnonzero(_LETTER[ws.data[:-1]] & _MARK[ws.data[1:]]) + 1
+        at = np.searchsorted(begin, cut, "right") - 1
+        inner = cut > begin[at] if len(cut) else np.zeros(0, np.bool_)
+        cut, at = cut[inner], at[inner]
+        begin, owner = np.insert(begin, at + 1, cut), np.insert(owner, at + 1, owner[at])
+        end = np.append(begin[1:], off[-1])
         sums = W._BYTES.sums(W._BYTE_VALUES[ws.data])
         keys = W.mix(W._BYTES.ranges(sums, begin, end) + (end - begin).astype(np.uint64))
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > CACHE_UNITS:
+        if len(self.known) + len(distinct) > CACHE_UNITS:
             self._reset()
-        slots = [self.slots.get(k, -1) for k in distinct.tolist()]
-        new = np.flatnonzero(np.array(slots) < 0)
+        slots = self._slots(distinct)
+        new = np.flatnonzero(slots < 0)
         if len(new):
             spots = at[new]
-            self._learn(distinct[new], [raw[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist())])
-            slots = [self.slots[k] for k in distinct.tolist()]
-        slot = np.array(slots, np.int64)[back] if len(back) else np.zeros(0, np.int64)
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist())], bool(odd))
+            slots = self._slots(distinct)
+        slot = slots[back] if len(back) else np.zeros(0, np.int64)
         sizes = self.sizes[slot].astype(np.int64)
         upto = np.cumsum(sizes)
         flat = self.pool[np.repeat(self.starts[slot] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
@@ -217,7 +245,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         if ids:
             yield flush()
 
-    rows.mapInArrow(encode, BLOCK.format(kind=kind)).write.option("compression", "zstd").parquet(path)
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))
+    try:
+        rows.mapInArrow(encode, BLOCK.format(kind=kind)).write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -54,7 +54,7 @@ class _Rolling:
 
     def grow(self, n: int) -> None:
         if len(self.powers) <= n:
-            size = max(n + 1, 1 << 21)
+            size = 1 << max(16, n.bit_length())
             self.powers = np.full(size, self.base, np.uint64)
             self.inverses = np.full(size, self.inverse, np.uint64)
             self.powers[0] = self.inverses[0] = 1
