@@ -235,9 +235,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     return train([t for _, _, t in by_label(rows, "_id", "_text", "_likely", train_docs)])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_docs))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; learns from docs unless a model is given."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col, train_docs))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(_scan(sent), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
