@@ -39,14 +39,26 @@ def normal_form(texts: pd.Series) -> pd.Series:
 
 
 def norm(c: Column) -> Column:
-    """Normal form in built-in functions, for text that NFKC leaves as it is."""
-    x = F.translate(F.translate(c, SPACED_JOINER, " "), LETTERS_FROM + DIGITS_FROM + DROPPED_JOINERS + MARKS, LETTERS_TO + DIGITS_TO)
+    """Normal form in built-in functions, for text that NFKC leaves as it is.
+
+    translate looks every character up, so it is left to texts that hold one of its characters."""
+    folded = F.translate(F.translate(c, SPACED_JOINER, " "), LETTERS_FROM + DIGITS_FROM + DROPPED_JOINERS + MARKS, LETTERS_TO + DIGITS_TO)
+    x = F.when(c.rlike("[\u0600-\u06FF\u200C-\u200F]"), folded).otherwise(c)
     return F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), r"\s+", " "))
 
 
 def term_key(c: Column) -> Column:
     """The normal form without accents, as postings hold it."""
-    return F.translate(norm(c), ACCENTED, BASE)
+    x = norm(c)
+    for a, b in zip(ACCENTED, BASE):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def apart(df):
+    """df with a column _m that keeps a filter (one that also asks for _m >= 0) above df's projection: pushed
+    below, it would repeat the projection's text work once for each use."""
+    return df.withColumn("_m", F.monotonically_increasing_id())
 
 
 def terms(c: Column) -> Column:

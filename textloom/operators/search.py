@@ -30,14 +30,14 @@ def bm25(rows: DataFrame, key: str, text: str, query: list[str], every: bool = T
     """
     query = list(dict.fromkeys(query))
     tokens = T.terms(T.term_key(F.col(text)))
-    df = rows.select(key, *carry, tokens.alias("_ts"))
-    df = df.select(key, *carry, F.size("_ts").cast("long").alias("_len"), *[_occurrences("_ts", q).alias(f"_f{i}") for i, q in enumerate(query)])
+    df = T.apart(rows.select(key, *carry, tokens.alias("_ts")))
+    df = df.select("_m", key, *carry, F.size("_ts").cast("long").alias("_len"), *[_occurrences("_ts", q).alias(f"_f{i}") for i, q in enumerate(query)])
     figures = df.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
     hits = [F.col(f"_f{i}") > 0 for i in range(len(query))]
     keep = hits[0]
     for h in hits[1:]:
         keep = keep & h if every else keep | h
-    df = df.where(keep).crossJoin(F.broadcast(figures))  # one row
+    df = df.where(keep & (F.col("_m") >= 0)).crossJoin(F.broadcast(figures))  # one row
     score: Column = F.lit(0.0)
     for i in range(len(query)):
         idf = F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
@@ -59,7 +59,7 @@ def exact(rows: DataFrame, key: str, text: str, needle: str, limit: int = 3, bef
     """key, hit_count, lines (first distinct ones), context of rows whose normal text holds the normal needle."""
     n = F.lit(T.fold(needle))
     hay = F.regexp_replace(F.replace(F.lower(F.col(text)), F.lit("ß"), F.lit("ss")), "[ \t]+", " ")
-    df = rows.select(key, hay.alias("_h")).where(F.contains("_h", n))
+    df = T.apart(rows.select(key, hay.alias("_h"))).where(F.contains("_h", n) & (F.col("_m") >= 0)).drop("_m")
     parts = F.split("_h", F.concat(F.lit("\\Q"), n, F.lit("\\E")))
     df = df.withColumn("_parts", parts)
     df = df.withColumn("_breaks", F.transform(F.slice("_parts", F.lit(1), F.size("_parts") - 1), lambda p: (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).cast("long")))
@@ -87,7 +87,8 @@ def ladder(rows: DataFrame, key: str, text: str, query: str, *groups: str) -> Da
     step: Column = F.lit(None).cast("long")
     for k, test in reversed(steps):
         step = F.when(test, F.lit(k).cast("long")).otherwise(step)
-    df = rows.select(key, *groups, T.terms(T.norm(F.col(text))).alias("_ts")).withColumn("step", step).where("step is not null").drop("_ts")
+    df = T.apart(rows.select(key, *groups, T.terms(T.norm(F.col(text))).alias("_ts"))).withColumn("step", step)
+    df = df.where("step is not null and _m >= 0").drop("_ts", "_m")
     first = df.groupBy(*groups).agg(F.min("step").alias("_first"))
     return df.join(F.broadcast(first) if groups else first, list(groups)).where("step = _first").drop("_first") if groups else df.crossJoin(first).where("step = _first").drop("_first")
 
@@ -132,7 +133,7 @@ def metadata_hits(meta: DataFrame, key: str, query: str, priority: list[str]) ->
     same = F.array_join(F.array_sort(F.array_distinct(have)), " ") == " ".join(sorted(wanted))
     quality = F.when(same, 0).when(found == len(wanted), 1).when(found >= max(1, -(-len(wanted) // 2)), 2)
     order = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("field")) - 1
-    df = meta.select(key, "field", quality.cast("long").alias("quality"), order.cast("long").alias("priority")).where("quality is not null")
+    df = T.apart(meta).select(key, "field", "_m", quality.cast("long").alias("quality"), order.cast("long").alias("priority")).where("quality is not null and _m >= 0")
     best = df.groupBy(key).agg(F.min(F.struct("quality", "priority", "field")).alias("m"))
     return best.select(key, "m.quality", "m.priority", "m.field")
 
