@@ -47,7 +47,7 @@ def rows_of(frame) -> list[str]:
     import pandas as pd
 
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if hasattr(v, "item"):
             v = v.item()
