@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 #: Words that the dynamic program fits at most; the budget above is met by whole size classes.
 FIT_WORDS = 200_000
 SLICES = 4096
+#: Sources of which the targets are broadcast; of more they are joined.
+MAX_SENT = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: float = 2.0) -> list[float]:
@@ -125,6 +127,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     aims = dict(zip(names, targets([sums[s] for s in names], weights, percent)))
     kind = docs.schema[source_col].dataType.simpleString()
     aim = spark.createDataFrame([(s, sums[s], float(aims[s])) for s in names], f"_source {kind}, source_size long, target double")
+    small = F.broadcast if len(names) <= MAX_SENT else lambda x: x
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         k = fit(group["_size"].to_numpy(), group["_n"].to_numpy(), int(round(target)) - rounds * size)
         return group[["_source", "_size"]].assign(_k=k, _rounds=rounds)
 
-    joined = by_size.join(F.broadcast(aim), by_size["_source"].eqNullSafe(aim["_source"])).drop(aim["_source"])
+    joined = by_size.join(small(aim), by_size["_source"].eqNullSafe(aim["_source"])).drop(aim["_source"])
     picks = joined.groupBy("_source").applyInPandas(choose, f"_source {kind}, _size long, _k long, _rounds long")
     # of each size the first _k by hash order: whole slices below the cut, and a rank inside the slice that holds it
     from pyspark.sql import Window as Win
@@ -144,7 +147,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = rows.join(cuts, F.expr("_source <=> _s and _size = _z and _slice = _l"))
     whole = out.where("_take = 0 or _take = _n or _size = 0").withColumn("_more", F.when((F.col("_take") > 0) & (F.col("_size") > 0), 1).otherwise(0))
     part = out.where("_take > 0 and _take < _n and _size > 0").withColumn("_more", F.when(F.row_number().over(Win.partitionBy("_s", "_z", "_l").orderBy("_order", "_id")) <= F.col("_take"), 1).otherwise(0))
-    done = whole.unionByName(part).drop("_s").join(F.broadcast(aim.withColumnRenamed("_source", "_s")), F.expr("_source <=> _s"))
+    done = whole.unionByName(part).drop("_s").join(small(aim.withColumnRenamed("_source", "_s")), F.expr("_source <=> _s"))
     return done.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_rounds") + F.col("_more"))).alias("taken"))
 
 
