@@ -1,6 +1,6 @@
 """All queries of the analytics engine and their DuckDB equivalents."""
 
-from . import graph_queries, integrity_queries, retrieval_queries, search_queries, text_queries, version_queries  # noqa: F401
+from . import graph_queries, integrity_queries, record_queries, retrieval_queries, search_queries, text_queries, version_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk_documents"
