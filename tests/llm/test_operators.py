@@ -91,8 +91,7 @@ def test_forward_backward_equals_enumeration():
 # 3
 
 @pytest.mark.parametrize("block", [8_000_000, 400])
-def test_decontamination(spark, frame, docs, block, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_decontamination(spark, frame, docs, block):
     long = next(d[1] for d in docs if d[1] and len(d[1].split()) > 4000)
     items = [(0, " ".join(long.split()[100:130])), (1, "One, two!"), (2, None), (None, "an er"), (3, ""), (10, " ".join(docs[9][1].split()[:40])), (10, docs[9][1][-300:])]
     bench = spark.createDataFrame(items, "item_id long, text string")

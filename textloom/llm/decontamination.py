@@ -3,7 +3,7 @@
 Windows of 13 words (or the whole of a shorter item) of the benchmark are broadcast in blocks of
 bounded size; every document is tokenised once per block, its rolling window hashes are looked up,
 and each hit is verified word by word. Documents are never shuffled. A benchmark above the bound is
-split by item and scanned block after block, with a checkpoint between.
+split by item and scanned block after block, with a written table between.
 
 Null and empty texts have no words and no hits. An item of null id or text is left out. Repeated
 items count by id; repeated documents get equal rows; extra columns are ignored.
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import saved
 
 WINDOW = 13
 _TABLE_BITS = 22
@@ -73,10 +74,8 @@ def _scan_with(broadcast):
                 marks = {}
                 hit = [set(x) for x in piece.column("_items").to_pylist()]
                 old = piece.column("_hits").to_pylist()
-                owner = np.searchsorted(ws.first, np.arange(0), "right")
                 found = block.scan(ws)
-                if found:
-                    owner = np.searchsorted(ws.first, [f[0] for f in found], "right") - 1
+                owner = np.searchsorted(ws.first, [f[0] for f in found], "right") - 1
                 for (i, size, items), d in zip(found, owner.tolist()):
                     hit[d] |= items
                     a, b = ws.first[d], ws.first[d + 1]
@@ -118,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         block = spark.sparkContext.broadcast(_Block([(r.i, r.t) for r in part.toLocalIterator()]))
         df = df.mapInArrow(_scan_with(block), df.schema)
         if k + 1 < blocks:
-            df = df.checkpoint()
+            df = saved(df, "hits")
     kept = [f for f in df.schema.fields if f.name not in ("_text", "_hits", "_items")]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_hit long, n_items long, items_sha256 string"
     if carry:
