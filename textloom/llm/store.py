@@ -12,7 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names; one of our own only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
