@@ -100,10 +100,10 @@ class Encoder:
         for i in alone:
             ids = self._whole(units[i])
             self._add(ids, np.array([len(ids)]))
-        every = np.concatenate([self.known, keys[led + alone]])
-        order = np.argsort(every, kind="stable")
-        self.known = every[order]
-        self.slot_of = np.concatenate([self.slot_of, np.arange(first, self.n, dtype=np.int32)])[order]
+        new, slots = keys[led + alone], np.arange(first, self.n, dtype=np.int32)
+        order = np.argsort(new)
+        at = np.searchsorted(self.known, new[order])
+        self.known, self.slot_of = np.insert(self.known, at, new[order]), np.insert(self.slot_of, at, slots[order])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         ws = W.tokenize(texts)
