@@ -161,8 +161,8 @@ def key_hashes(keys: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(k.encode(), digest_size=16).digest() for k in keys), "<u8").reshape(-1, 2).copy()
 
 
-def _spread(h: np.ndarray, seed: int, m: int) -> np.ndarray:
-    return (W.mix(h ^ W.mix(np.full(len(h), seed + 1, np.uint64))) % np.uint64(m)).astype(np.int64)
+def _spread(h: np.ndarray, seed: np.ndarray, m: int) -> np.ndarray:
+    return (W.mix(h ^ W.mix((seed + 1).astype(np.uint64))) % np.uint64(m)).astype(np.int64)
 
 
 def build_index(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +177,15 @@ def build_index(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = members[b]
         if len(own) < 2:
             break
-        seed = 0
-        while True:
-            to = _spread(h[own, 1], seed, m)
-            if free[to].all() and len(set(to.tolist())) == len(own):
+        seed, step = 0, 16
+        while True:  # many seeds at once
+            to = _spread(h[own, 1][None, :], np.arange(seed, seed + step)[:, None], m)
+            ordered = np.sort(to, axis=1)
+            fits = np.flatnonzero(free[to].all(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1))
+            if len(fits):
+                seed, to = seed + int(fits[0]), to[fits[0]]
                 break
-            seed += 1
+            seed, step = seed + step, min(1024, step * 4)
         seeds[b], slot[own], free[to] = seed, to, False
     spare = iter(np.flatnonzero(free).tolist())
     for b in range(r):
@@ -196,7 +199,7 @@ def find_slots(seeds: np.ndarray, m: int, keys: list[str]) -> tuple[np.ndarray,
     """Slot and fingerprint of each key in a block of m keys."""
     h = key_hashes(keys)
     seed = seeds[(h[:, 0] % np.uint64(len(seeds))).astype(np.int64)].astype(np.int64)
-    spread = (W.mix(h[:, 1] ^ W.mix((np.maximum(seed, 0) + 1).astype(np.uint64))) % np.uint64(m)).astype(np.int64)
+    spread = _spread(h[:, 1], np.maximum(seed, 0), m)
     return np.where(seed < 0, -1 - seed, spread), (h[:, 0] >> np.uint64(32)).astype("<u4")
 
 
