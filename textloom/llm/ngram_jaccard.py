@@ -8,7 +8,7 @@
 3. Token-group matrix: a prefix filter orders shingles by a bounded frequency sketch, rarest first.
    Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only those
    tokens enter the matrix of (token, group). A token whose documents lie in one group opens nothing.
-4. Groups, and single documents of one least hash together, are split into blocks of BLOCK documents.
+4. Groups, and documents of small groups by their least hash, are split into blocks of BLOCK documents.
    The matrix bounds the overlap of a document and a
    block: sizes must allow t, and enough of the document's prefix must stand in the block's union. Blocks
    that qualify are opened: the document's whole overlap with the block's whole union must reach
@@ -231,7 +231,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # step 4: the larger document of a pair meets blocks of other groups, and must find enough of its prefix
     # in a block's union: sets x <= y that share a = ceil(t/(1+t) (x+y)) share a - ceil(t y) + 1 of their prefixes
     members = grouped.groupBy("grp").agg(F.count("*").alias("m"))
-    homes = grouped.join(members, "grp").withColumn("home", F.when(F.col("m") > 1, F.concat(F.lit("g"), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("k"), F.col("k1").cast("string"))))
+    homes = grouped.join(members, "grp").withColumn("home", F.when(F.col("m") > BLOCK, F.concat(F.lit("g"), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("k"), F.col("k1").cast("string"))))
     room = homes.groupBy("home").agg(F.count("*").alias("size"))
     split = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("string")
     blocks = saved(homes.join(room, "home").select("rep", "grp", F.concat("home", F.lit("/"), split).alias("blk")), "blocks")
