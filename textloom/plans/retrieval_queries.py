@@ -114,9 +114,18 @@ def register_freshness(t: Tables) -> DataFrame:
     return t.orders.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def _days(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("ts_day"), "event_type").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT user_id, ts_day, event_type, count(*) AS n FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS ts_day, event_type FROM events WHERE user_id % 10 = 3) GROUP BY ALL""")
 def chronology(t: Tables) -> DataFrame:
-    return t.events.where("user_id % 10 = 3").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("ts_day"), "event_type").agg(F.count("*").alias("n"))
+    return _days(t.events.where("user_id % 10 = 3"))
+
+
+@query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS ts_day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def chronology_whole(t: Tables) -> DataFrame:
+    return _days(t.events)
 
 
 @query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'withheld' WHEN quality = 1 AND toxic = 0 THEN 'exported' ELSE 'withheld' END AS outcome FROM documents LEFT JOIN labels USING (doc_id)""")
