@@ -95,15 +95,16 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def sized(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` and _size: the number of words of the whole text (null: 0)."""
+    text = text_col if text_col in keep else "_text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
-                cols = [piece.column(f.name) for f in piece.schema if f.name != "_text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(W.tokenize(piece.column("_text")).counts, pa.int64())], names=[f.name for f in piece.schema if f.name != "_text"] + ["_size"])
+            for piece in W.pieces(batch, text):
+                cols = [piece.column(k) for k in keep]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(W.tokenize(piece.column(text)).counts, pa.int64())], names=[*keep, "_size"])
 
-    df = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "_text")
+    df = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in keep)
     return df.mapInArrow(count, fields + "_size long")
 
 
@@ -154,14 +155,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with the input's columns.
 
-    Rows of one id and size share what the mix takes of them; null ids are an id of their own."""
+    Rows of one id, source and size share what the mix takes of them; null ids are an id of their own."""
     from pyspark.sql import Window as Win
 
     taken = mix(docs, id_col, text_col, source_col, **options).where("size > 0")
-    taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col("size").alias("_ms")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
+    taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col(source_col).alias("_mo"), F.col("size").alias("_ms")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
     names = docs.columns
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_mi")))
+    same = F.col(id_col).eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_mo")) & (F.col("_size") == F.col("_ms"))
+    rows = sized(docs, text_col, tuple(names)).join(taken, same)
     single = rows.where("_mk = 1 or _mt % _mk = 0").withColumn("_mc", F.expr("_mt div _mk"))
     several = rows.where("not (_mk = 1 or _mt % _mk = 0)")
-    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_ms").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
+    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_mo", "_ms").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
     return single.unionByName(several).withColumn("_mc", F.explode(F.expr("if(_mc > 0, sequence(1, _mc), cast(array() as array<bigint>))"))).select(*names)
