@@ -10,3 +10,10 @@ def test_chronology_has_every_event(spark, data):
     got = catalog.QUERIES["chronology_whole"](spark, data)
     assert got.agg(F.sum("n")).first()[0] == events.count()
     assert got.select("user_id").distinct().count() == events.select("user_id").distinct().count()
+
+
+def test_tei_export_has_every_whole_text(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    plain = F.replace(F.replace(F.replace(F.regexp_extract("tei", "(?s)<p>(.*)</p></body></text></TEI>$", 1), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    got = catalog.QUERIES["tei_export_whole"](spark, data).select("doc_id", plain.alias("t"))
+    assert got.count() == d.count() and got.join(d, "doc_id").where("t <> text").count() == 0

@@ -66,6 +66,11 @@ def tei_export(t: Tables) -> DataFrame:
     return t.documents.where("doc_id < 20").select("doc_id", R.tei(F.col("doc_id"), F.col("source"), F.substring("text", 1, 100)).alias("tei"))
 
 
+@query(r"""SELECT doc_id, '<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="s' || doc_id || '"><teiHeader><fileDesc><titleStmt><title>' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title></titleStmt></fileDesc></teiHeader><text><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></text></TEI>' AS tei FROM documents""")
+def tei_export_whole(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", R.tei(F.col("doc_id"), F.col("source"), F.col("text")).alias("tei"))
+
+
 @query(r"""SELECT 'doc' || doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN 'insert' ELSE 'set' END AS op, CASE WHEN doc_id % 3 = 0 THEN 'lang' ELSE 'source' END AS field, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS value FROM documents WHERE doc_id % 3 <> 2""")
 def schema_repairs(t: Tables) -> DataFrame:
     p = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
