@@ -50,14 +50,32 @@ def annotation_problems(t: Tables) -> DataFrame:
 
 @query(r"""WITH d AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '## ') AS x FROM documents WHERE doc_id < 50) SELECT doc_id, sha256('\' || x) IS NOT NULL AS done, (length(x) - length(replace(x, '## ', ''))) // 3 AS headings FROM d""")
 def heading_escapes(t: Tables) -> DataFrame:
-    d = t.documents.where("doc_id < 50").select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("x"))
+    return _escaped(t.documents.where("doc_id < 50"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '## ') AS x FROM documents) SELECT doc_id, sha256('\' || x) IS NOT NULL AS done, (length(x) - length(replace(x, '## ', ''))) // 3 AS headings FROM d""")
+def heading_escapes_whole(t: Tables) -> DataFrame:
+    return _escaped(t.documents)
+
+
+def _escaped(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("x"))
     there_and_back = R.unescape_headings(R.escape_headings(F.col("x"))) == F.col("x")
     return d.select("doc_id", there_and_back.alias("done"), ((F.length("x") - F.length(F.replace("x", F.lit("## "), F.lit("")))) / 3).cast("long").alias("headings"))
 
 
 @query(r"""SELECT event_id, props AS found FROM events WHERE event_id < 100""")
 def first_json_object(t: Tables) -> DataFrame:
-    e = t.events.where("event_id < 100").select("event_id", F.concat(F.lit("noise {not json} "), F.col("props"), F.lit(' {"b":2}')).alias("x"))
+    return _first_json(t.events.where("event_id < 100"))
+
+
+@query(r"""SELECT event_id, props AS found FROM events""")
+def first_json_object_whole(t: Tables) -> DataFrame:
+    return _first_json(t.events)
+
+
+def _first_json(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", F.concat(F.lit("noise {not json} "), F.col("props"), F.lit(' {"b":2}')).alias("x"))
     return e.select("event_id", R.first_json_object(F.col("x")).alias("found"))
 
 
