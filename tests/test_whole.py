@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.plans import catalog
+from textloom.plans.search_queries import TERMS
 
 
 def test_chronology_has_every_event(spark, data):
@@ -23,3 +24,11 @@ def test_heading_escapes_and_first_json_object_have_every_row(spark, data):
     got = catalog.QUERIES["heading_escapes_whole"](spark, data)
     assert got.count() == got.where("done").count() == spark.read.parquet(f"{data}/documents.parquet").count()
     assert catalog.QUERIES["first_json_object_whole"](spark, data).where("found is not null").count() == spark.read.parquet(f"{data}/events.parquet").where("props is not null").count()
+
+
+def test_fallback_fills_up_behind_many_long_hits(spark, data, tmp_path):
+    rows = [(i, " ".join(TERMS) + " long" * 300) for i in range(1000)] + [(i, "none here") for i in range(1000, 1060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["fallback_supplement"](spark, str(tmp_path)).where("route = 2").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000, 1050))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,9 +41,9 @@ def retrieve(rows: DataFrame, key: str, text: str, source: str, meta: DataFrame,
     return S.top(S.capped(fused, source, order, PER_SOURCE), limit, *order).select(key, source, F.round("score", 9).alias("score"), "direct", "rank")
 
 
-def fallback(hits: DataFrame, base: DataFrame, key: str, pool: int = 50) -> DataFrame:
-    """Hits, then hits of the base search for keys that have none."""
-    more = base.join(hits.select(key), key, "left_anti").orderBy("rank").limit(pool)
+def fallback(hits: DataFrame, base: DataFrame, key: str, *order: Column, pool: int = 50) -> DataFrame:
+    """Hits, then the first ``pool`` by order of the base rows whose keys have none."""
+    more = base.join(hits.select(key), key, "left_anti").orderBy(*order).limit(pool)
     return hits.select(key, F.lit(1).cast("long").alias("route")).unionByName(more.select(key, F.lit(2).cast("long").alias("route")))
 
 

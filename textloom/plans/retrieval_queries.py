@@ -45,8 +45,7 @@ def retrieve_fused(t: Tables) -> DataFrame:
 SELECT doc_id, 1::BIGINT AS route FROM h UNION ALL (SELECT doc_id, 2 FROM b WHERE doc_id NOT IN (SELECT doc_id FROM h) ORDER BY rank LIMIT 50)"""))
 def fallback_supplement(t: Tables) -> DataFrame:
     hits = S.bm25(t.documents, "doc_id", "text", TERMS, True)
-    base = S.top(t.documents.select("doc_id", "n_chars"), 1000, F.desc("n_chars"), F.col("doc_id"))
-    return R.fallback(hits, base, "doc_id")
+    return R.fallback(hits, t.documents.select("doc_id", "n_chars"), "doc_id", F.desc("n_chars"), F.col("doc_id"))
 
 
 @query(bm25_sql(TERMS, False, "SELECT doc_id FROM scored WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
