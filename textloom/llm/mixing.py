@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -95,27 +95,26 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def sized(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` and _size: the number of words of the whole text (null: 0)."""
-    text = text_col if text_col in keep else "_text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, text):
-                cols = [piece.column(k) for k in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(W.tokenize(piece.column(text)).counts, pa.int64())], names=[*keep, "_size"])
+            for piece in W.pieces(batch, "_text"):
+                cols = [piece.column(f.name) for f in piece.schema if f.name != "_text"]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(W.tokenize(piece.column("_text")).counts, pa.int64())], names=[f.name for f in piece.schema if f.name != "_text"] + ["_size"])
 
-    df = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in keep)
+    df = docs.select(*keep, F.col(text_col).alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "_text")
     return df.mapInArrow(count, fields + "_size long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, seed: int = 17, extra: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and ``extra`` (columns of docs by name) for every document.
 
     taken is 0, size or 2 * size. One row per source is collected to set targets.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))
-    rows = sized(rows, "_t", ("_id", "_source"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"), *[c.alias(k) for k, c in (extra or {}).items()])
+    rows = sized(rows, "_t", ("_id", "_source", *(extra or ())))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_slice", F.shiftrightunsigned("_order", 52))
     from .store import saved
 
@@ -147,23 +146,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = cuts.withColumnsRenamed({"_source": "_s", "_size": "_z", "_slice": "_l"})
     out = rows.join(cuts, F.expr("_source <=> _s and _size = _z and _slice = _l"))
     whole = out.where("_take = 0 or _take = _n or _size = 0").withColumn("_more", F.when((F.col("_take") > 0) & (F.col("_size") > 0), 1).otherwise(0))
-    part = out.where("_take > 0 and _take < _n and _size > 0").withColumn("_more", F.when(F.row_number().over(Win.partitionBy("_s", "_z", "_l").orderBy("_order", "_id")) <= F.col("_take"), 1).otherwise(0))
+    part = out.where("_take > 0 and _take < _n and _size > 0").withColumn("_more", F.when(F.row_number().over(Win.partitionBy("_s", "_z", "_l").orderBy("_order", "_id", *(extra or ()))) <= F.col("_take"), 1).otherwise(0))
     done = whole.unionByName(part).drop("_s").join(small(aim.withColumnRenamed("_source", "_s")), F.expr("_source <=> _s"))
-    return done.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_rounds") + F.col("_more"))).alias("taken"))
+    return done.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_rounds") + F.col("_more"))).alias("taken"), *(extra or ()))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with the input's columns.
 
-    Rows of one id, source and size share what the mix takes of them; null ids are an id of their own."""
+    Rows of one id, source and text (by a 128-bit digest, so of one size) share what the mix takes of them; null ids are an id of their own."""
     from pyspark.sql import Window as Win
 
-    taken = mix(docs, id_col, text_col, source_col, **options).where("size > 0")
-    taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col(source_col).alias("_mo"), F.col("size").alias("_ms")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
+    digest = {"_d1": F.xxhash64(F.col(text_col)), "_d2": F.xxhash64(F.lit(1), F.col(text_col))}
+    taken = mix(docs, id_col, text_col, source_col, extra=digest, **options).where("size > 0")
+    taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col(source_col).alias("_mo"), F.col("_d1").alias("_m1"), F.col("_d2").alias("_m2")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
+    same = F.col(id_col).eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_mo")) & (F.col("_d1") == F.col("_m1")) & (F.col("_d2") == F.col("_m2"))
     names = docs.columns
-    same = F.col(id_col).eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_mo")) & (F.col("_size") == F.col("_ms"))
-    rows = sized(docs, text_col, tuple(names)).join(taken, same)
+    rows = docs.withColumns(digest).join(taken, same)
     single = rows.where("_mk = 1 or _mt % _mk = 0").withColumn("_mc", F.expr("_mt div _mk"))
     several = rows.where("not (_mk = 1 or _mt % _mk = 0)")
-    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_mo", "_ms").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
+    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_mo", "_m1", "_m2").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
     return single.unionByName(several).withColumn("_mc", F.explode(F.expr("if(_mc > 0, sequence(1, _mc), cast(array() as array<bigint>))"))).select(*names)
