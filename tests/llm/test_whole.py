@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from textloom.llm import mixing
+import numpy as np
+import pyarrow as pa
+
+from textloom.llm import mixing, secret_scan, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -22,3 +25,11 @@ def test_mixed_shares_by_id_source_and_size(spark):
     for (i, t, s), n in got.items():
         words[i, s, len(t.split())] += n * len(t.split())
     assert words == +want and len(set(got.values())) > 1
+
+
+def test_secret_behind_a_short_core(spark):
+    """A tagged word whose secret stands behind a quote: every core of the run is looked at."""
+    ws = words.tokenize(pa.array(['x value="A1b2C3d4E5f6G7h8" y'], pa.string()))
+    raw = ws.data.tobytes()
+    found = list(secret_scan.added_spans(ws, np.array([0, 1, 0]), raw, {}))
+    assert [(d, raw[s:e]) for d, s, e in found] == [(0, b"A1b2C3d4E5f6G7h8")]

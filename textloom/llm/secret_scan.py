@@ -186,9 +186,9 @@ def added_spans(ws: W.Words, tags: np.ndarray, raw: bytes, base: dict[int, list]
         j = i + 1
         while j < ws.first[d + 1] and tags[j] == 2:
             j += 1
-        m = _CORE.search(raw, int(ws.start[i]), int(ws.end[j - 1]))
-        if m and m.end() - m.start() >= 12 and re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base.get(d, ())):
-            yield d, m.start(), m.end()
+        for m in _CORE.finditer(raw, int(ws.start[i]), int(ws.end[j - 1])):
+            if m.end() - m.start() >= 12 and re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for _, s, e in base.get(d, ())):
+                yield d, m.start(), m.end()
 
 
 def _scan(sent):
