@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 LEAST_QUOTE = 20
+#: Twice this less one is at most LEAST_QUOTE, so any place of a quote covers a whole block.
+BLOCK = 10
 
 
 def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key: str, text: str) -> DataFrame:
     """quote_key, key, at (1-based): documents that hold a quote of LEAST_QUOTE characters or more as written.
 
-    A quote is found by its longest inner word, which is a whole word of the text too: texts and quotes meet on a term, then the text is searched."""
+    A quote is found by its longest inner word, which is a whole word of the text too: texts and quotes meet on a term, then the text is searched.
+    One without an inner word meets texts on a block: of LEAST_QUOTE characters, BLOCK stand in one of the blocks that a text is cut into."""
     q = quotes.where(F.length(quote) >= LEAST_QUOTE).select(F.col(quote_key), F.col(quote).alias("_q"))
     # the inner words of a quote are whole terms of a text; the first and last may be cut
     inner = F.expr("slice(_ws, 2, greatest(size(_ws) - 2, 0))")
@@ -25,6 +28,11 @@ def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key
     words = rows.select(key, F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("_ts"))
     needles = q.where("_w is not null").select(quote_key, "_q", "_w")
     met = words.select(key, F.explode("_ts").alias("_w")).join(needles, "_w").select(key, quote_key, "_q")
+    bare = q.where("_w is null").select(quote_key, "_q")
+    if not bare.isEmpty():
+        blocks = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(.{{{BLOCK}}})"), 1))).alias("_w"))
+        grams = bare.select("_q").distinct().select("_q", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(_q) - {BLOCK - 1}), i -> substring(_q, i, {BLOCK}))"))).alias("_w"))
+        met = met.unionByName(blocks.join(grams, "_w").select(key, "_q").distinct().join(bare, "_q").select(key, quote_key, "_q"))
     found = met.join(rows.select(key, F.col(text).alias("_x")), key).withColumn("at", F.expr("instr(_x, _q)").cast("long"))
     return found.where("at > 0").select(quote_key, key, "at")
 
