@@ -1,17 +1,22 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
 Every word of every line gets marginal label probabilities by forward-backward: byte trigrams, word
-affixes and a lexicon score each label, learned transitions tie neighbours. A document's language is
-the label of the largest mean marginal over its words; the mean is its score. Work is per row: nothing
-is shuffled. Training uses up to TRAIN_DOCS documents a label (a documented bound) on the driver; the
-model has a fixed size and is broadcast.
+affixes and a lexicon score each label, learned transitions tie neighbours. The field learns from whole
+documents of one language and from lines spliced from documents of two, so that it knows what a switch
+looks like. A document's language is the label of the largest mean marginal over its words; the mean is
+its score; ``spans`` gives the runs of words of one label. Work is per row: nothing is shuffled.
 
-Null texts and texts without a letter are ``und`` with score 0; without any labelled document all are.
-Labels never enter a prediction. Repeated rows get equal rows; extra columns are ignored.
+Training uses up to TRAIN_DOCS documents a label, samples.MAX_LABELS labels, and TRAIN_CHARS characters in
+all (documented bounds) on the driver; the model has a fixed size and is broadcast.
+
+Null texts and texts without a letter are ``und`` with score 0 and no spans; without any labelled document
+all are. Labels never enter a prediction. A tie goes to the label that sorts first. Repeated rows get equal
+rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,9 +27,10 @@ from pyspark.sql import functions as F
 
 from . import crf
 from . import words as W
-from .samples import by_label, held_out
+from .samples import by_label, held_out, within
 
 TRAIN_DOCS = 120
+TRAIN_CHARS = 2_000_000
 LEXICON = 4000
 _BITS = 15
 _T = 1 << _BITS
@@ -91,12 +97,35 @@ def line_lengths(ws: W.Words) -> np.ndarray:
     return np.diff(np.append(np.flatnonzero(new), n))
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def spliced(samples: list[tuple], seed: int = 21) -> list[tuple[str, list]]:
+    """Lines that switch between two documents of different labels, two to four times, with each word's label."""
+    random, out = np.random.RandomState(seed), []
+    worded = [(y, w) for _, y, t in samples if (w := _WORD.findall(t))]
+    for y, w in worded:
+        z, v = worded[random.randint(len(worded))]
+        if y == z:
+            continue
+        line, gold = [], []
+        for k in range(random.randint(2, 5)):
+            label, words = ((y, w), (z, v))[k % 2]
+            at, size = random.randint(len(words)), random.randint(3, 13)
+            line += words[at : at + size]
+            gold += [label] * len(words[at : at + size])
+        out.append((" ".join(line), gold))
+    return out
+
+
 def train(samples: list[tuple], steps: int = 40) -> Model | None:
     """A model from (id, label, text) rows; None without any."""
+    samples = within(samples, TRAIN_CHARS)
     labels = sorted({s[1] for s in samples})
     if not labels:
         return None
-    ws = W.tokenize(pa.array([s[2] for s in samples], pa.string()), W.SPACED, lower=True)
+    lines = spliced(samples)
+    ws = W.tokenize(pa.array([s[2] for s in samples] + [t for t, _ in lines], pa.string()), W.SPACED, lower=True)
     if not len(ws.start):
         return None
     hashes = ws.hashes()
@@ -108,7 +137,9 @@ def train(samples: list[tuple], steps: int = 40) -> Model | None:
     affix = _affix_cells(ws)
     rows = np.concatenate([cells, affix.ravel(), model.known(hashes)])
     owner = np.concatenate([np.repeat(np.arange(n), size), np.repeat(np.arange(n), affix.shape[1]), np.arange(n)])
-    gold = np.repeat(np.array([labels.index(s[1]) for s in samples]), ws.counts)
+    number = {y: k for k, y in enumerate(labels)}
+    gold = np.repeat(np.array([number[s[1]] for s in samples]), ws.counts[: len(samples)])
+    gold = np.concatenate([gold, np.array([number[y] for _, ys in lines for y in ys], gold.dtype)])
     w, t = crf.fit(line_lengths(ws), rows, owner, len(model.weights), gold, len(labels), steps)
     return Model(labels, model.lexicon, w, t)
 
@@ -158,9 +189,41 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, mixed double").withColumnRenamed("id", id_col)
 
 
+def spans(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, spans: (lang, start, end) of each run of words of one label, in code points, ends exclusive."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model | None = sent.value
+        for batch in batches:
+            for piece in W.pieces(batch, "_text", PIECE):
+                out: list[list] = [[] for _ in range(piece.num_rows)]
+                if m is not None:
+                    ws, g = word_marginals(m, piece.column("_text"))
+                    points = np.concatenate([[0], np.cumsum((ws.data & 0xC0) != 0x80)])
+                    base = points[np.concatenate([[0], np.cumsum([x or 0 for x in pa.compute.binary_length(piece.column("_text")).to_pylist()])])]
+                    label = g.argmax(axis=1)
+                    owner = np.repeat(np.arange(piece.num_rows), ws.counts)
+                    new = np.ones(len(label), np.bool_)
+                    new[1:] = (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])
+                    heads = np.flatnonzero(new)
+                    for i, j in zip(heads.tolist(), np.append(heads[1:], len(label)).tolist()):
+                        d = owner[i]
+                        out[d].append({"lang": m.labels[label[i]], "start": int(points[ws.start[i]] - base[d]), "end": int(points[ws.end[j - 1]] - base[d])})
+                    for d, text in enumerate(piece.column("_text").to_pylist()):
+                        if out[d] and not _has_letter(text):
+                            out[d] = []
+                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(out, kind)], names=["id", "spans"])
+
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"id {id_kind}, spans array<struct<lang:string,start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, mixed; learns from rows of which crc32(id) mod 4 is not 2."""
-    kept = docs.select(F.col(id_col), F.col(text_col), F.col(label_col)).where(~held_out(id_col, 4, 2))
-    model = train(by_label(kept, id_col, text_col, label_col, train_docs))
+    kept = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).alias("_lang")).where(~held_out("_id", 4, 2))
+    model = train(by_label(kept, "_id", "_text", F.col("_lang"), train_docs))
     done = predict(docs, model, id_col, text_col)
     return done.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "lang_pred", "score", "mixed")

@@ -49,9 +49,13 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     hashes = ws.hashes()
     found, at = ws.windows(hashes, size)
     first = np.searchsorted(at, ws.first)
-    whole = W.mix(ws.whole(hashes))
-    for d, n in enumerate(ws.counts.tolist()):
-        yield whole[d : d + 1] if 0 < n < size else np.unique(found[first[d] : first[d + 1]])
+    short = {}
+    for n in range(1, size):
+        few = np.flatnonzero(ws.counts == n)
+        if len(few):
+            short |= dict(zip(few.tolist(), W.mix(W.runs(hashes, n)[ws.first[few]] + np.uint64(n))[:, None]))
+    for d in range(len(texts)):
+        yield short[d] if d in short else np.unique(found[first[d] : first[d + 1]])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,7 @@ def _windows(anchors, buckets: int):
         doc = np.searchsorted(ws.first, first, "right") - 1
         out = np.zeros(len(full), _WINDOW)
         out["h"], out["id"], out["at"] = full, ids[doc], first - ws.first[doc]
-        out["c"] = W.mix(W._WORDS.ranges(W._WORDS.sums(W.mix(h)), first, first + WINDOW)).astype(np.uint32)
+        out["c"] = W.runs(ws.hashes(1), WINDOW)[first].astype(np.uint32)
         return out
 
     def sent(x: np.ndarray) -> pa.RecordBatch:

@@ -134,8 +134,7 @@ class Encoder:
         cut, at = cut[inner], at[inner]
         begin, owner = np.insert(begin, at + 1, cut), np.insert(owner, at + 1, owner[at])
         end = np.append(begin[1:], off[-1])
-        sums = W._BYTES.sums(W._BYTE_VALUES[ws.data])
-        keys = W.mix(W._BYTES.ranges(sums, begin, end) + (end - begin).astype(np.uint64))
+        keys = W.byte_hashes(ws.data, begin, end)
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHE_UNITS:
             self._reset()

@@ -1,4 +1,4 @@
-"""Vectorised words of Arrow text batches: byte-class tokenisation and rolling hashes in numpy.
+"""Vectorised words of Arrow text batches: byte-class tokenisation and window hashes in numpy.
 
 A word is a maximal run of bytes of a class. All classes used here hold every byte >= 0x80 or
 only ASCII separators outside, so byte runs equal code-point runs in UTF-8.
@@ -6,6 +6,7 @@ only ASCII separators outside, so byte runs equal code-point runs in UTF-8.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _odd(seed: int) -> int:
-    return int(np.random.RandomState(seed).randint(1 << 62, dtype=np.int64)) | 1
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (the public splitmix64 constants)."""
     x = x ^ (x >> _U(30))
@@ -44,35 +41,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Rolling:
-    """Sums of value * base**position, from which any range hashes in constant time (mod 2**64)."""
-
-    def __init__(self, seed: int):
-        self.base = _odd(seed)
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.powers) <= n:
-            size = 1 << max(16, n.bit_length())
-            self.powers = np.full(size, self.base, np.uint64)
-            self.inverses = np.full(size, self.inverse, np.uint64)
-            self.powers[0] = self.inverses[0] = 1
-            np.multiply.accumulate(self.powers, out=self.powers)
-            np.multiply.accumulate(self.inverses, out=self.inverses)
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        self.grow(len(values))
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
-        return out
-
-    def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (sums[end] - sums[start]) * self.inverses[start]
-
-
-_BYTES, _WORDS = _Rolling(11), _Rolling(12)
-_BYTE_VALUES = np.random.RandomState(13).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
+#: Starting values of independent hashes.
+SEEDS = np.random.RandomState(11).randint(1, 1 << 62, 4, dtype=np.int64).astype(np.uint64)
+#: Ranges of more bytes than this are digested one by one.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number each; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each byte range, chained over its groups of eight bytes (no polynomial); long ranges by a keyed digest."""
+    size = end - start
+    chunks = eights(data)
+    h = mix(size.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + SEEDS[seed])
+    h = mix(h ^ (chunks[start] & _MASKS[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(live):
+        left = np.minimum(size[live] - at, 8)
+        h[live] = mix((h[live] + SEEDS[3]) ^ (chunks[start[live] + at] & _MASKS[left]))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=int(SEEDS[seed]).to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two neighbours, order kept."""
+    x = a * _U(0x9E3779B97F4A7C15) + b
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    return x
+
+
+def runs(hashes: np.ndarray, length: int) -> np.ndarray:
+    """One hash of each run of ``length`` values, joined from runs of powers of two."""
+    n, out, done, width, power = len(hashes), None, 0, 1, hashes
+    if n < length:
+        return np.zeros(0, np.uint64)
+    while True:
+        if length & width:
+            m = n - done - width + 1
+            out = power[:m] if out is None else _join(out[:m], power[done : done + m])
+            done += width
+        if done == length:
+            return out[: n - length + 1]
+        power = _join(power[:-width], power[width:])
+        width *= 2
 
 
 @dataclass
@@ -89,20 +111,13 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        sums = _BYTES.sums(_BYTE_VALUES[self.data])
-        return mix(_BYTES.ranges(sums, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, self.start, self.end, seed)
 
     def windows(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``length`` words inside one document, and the run's first word."""
         at = window_starts(self.first, length)
-        sums = _WORDS.sums(hashes)
-        return mix(_WORDS.ranges(sums, at, at + length) ^ _U(length)), at
-
-    def whole(self, hashes: np.ndarray) -> np.ndarray:
-        """One hash of each document's whole word sequence."""
-        sums = _WORDS.sums(hashes)
-        return mix(_WORDS.ranges(sums, self.first[:-1], self.first[1:]) ^ self.counts.astype(np.uint64))
+        return mix(runs(hashes, length)[at] ^ _U(length)), at
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
