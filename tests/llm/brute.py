@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import xxhash
+
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UP = {c: c + 32 for c in range(65, 91)}
@@ -66,19 +68,27 @@ def components(rows):
     return {i: find(i) for i, _ in rows}
 
 
+def digest(i, text):
+    """Of a text under its id: the order of different texts of one id."""
+    raw = (text or "").encode()
+    seed = 42
+    if i is None:  # the engine chains the digest behind that of the number 1
+        seed = xxhash.xxh64((1).to_bytes(4, "little"), seed=42).intdigest()
+    if text is None:
+        return seed
+    return int.from_bytes(xxhash.xxh64(raw, seed=seed).digest(), "big", signed=True)
+
+
 def dedup(rows):
-    """{doc_id: (n_words, n_removed, sha)}."""
-    first, docs = {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        docs[i] = words(t)
-    out = {}
-    for i in docs:
-        w, gone = docs[i], set()
+    """{(doc_id, text): (n_words, n_removed, sha)}."""
+    first, out = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, digest(*r))):
+        w, gone = words(t), set()
         for k in range(len(w) - 19):
             key = tuple(w[k : k + 20])
-            if first.setdefault(key, (i, k)) != (i, k):
+            if first.setdefault(key, (i, t, k)) != (i, t, k):
                 gone |= set(range(k, k + 20))
-        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+        out[i, t] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
     return out
 
 

@@ -1,11 +1,15 @@
 """Cases that an operator once left out or took too often."""
 
+import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from textloom.llm import mixing, secret_scan, words
+from tests.llm import brute
+from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -33,3 +37,96 @@ def test_secret_behind_a_short_core(spark):
     raw = ws.data.tobytes()
     found = list(secret_scan.added_spans(ws, np.array([0, 1, 0]), raw, {}))
     assert [(d, raw[s:e]) for d, s, e in found] == [(0, b"A1b2C3d4E5f6G7h8")]
+
+
+def thue_morse(n, a, b):
+    """Two words of 2 ** n letters that polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_hashes_tell_mirrored_words_apart():
+    for n in (5, 7, 9, 11, 12):
+        pair = thue_morse(n, "a", "b")
+        for seed in (0, 1):
+            h = words.tokenize(pa.array([" ".join(pair)])).hashes(seed)
+            assert h[0] != h[1]
+    a, b = thue_morse(11, "x ", "y ")
+    ws = words.tokenize(pa.array([a, b]))
+    assert words.runs(ws.hashes()[: ws.first[1]], 2048)[0] != words.runs(ws.hashes()[ws.first[1] :], 2048)[0]
+
+
+def test_runs_equal_only_for_equal_words():
+    r = np.random.RandomState(2)
+    text = " ".join(r.choice(list("ab"), 400))
+    ws = words.tokenize(pa.array([text]))
+    w = text.split()
+    for size in (1, 2, 3, 5, 10, 13, 20):
+        got, at = ws.windows(ws.hashes(), size)
+        keys = [tuple(w[i : i + size]) for i in at.tolist()]
+        assert len(at) == 401 - size and len(set(got.tolist())) == len(set(keys)) == len(set(zip(got.tolist(), keys)))
+
+
+def test_substrings_by_row(spark):
+    """One id with several texts, string and null ids, the largest id, words of mirrored letters: each row against brute force."""
+    say = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    a, b = thue_morse(10, "a", "b")
+    rows = [(0, say("t", 30)), (1, say("t", 30)), (1, say("o", 30)), (1, say("o", 25) + " x"), (2, " ".join([a] * 19 + ["z"])), (3, " ".join([b] * 19 + ["z"])), (None, say("o", 40)), (2**63 - 1, say("o", 40)), (None, None), (5, None), (1, say("o", 30))]
+    want = brute.dedup(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(df).collect())
+    assert got == Counter((i, *want[i, t]) for i, t in rows)
+    assert not any(r.n_removed for r in substring_dedup.digests(df.where("doc_id in (2, 3)")).collect())
+    named = substring_dedup.digests(df.where("doc_id < 2").selectExpr("concat('d', doc_id) as doc_id", "text")).collect()
+    assert {r.doc_id for r in named} == {"d0", "d1"} and sum(r.n_removed for r in named) >= 30 + 25
+
+
+def test_planted_secrets_of_unseen_formats(spark):
+    """The field finds nine in ten of values that no pattern knows, and hardly anything else."""
+    r = random.Random(4)
+    some = lambda n, x="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(x) for _ in range(n))
+    say = lambda n: " ".join(some(r.randint(2, 9), "aeioulnrstdm") for _ in range(n))
+    known = [say(30) + f' token = "{some(40, "0123456789abcdef")}" ' + say(10) for _ in range(60)] + [say(20) + " AKIA" + some(16, "ABCDEFGH0123456789") + " " + say(9) for _ in range(40)]
+    known += [say(30) + f" in {r.randint(1900, 2030)} at {some(5)}.{r.randint(0, 9)}@mail.example.com " + say(5) for _ in range(60)]
+    model = secret_scan.fit(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string"))
+    formats = [lambda: "ghp_" + some(36), lambda: "AIza" + some(35), lambda: "xox-" + some(12, "0123456789") + "-" + some(24), lambda: some(32)]
+    rows, spots = [], {}
+    for i in range(200):
+        front, value = say(r.randint(3, 20)) + " ", formats[i % 4]() if i < 100 else f"{some(6)}.{r.randint(10, 99)}@mail{r.randint(0, 9)}.example.org"
+        if i % 3 == 0 and i < 100:
+            front += "bearer "
+        rows.append((i, front + value + " " + say(9)))
+        spots[i] = f"crf:{len(front)}:{len(front) + len(value)}"
+    got = {x.doc_id: x.spans for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    found = sum(spots[i] in got[i] for i in range(100))
+    assert found >= 90 and sum(bool(got[i]) for i in range(100, 200)) <= 5
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = "x ".join(f'password="abcdefgh{i:08d}"\n' for i in range(40_000))
+    ws, raw = words.tokenize(pa.array([text])), text.encode()
+    began = time.time()
+    base = {0: secret_scan.base_spans(raw)}
+    assert len(base[0]) == 40_000 and not list(secret_scan.added_spans(ws, np.ones(len(ws.start), np.int8), raw, base))
+    assert time.time() - began < 5
+
+
+def test_switched_languages(spark):
+    """Runs of words of spliced lines get their own labels."""
+    r = np.random.RandomState(0)
+    own = {"en": ["the", "and", "thing", "other", "with", "shing"], "fr": ["le", "école", "été", "eaux", "que", "ouè"]}
+    known = [(i, y, " ".join(r.choice(own[y], 40))) for i in range(80) for y in (("en", "fr")[i % 2],)]
+    model = language_id.train(known)
+    front, back = " ".join(r.choice(own["en"], 9)), " ".join(r.choice(own["fr"], 7))
+    df = spark.createDataFrame([(1, front + " " + back), (2, None), (3, "12 !"), (4, "")], "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in language_id.spans(df, model).collect()}
+    assert got == {1: [("en", 0, len(front)), ("fr", len(front) + 1, len(front) + 1 + len(back))], 2: [], 3: [], 4: []}
+
+
+def test_samples_are_bounded_and_one_job(spark):
+    """Many labels, one long text, null ids and labels: the sample stays within its bounds."""
+    rows = [(i, "y" * 10, f"l{i % 90}") for i in range(900)] + [(1000, "x" * 60_000, "l1"), (None, "z", "l1"), (1001, None, "l1"), (1002, "w", None)]
+    df = spark.createDataFrame(rows, "i long, t string, l string")
+    got = samples.by_label(df, "i", "t", F.col("l"), 5)
+    assert len({y for _, y, _ in got}) == samples.MAX_LABELS and max(Counter(y for _, y, _ in got).values()) <= 5 and all(t == "y" * 10 for *_, t in got)
+    assert len(samples.within(got, 64 * 20)) <= 128 and samples.within([], 5) == []

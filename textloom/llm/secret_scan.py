@@ -202,7 +202,8 @@ def _made_up(random: np.random.RandomState) -> str:
 
 def _alike(random: np.random.RandomState) -> str:
     """Something with digits that is no secret."""
-    name, n = (lambda: _some(random, _LOWERS, 3, 11)), (lambda k: _some(random, _DIGITS, k, k + 1))
+    letters = (_LOWERS, _LOWERS, _LOWERS, _ALPHABETS[1])[random.randint(4)]
+    name, n = (lambda: _some(random, letters, 3, 11)), (lambda k: _some(random, _DIGITS, k, k + 1))
     return (
         lambda: f"{name()}.{n(2)}@{name()}{n(1)}.{name()}.com", lambda: f"https://{name()}.{name()}.org/{name()}/{n(4)}.html", lambda: f"20{n(2)}-0{n(1)}-1{n(1)}T0{n(1)}:1{n(1)}:2{n(1)}Z",
         lambda: f"v{n(1)}.{n(2)}.{n(1)}-{name()}{n(1)}", lambda: f"/{name()}/{name()}{n(2)}/{name()}.{name()}", lambda: f"{n(3)}.{n(2)}.{n(1)}.{n(3)}", lambda: n(16), lambda: f"{name()}_{name()}_{name()}{n(1)}",

@@ -8,13 +8,15 @@ hashed, all but the first of a task are repeats at once, the first ones meet in
 all but the earliest are repeats; overlapping repeats make up maximal exact repeats; (4) documents drop the
 words of repeats.
 
-The bitmaps have 2 ** FILTER_BITS bits whatever the input's size; a full one only lets more windows
+The bitmaps have eight bits a block, 2 ** FILTER_BITS at most; a full one only lets more windows
 through to the exact steps. A window that occurs n times is sent once a task, so hot passages stay small,
-and nothing is paired with anything. Windows compare by 96 bits of hash.
+and nothing is paired with anything. Tasks hold one bucket at a time. Windows compare by 96 bits of two
+independent hashes.
 
-Null and empty texts have no words. Texts of under 20 words lose nothing. Rows of one id are one
-document: equal copies of a row are kept alike. Ids are integers; a null id comes after all others. Extra
-columns are ignored by ``digests``.
+Null and empty texts have no words. Texts of under 20 words lose nothing. Rows of one id and text are one
+document: they are kept alike. Different texts of one id are different documents, in the order of their
+64-bit digests. Ids that are no integers are ordered by a 64-bit hash; a null id comes after all others. An
+empty table gives an empty result; extra columns are ignored by ``digests``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -32,47 +34,72 @@ from .store import saved
 
 WINDOW = 20
 ANCHOR = 10
+#: Bits of a bitmap's address at most (and at least FEWEST_BITS).
 FILTER_BITS = 28
+FEWEST_BITS = 18
 SLICES = 64
 #: First windows that a task holds before it sends them; repeats among them need not travel.
 HELD = 1_000_000
-_SHIFT = np.uint64(64 - FILTER_BITS)
 _LAST = np.iinfo(np.int64).max
 _PACKED = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
 
-def _bits(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def filter_bits(rows: DataFrame) -> int:
+    """Address bits of a bitmap for the blocks of all texts, reckoned from their characters."""
+    chars = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
+    return min(FILTER_BITS, max(FEWEST_BITS, int(chars // 8).bit_length()))
+
+
+def _bits(cells: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
     """Cells of a bitmap by slice, packed."""
     cells = np.unique(cells)
-    size = (1 << FILTER_BITS) // SLICES
+    size = (1 << bits) // SLICES
     bounds = np.searchsorted(cells, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(size))
     for s in range(SLICES):
         if bounds[s] < bounds[s + 1]:
             yield s, (cells[bounds[s] : bounds[s + 1]] - np.uint64(s * size)).astype("<u4").tobytes()
 
 
-def _cells(hashes: np.ndarray, second: bool = False) -> np.ndarray:
-    return (W.mix(hashes + np.uint64(77)) if second else hashes) >> _SHIFT
-
-
-def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size, maps = (1 << FILTER_BITS) // SLICES, {}
-    for batch in batches:
-        for s, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
-            maps.setdefault(s, np.zeros(size, np.bool_))[np.frombuffer(raw.as_buffer(), "<u4")] = True
-    for s, m in maps.items():
-        yield _rows([(s, np.packbits(m, bitorder="little").tobytes())])
+def _cells(hashes: np.ndarray, bits: int, second: bool = False) -> np.ndarray:
+    return (W.mix(hashes + np.uint64(77)) if second else hashes) >> np.uint64(64 - bits)
 
 
 def _rows(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], schema=_PACKED)
 
 
-def _bitmap(rows: DataFrame):
-    """Broadcast of a whole bitmap: 2 ** FILTER_BITS bits are collected, a fixed size."""
-    merged = saved(rows.repartition(SLICES, "bucket").mapInArrow(_merge_bits, "bucket int, packed binary"), "bitmap")
-    parts = {r[0]: bytes(r[1]) for r in merged.toLocalIterator()}
-    empty = bytes((1 << FILTER_BITS) // SLICES // 8)
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The rows of each bucket; rows come sorted by it, so one bucket is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+            if b != now and held:
+                yield now, held
+                held = []
+            now = b
+            held.append(raw.as_py())
+    if held:
+        yield now, held
+
+
+def _bitmap(rows: DataFrame, bits: int):
+    """Broadcast of a whole bitmap: 2 ** bits bits are collected, a bounded size."""
+    size = (1 << bits) // SLICES
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, parts in _buckets(batches):
+            m = np.zeros(size, np.bool_)
+            for raw in parts:
+                m[np.frombuffer(raw, "<u4")] = True
+            yield _rows([(s, np.packbits(m, bitorder="little").tobytes())])
+
+    merged = saved(_dealt(rows, SLICES).mapInArrow(merge, "bucket int, packed binary"), "bitmap")
+    parts = {r[0]: bytes(r[1]) for r in merged.collect()}
+    empty = bytes(size // 8)
     return rows.sparkSession.sparkContext.broadcast(b"".join(parts.get(i, empty) for i in range(SLICES)))
 
 
@@ -80,13 +107,16 @@ def _known(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bitmap[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in W.pieces(batch, "_text"):
-            ws = W.tokenize(piece.column("_text"))
-            hashes, at, owner = _anchors(ws)
-            own = (at - ws.first[owner]) % ANCHOR == 0
-            yield _rows(list(_bits(_cells(hashes[own]))))
+def _blocks(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch, "_text"):
+                ws = W.tokenize(piece.column("_text"))
+                hashes, at, owner = _anchors(ws)
+                own = (at - ws.first[owner]) % ANCHOR == 0
+                yield _rows(list(_bits(_cells(hashes[own], bits), bits)))
+
+    return run
 
 
 def _anchors(ws: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +130,7 @@ def _split(order_key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def _probes(index, buckets: int):
+def _probes(index, buckets: int, bits: int):
     """Hashes of windows that a block may equal; low bits: is a block, seen twice in this piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +140,7 @@ def _probes(index, buckets: int):
                 ws = W.tokenize(piece.column("_text"))
                 hashes, at, owner = _anchors(ws)
                 own = (at - ws.first[owner]) % ANCHOR == 0
-                hit = own | _known(bitmap, _cells(hashes))
+                hit = own | _known(bitmap, _cells(hashes, bits))
                 key = hashes[hit] & ~np.uint64(3)
                 distinct, back, count = np.unique(key, return_inverse=True, return_counts=True)
                 flags = np.zeros(len(distinct), np.uint64)
@@ -123,34 +153,34 @@ def _probes(index, buckets: int):
     return run
 
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _live(bits: int):
     """Cells of blocks that occur twice or more."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
-            held.setdefault(b, []).append(np.frombuffer(raw.as_buffer(), "<u8"))
-    for parts in held.values():
-        x = np.sort(np.concatenate(parts))
-        key = x & ~np.uint64(3)
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        flags = np.bitwise_or.reduceat(x & np.uint64(3), heads)
-        count = np.diff(np.append(heads, len(x)))
-        live = key[heads][((flags & np.uint64(1)) == 1) & ((count > 1) | (flags >= 2))]
-        if len(live):
-            yield _rows(list(_bits(np.concatenate([_cells(live), _cells(live, True)]))))
-
-
-def _windows(anchors, buckets: int):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _buckets(batches):
+            x = np.sort(np.frombuffer(b"".join(parts), "<u8"))
+            key = x & ~np.uint64(3)
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            flags = np.bitwise_or.reduceat(x & np.uint64(3), heads)
+            count = np.diff(np.append(heads, len(x)))
+            live = key[heads][((flags & np.uint64(1)) == 1) & ((count > 1) | (flags >= 2))]
+            if len(live):
+                yield _rows(list(_bits(np.concatenate([_cells(live, bits), _cells(live, bits, True)]), bits)))
+
+    return run
+
+
+def _windows(anchors, buckets: int, bits: int):
     """(bucket, windows) of the first window of each kind over an anchor, and (below 0, places) of the others."""
 
     def over_anchors(piece: pa.RecordBatch, bitmap: np.ndarray) -> np.ndarray:
         ws = W.tokenize(piece.column("_text"))
-        ids = piece.column("_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
+        ids, texts = piece.column("_key").to_numpy(), piece.column("_x").to_numpy()
         h = ws.hashes()
         hashes, at = ws.windows(h, ANCHOR)
         key = hashes & ~np.uint64(3)
-        hit = _known(bitmap, _cells(key))
-        hit[hit] = _known(bitmap, _cells(key[hit], True))
+        hit = _known(bitmap, _cells(key, bits))
+        hit[hit] = _known(bitmap, _cells(key[hit], bits, True))
         upto = np.zeros(len(ws.start) + 1, np.int32)
         upto[at[hit] + 1] = 1
         upto = np.cumsum(upto, dtype=np.int32)
@@ -159,7 +189,7 @@ def _windows(anchors, buckets: int):
         full, first = full[use], first[use]
         doc = np.searchsorted(ws.first, first, "right") - 1
         out = np.zeros(len(full), _WINDOW)
-        out["h"], out["id"], out["at"] = full, ids[doc], first - ws.first[doc]
+        out["h"], out["id"], out["x"], out["at"] = full, ids[doc], texts[doc], first - ws.first[doc]
         out["c"] = W.runs(ws.hashes(1), WINDOW)[first].astype(np.uint32)
         return out
 
@@ -185,27 +215,27 @@ def _windows(anchors, buckets: int):
     return run
 
 
-_WINDOW = np.dtype([("h", "<u8"), ("id", "<i8"), ("c", "<u4"), ("at", "<u4")])
+_WINDOW = np.dtype([("h", "<u8"), ("id", "<i8"), ("x", "<i8"), ("c", "<u4"), ("at", "<u4")])
 
 
 def _earliest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest window of each kind, and all that are later than it."""
-    x = x[np.lexsort((x["at"], x["id"], x["c"], x["h"]))]
+    x = x[np.lexsort((x["at"], x["x"], x["id"], x["c"], x["h"]))]
     new = np.ones(len(x), np.bool_)
     new[1:] = (x["h"][1:] != x["h"][:-1]) | (x["c"][1:] != x["c"][:-1])
     first = x[new]
     lead = np.cumsum(new) - 1
-    return first, x[(x["id"] != first["id"][lead]) | (x["at"] != first["at"][lead])]
+    return first, x[(x["id"] != first["id"][lead]) | (x["x"] != first["x"][lead]) | (x["at"] != first["at"][lead])]
 
 
-_PLACE = np.dtype([("id", "<i8"), ("at", "<u4")])
+_PLACE = np.dtype([("id", "<i8"), ("x", "<i8"), ("at", "<u4")])
 
 
 def _late_rows(late: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
     """Places of later windows by a bucket of their documents, numbered from -1 down."""
     places = np.zeros(len(late), _PLACE)
-    places["id"], places["at"] = late["id"], late["at"]
-    order, bounds = _split(W.mix(places["id"].astype(np.uint64)), buckets)
+    places["id"], places["x"], places["at"] = late["id"], late["x"], late["at"]
+    order, bounds = _split(W.mix(places["id"].astype(np.uint64) ^ W.mix(places["x"].astype(np.uint64))), buckets)
     places = places[order]
     return [(-1 - b, places[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
 
@@ -214,31 +244,27 @@ def _later(buckets: int):
     """Of the first windows of the tasks, all but the earliest; what tasks found themselves passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            found = []
-            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
-                if b < 0:
-                    found.append((b, raw.as_py()))
-                else:
-                    held.setdefault(b, []).append(np.frombuffer(raw.as_py(), _WINDOW))
-            yield _rows(found)
-        late = [_earliest(np.concatenate(parts))[1] for parts in held.values()]
-        if late:
-            yield _rows(_late_rows(np.concatenate(late), buckets))
+        for b, parts in _buckets(batches):
+            if b < 0:
+                yield _rows([(b, p) for p in parts])
+            else:
+                late = _earliest(np.frombuffer(b"".join(parts), _WINDOW))[1]
+                if len(late):
+                    yield _rows(_late_rows(late, buckets))
 
     return run
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document of this task's buckets: the starts of its later windows."""
-    held = [np.frombuffer(raw.as_py(), _PLACE) for batch in batches for raw in batch.column("packed")]
-    x = np.concatenate(held) if held else np.zeros(0, _PLACE)
-    x = x[np.lexsort((x["at"], x["id"]))]
-    heads = np.flatnonzero(np.concatenate([[True], x["id"][1:] != x["id"][:-1]])) if len(x) else np.zeros(0, np.int64)
-    bounds = np.append(heads, len(x)).tolist()
-    at = np.ascontiguousarray(x["at"])
-    yield pa.RecordBatch.from_arrays([pa.array(x["id"][heads], pa.int64()), pa.array([at[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["id", "_starts"])
+    """One row a document: the starts of its later windows."""
+    for _, parts in _buckets(batches):
+        x = np.frombuffer(b"".join(parts), _PLACE)
+        x = x[np.lexsort((x["at"], x["x"], x["id"]))]
+        heads = np.flatnonzero(np.concatenate([[True], (x["id"][1:] != x["id"][:-1]) | (x["x"][1:] != x["x"][:-1])]))
+        bounds = np.append(heads, len(x)).tolist()
+        at = np.ascontiguousarray(x["at"])
+        starts = [at[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(x["id"][heads], pa.int64()), pa.array(x["x"][heads], pa.int64()), pa.array(starts, pa.binary())], names=["id", "x", "_starts"])
 
 
 def _repeated(starts: bytes | None, n: int) -> np.ndarray:
@@ -251,20 +277,30 @@ def _repeated(starts: bytes | None, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _document(id_col: str, kind: str) -> dict[str, Column]:
+    """_key and _x: the document of a row, in the order of documents."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    key = F.col(id_col).cast("long") if whole else F.xxhash64(F.col(id_col).cast("string"))
+    digest = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), "_text")).otherwise(F.xxhash64("_text"))
+    return {"_key": F.when(F.col(id_col).isNull(), F.lit(_LAST)).otherwise(key), "_x": digest}
+
+
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """_id, _text, ``carry`` as _c_<name> and _starts: the starts of repeated windows, packed, null without any."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    rows = base.select("_id", "_text")
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    base = base.withColumns(_document("_id", docs.schema[id_col].dataType.simpleString()))
+    rows = base.select("_key", "_x", "_text")
+    bits = filter_bits(rows)
     pair = "bucket int, packed binary"
-    index = _bitmap(rows.mapInArrow(_blocks, pair))
-    live = rows.mapInArrow(_probes(index, buckets), pair).repartition(n, "bucket").mapInArrow(_live, pair)
-    anchors = _bitmap(live)
-    found = rows.mapInArrow(_windows(anchors, buckets), pair).repartition(n, "bucket").mapInArrow(_later(buckets), pair)
-    starts = found.repartition(n, "bucket").mapInArrow(_starts, "id long, _starts binary")
-    return base.join(starts, F.coalesce("_id", F.lit(_LAST)) == F.col("id"), "left").drop("id")
+    index = _bitmap(rows.mapInArrow(_blocks(bits), pair), bits)
+    live = _dealt(rows.mapInArrow(_probes(index, buckets, bits), pair), n).mapInArrow(_live(bits), pair)
+    anchors = _bitmap(live, bits)
+    found = _dealt(rows.mapInArrow(_windows(anchors, buckets, bits), pair), n).mapInArrow(_later(buckets), pair)
+    starts = _dealt(found, n).mapInArrow(_starts, "id long, x long, _starts binary")
+    return base.join(starts, (F.col("_key") == F.col("id")) & (F.col("_x") == F.col("x")), "left").drop("id", "x", "_key", "_x")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +323,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     sums.append(hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(lo.tolist(), hi.tolist())])).hexdigest())
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(ws.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(runs, pa.int64())], names=["id", "n_words", "n_removed", "kept_sha256", "n_repeats"])
 
-    return marked(docs, id_col, text_col).select("_id", "_text", "_starts").mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string, n_repeats long").withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return marked(docs, id_col, text_col).select("_id", "_text", "_starts").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, n_repeats long").withColumnRenamed("id", id_col)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
