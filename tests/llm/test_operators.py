@@ -195,7 +195,7 @@ def test_token_round_trip(spark, frame, docs, vocabulary, tmp_path):
         want[d[0]] = (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert got == want
-    found = token_output.lookup(spark, path, [5, 9, 10_000])
+    found = token_output.Reader(spark, path).get([5, 9, 10_000, -1])
     assert set(found) == {5, 9} and found[9] == tk.encode(docs[9][1], add_special_tokens=False).ids + [0]
 
 

@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, words
+from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, token_output, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -130,3 +131,39 @@ def test_samples_are_bounded_and_one_job(spark):
     got = samples.by_label(df, "i", "t", F.col("l"), 5)
     assert len({y for _, y, _ in got}) == samples.MAX_LABELS and max(Counter(y for _, y, _ in got).values()) <= 5 and all(t == "y" * 10 for *_, t in got)
     assert len(samples.within(got, 64 * 20)) <= 128 and samples.within([], 5) == []
+
+
+def test_tokens_of_mirrored_and_long_words(spark):
+    """Units whose polynomial hashes would be equal, and units of thousands of bytes, against the plain tokenizer."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(P.path("byte_bpe_50k.json"))
+    texts = [x for n in (9, 11) for x in thue_morse(n, "a", "b")] + [" ".join(thue_morse(6, "a", "b")), "w" * 5000 + " end", " é" * 300, "x" * 256 + " " + "y" * 257, "it's a\u00a0b  ", None]
+    with open(path, "rb") as f:
+        encoder = token_output.Encoder(f.read())
+    tk = Tokenizer.from_file(path)
+    for _ in range(2):  # the second time from the cache
+        got = encoder.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in got] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # a cache that holds another unit under a unit's hash is noticed
+    encoder.bytes[: encoder.filled] ^= 1
+    got = encoder.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_one_hot_id_fills_many_shards(spark, tmp_path, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    rows = [(7, f"t {i}") for i in range(400)] + [(None, "n")] * 30 + [(9, "last one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "t")
+    out = token_output.digests(df, str(P.path("byte_bpe_50k.json")), path=path).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [None] * 30 + [7] * 400 + [9]
+    sizes = [r.n_docs for r in spark.read.parquet(path).collect()]
+    assert len(sizes) >= 3 and max(sizes) < 300
+    assert token_output.Reader(spark, path).get([9, 8]) == {9: token_output.Reader(spark, path).get([9])[9]}

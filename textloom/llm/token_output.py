@@ -1,18 +1,22 @@
-"""Token-id output with a minimal perfect hash index per block.
-
-Documents are range-partitioned by key, encoded, and written in ascending key order as a table of
-blocks: raw little-endian ids (16 bits where the vocabulary allows it) plus an index. The index maps
-a key to a slot by hash-and-displace: a bucket's stored seed sends all its keys to free slots, so m
-keys fill exactly m slots; each slot holds the payload offset, length and a fingerprint of its key,
-and a key that is not in the block is refused by the fingerprint (a miss in 2**32).
-
-Keys are (id, occurrence), so repeated ids keep all rows (in any order among equal ids); null ids
-come first; null text is empty. Every document ends with the end id. Files are written by Spark's
-committed writer into the shared folder, so lost executors leave no partial shard.
+"""Token-id output: shards of raw ids, each with a minimal perfect hash index.
+
+Texts are encoded where they are read; only ids travel. They are range-partitioned by (key, place of reading)
+and written in ascending key order as a table of shards: raw little-endian ids (16 bits where the vocabulary
+allows it) and an index. The index maps a key to a slot by hash-and-displace: a bucket's stored seed sends
+all its keys to free slots, so m keys fill exactly m slots; each slot holds the payload's offset and length
+and a fingerprint of its key, and a key that is not in the shard is refused by the fingerprint (a miss in
+2**32). Keys are not part of the index; ``doc_ids`` lists a shard's documents in order for readers that want
+all of them. A keyed read finds the shard by its range, reads that one row and goes straight to the offset.
+
+Keys are (id, occurrence in its shard), so repeated ids keep all rows (in any order among equal ids) and no
+id fills one task; null ids come first; null text is empty. Every document ends with the end id. An empty
+table gives an empty result; extra columns are ignored. Tables are written by Spark's committed writer into
+the shared folder, so lost executors leave no partial shard; the vocabulary is sent to executors as bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 import re
@@ -26,13 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import fresh_path
+from .store import fresh_path, saved
 
-BLOCK_DOCS = 1024
-BLOCK_IDS = 1 << 20
+#: A shard ends at so many documents or ids.
+SHARD_DOCS = 1 << 16
+SHARD_IDS = 4 << 20
 CACHE_UNITS = 3_000_000
-#: Rows that reach a worker at once while encoding.
-BATCH_ROWS = 1000
 #: Unicode white space beyond ASCII; texts with it, or with a special token, are encoded whole.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -46,13 +49,14 @@ _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 class Encoder:
     """Whole texts to ids. White-space-led units encode alike wherever they stand (no pre-token
     crosses the gap before white space), so each distinct unit is encoded once and kept in a
-    bounded cache; texts for which that might not hold are encoded whole."""
+    bounded cache, found by hash and compared byte by byte; texts for which any of that does not hold,
+    and texts with units of over W.LONG bytes, are encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         #: bytes of each id: the vocabulary writes a byte as one character
@@ -64,6 +68,8 @@ class Encoder:
         self.known, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used, self.n = np.zeros(1 << 20, self.dtype), 0, 0
         self.starts, self.sizes = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        #: bytes of each known unit, eight spare ones behind them
+        self.bytes, self.filled, self.spelled = np.zeros(1 << 20, np.uint8), 0, np.zeros(0, np.int64)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         """Slots of sorted keys, -1 for new ones."""
@@ -100,11 +106,32 @@ class Encoder:
         for i in alone:
             ids = self._whole(units[i])
             self._add(ids, np.array([len(ids)]))
+        spelling = np.frombuffer(b"".join([units[i] for i in led + alone]), np.uint8)
+        while self.filled + len(spelling) + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.filled : self.filled + len(spelling)] = spelling
+        sizes = np.array([len(units[i]) for i in led + alone], np.int64)
+        self.spelled = np.concatenate([self.spelled, self.filled + np.cumsum(sizes) - sizes])
+        self.filled += len(spelling)
         new, slots = keys[led + alone], np.arange(first, self.n, dtype=np.int32)
         order = np.argsort(new)
         at = np.searchsorted(self.known, new[order])
         self.known, self.slot_of = np.insert(self.known, at, new[order]), np.insert(self.slot_of, at, slots[order])
 
+    def _differ(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Units (ranges of data) that are spelled otherwise than their slots' units."""
+        given, known = W.eights(data), np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, strides=(1,))
+        size, own = end - begin, self.spelled[slot]
+        ends = np.append(self.spelled, self.filled)
+        bad = size != ends[slot + 1] - own
+        live, at = np.flatnonzero(~bad), 0
+        while len(live):
+            mask = W.MASKS[np.minimum(size[live] - at, 8)]
+            bad[live] |= ((given[begin[live] + at] ^ known[own[live] + at]) & mask) != 0
+            at += 8
+            live = live[(size[live] > at) & ~bad[live]]
+        return bad
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         ws = W.tokenize(texts)
         n = len(texts)
@@ -135,6 +162,9 @@ class Encoder:
         begin, owner = np.insert(begin, at + 1, cut), np.insert(owner, at + 1, owner[at])
         end = np.append(begin[1:], off[-1])
         keys = W.byte_hashes(ws.data, begin, end)
+        long = end - begin > W.LONG  # encoded with their whole texts; here they stand for nothing
+        odd |= set(owner[long].tolist())
+        begin, end, owner, keys = begin[~long], end[~long], owner[~long], keys[~long]
         distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > CACHE_UNITS:
             self._reset()
@@ -145,6 +175,7 @@ class Encoder:
             self._learn(distinct[new], [raw[a:b] for a, b in zip(begin[spots].tolist(), end[spots].tolist())], bool(odd))
             slots = self._slots(distinct)
         slot = slots[back] if len(back) else np.zeros(0, np.int64)
+        odd |= set(owner[self._differ(ws.data, begin, end, slot)].tolist())
         sizes = self.sizes[slot].astype(np.int64)
         upto = np.cumsum(sizes)
         flat = self.pool[np.repeat(self.starts[slot] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
@@ -202,71 +233,81 @@ def find_slots(seeds: np.ndarray, m: int, keys: list[str]) -> tuple[np.ndarray,
     return np.where(seed < 0, -1 - seed, spread), (h[:, 0] >> np.uint64(32)).astype("<u4")
 
 
-BLOCK = "shard int, block int, first_id {kind}, last_id {kind}, n_docs int, before long, n_ids long, width int, keys array<string>, doc_ids array<{kind}>, seeds binary, fingerprints binary, offsets binary, lengths binary, payload binary"
+SHARD = "shard long, first_id {kind}, last_id {kind}, n_docs int, n_ids long, width int, doc_ids array<{kind}>, seeds binary, fingerprints binary, offsets binary, lengths binary, payload binary"
+
+
+def _keys(ids: list) -> list[str]:
+    """Of the documents of a shard, in order: id and occurrence."""
+    out, last, seen = [], object(), 0
+    for i in ids:
+        seen = seen + 1 if i == last else 0
+        last = i
+        out.append(f"{'null' if i is None else i!s}{'~' if i is None else '#'}{seen}")
+    return out
+
+
+def _shard(number: int, ids: list, parts: list[bytes], width: int) -> dict:
+    keys = _keys(ids)
+    seeds, slot = build_index(keys)
+    sizes = np.array([len(p) // width for p in parts], np.int64)
+    offsets, lengths, prints = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<u4")
+    offsets[slot], lengths[slot] = np.cumsum(sizes) - sizes, sizes
+    prints[slot] = (key_hashes(keys)[:, 0] >> np.uint64(32)).astype("<u4")
+    return {"shard": number, "first_id": ids[0], "last_id": ids[-1], "n_docs": len(ids), "n_ids": int(sizes.sum()), "width": width, "doc_ids": ids, "seeds": seeds.astype("<i4").tobytes(),
+            "fingerprints": prints.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(), "payload": b"".join(parts)}
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
-    """Writes the blocks of all documents below ``path``."""
+    """Writes the shards of all documents below ``path``. ``vocabulary``: a tokenizer file that the driver can read."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with open(vocabulary, "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
-        shard, block, before = TaskContext.get().partitionId(), 0, 0
-        ids: list = []
-        parts: list[np.ndarray] = []
-        keys: list[str] = []
-        last, seen, held = object(), 0, 0
-
-        def flush() -> pa.RecordBatch:
-            seeds, slot = build_index(keys)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            offsets, lengths, prints = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<u4")
-            offsets[slot], lengths[slot] = np.cumsum(sizes) - sizes, sizes
-            prints[slot] = (key_hashes(keys)[:, 0] >> np.uint64(32)).astype("<u4")
-            row = {"shard": shard, "block": block, "first_id": ids[0], "last_id": ids[-1], "n_docs": len(ids), "before": before, "n_ids": int(sizes.sum()), "width": encoder.dtype.itemsize, "keys": list(keys), "doc_ids": list(ids),
-                   "seeds": seeds.astype("<i4").tobytes(), "fingerprints": prints.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(), "payload": np.concatenate(parts).tobytes()}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
+        encoder, at = _encoder(sent.value), TaskContext.get().partitionId() << 36
+        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            id_type = batch.schema.field("_id").type
-            schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", id_type), ("last_id", id_type), ("n_docs", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("keys", pa.list_(pa.string())), ("doc_ids", pa.list_(id_type)), ("seeds", pa.binary()), ("fingerprints", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
             for piece in W.pieces(batch, "_text"):
-                for key, part in zip(piece.column("_id").to_pylist(), encoder.encode(piece.column("_text"))):
-                    seen = seen + 1 if key == last else 0
-                    last = key
-                    ids.append(key)
-                    keys.append(f"{'' if key is None else key}#{seen}" if key is not None else f"null#{seen}")
-                    parts.append(np.append(part, encoder.dtype.type(end_id)))
-                    held += len(part) + 1
-                    if len(ids) >= BLOCK_DOCS or held >= BLOCK_IDS:
-                        yield flush()
-                        before, block, held = before + held, block + 1, 0
-                        ids, parts, keys = [], [], []
+                ids = [part.tobytes() + end for part in encoder.encode(piece.column("_text"))]
+                seq = np.arange(at, at + len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(seq, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), encoder.dtype.itemsize), pa.int32())], names=["_id", "_seq", "_ids", "_width"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, parts, held, width = TaskContext.get().partitionId() << 24, [], [], 0, 2
+        schema = None
+        for batch in batches:
+            id_type = batch.schema.field("_id").type
+            schema = pa.schema([("shard", pa.int64()), ("first_id", id_type), ("last_id", id_type), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(id_type)), ("seeds", pa.binary()), ("fingerprints", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary()), ("payload", pa.binary())])
+            for key, raw, width in zip(batch.column("_id").to_pylist(), batch.column("_ids"), batch.column("_width").to_pylist()):
+                ids.append(key)
+                parts.append(raw.as_py())
+                held += len(parts[-1]) // width
+                if len(ids) >= SHARD_DOCS or held >= SHARD_IDS:
+                    yield pa.RecordBatch.from_pylist([_shard(number, ids, parts, width)], schema=schema)
+                    number, ids, parts, held = number + 1, [], [], 0
         if ids:
-            yield flush()
+            yield pa.RecordBatch.from_pylist([_shard(number, ids, parts, width)], schema=schema)
 
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(BATCH_ROWS))
-    try:
-        rows.mapInArrow(encode, BLOCK.format(kind=kind)).write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(name, before)
+    encoded = saved(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"_id {kind}, _seq long, _ids binary, _width int"), "encoded")
+    ordered = encoded.repartitionByRange(n, "_id", "_seq").sortWithinPartitions("_id", "_seq")
+    ordered.mapInArrow(pack, SHARD.format(kind=kind)).write.option("compression", "zstd").parquet(path)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(vocabulary: bytes) -> Encoder:
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary)
+    return _ENCODERS[key]
 
 
 def _payload(row: dict, keys: list[str]) -> Iterator[np.ndarray | None]:
-    """Ids of each key by the block's index; None for a key that is not there."""
+    """Ids of each key by the shard's index; None for a key that is not there."""
     seeds, m = np.frombuffer(row["seeds"], "<i4"), row["n_docs"]
     ids = np.frombuffer(row["payload"], "<u2" if row["width"] == 2 else "<u4")
     prints, offsets, lengths = np.frombuffer(row["fingerprints"], "<u4"), np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["lengths"], "<i8")
@@ -278,40 +319,51 @@ def read_back(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
     """doc_id, start, n_tokens, ids_crc32 of every document, each fetched by its key.
 
     One row per shard is collected to place the shards."""
-    blocks = spark.read.parquet(path)
-    kind = blocks.schema["first_id"].dataType.simpleString()
-    totals = sorted((r[0], int(r[1])) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
+    shards = spark.read.parquet(path)
+    kind = shards.schema["first_id"].dataType.simpleString()
     starts, at = {}, 0
-    for shard, n in totals:
+    for shard, n in sorted(tuple(r) for r in shards.select("shard", "n_ids").collect()):
         starts[shard], at = at, at + n
+    sent = spark.sparkContext.broadcast(starts)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                at, out = starts[row["shard"]] + row["before"], []
-                for key, ids in zip(row["doc_ids"], _payload(row, row["keys"])):
+                at, out = sent.value[row["shard"]], []
+                for key, ids in zip(row["doc_ids"], _payload(row, _keys(row["doc_ids"]))):
                     out.append((key, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
                 k, s, n, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, batch.schema.field("first_id").type), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
-
-    return blocks.mapInArrow(digest, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
-
-
-def lookup(spark: SparkSession, path: str, keys: list) -> dict:
-    """Ids of the first document of each key (a short list); only blocks whose range holds a key are opened."""
-    blocks = spark.read.parquet(path)
-    wanted = F.lit(False)
-    for k in keys:
-        wanted = wanted | ((F.col("first_id") <= k) & (F.col("last_id") >= k))
-    found: dict = {}
-    for row in blocks.where(wanted).toLocalIterator():
-        row = row.asDict()
-        for k, ids in zip(keys, _payload(row, [f"{k}#0" for k in keys])):
-            if ids is not None:
-                found.setdefault(k, ids.tolist())
-    return found
+                yield pa.RecordBatch.from_arrays([pa.array(k, batch.schema.field("doc_ids").type.value_type), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+
+    read = shards.select("shard", "n_docs", "width", "doc_ids", "seeds", "fingerprints", "offsets", "lengths", "payload")
+    return read.mapInArrow(digest, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+
+
+class Reader:
+    """Keyed access: the shards' ranges are read once (one row a shard); each look-up then opens one shard's row a key."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.shards = spark.read.parquet(path).drop("doc_ids")
+        rows = self.shards.select("first_id", "last_id", "shard").where("last_id is not null").collect()
+        rows.sort(key=lambda r: r.shard)
+        self.last, self.numbers = [r.last_id for r in rows], [r.shard for r in rows]
+
+    def get(self, keys: list) -> dict:
+        """Ids of the first document of each key that is there."""
+        where: dict[int, list] = {}
+        for k in keys:
+            i = bisect.bisect_left(self.last, k)
+            if i < len(self.last):
+                where.setdefault(self.numbers[i], []).append(k)
+        found: dict = {}
+        for row in self.shards.where(F.col("shard").isin(list(where))).toLocalIterator() if where else ():
+            row = row.asDict()
+            for k, ids in zip(where[row["shard"]], _payload(row, [f"{k}#0" for k in where[row["shard"]]])):
+                if ids is not None:
+                    found[k] = ids.tolist()
+        return found
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

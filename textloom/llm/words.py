@@ -45,7 +45,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 SEEDS = np.random.RandomState(11).randint(1, 1 << 62, 4, dtype=np.int64).astype(np.uint64)
 #: Ranges of more bytes than this are digested one by one.
 LONG = 256
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Of the first k bytes of an eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -59,12 +60,12 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     size = end - start
     chunks = eights(data)
     h = mix(size.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + SEEDS[seed])
-    h = mix(h ^ (chunks[start] & _MASKS[np.minimum(size, 8)]))
+    h = mix(h ^ (chunks[start] & MASKS[np.minimum(size, 8)]))
     live = np.flatnonzero((size > 8) & (size <= LONG))
     at = 8
     while len(live):
         left = np.minimum(size[live] - at, 8)
-        h[live] = mix((h[live] + SEEDS[3]) ^ (chunks[start[live] + at] & _MASKS[left]))
+        h[live] = mix((h[live] + SEEDS[3]) ^ (chunks[start[live] + at] & MASKS[left]))
         at += 8
         live = live[size[live] > at]
     for i in np.flatnonzero(size > LONG).tolist():
