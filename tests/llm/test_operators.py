@@ -262,6 +262,38 @@ def test_targets():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
 
 
+def test_fit_of_many_sizes_equals_subset_sums():
+    """Over 600 size classes: nothing is left out of the dynamic program."""
+    r = np.random.RandomState(5)
+    sizes = np.array(sorted(r.choice(np.arange(1000, 9000, 4), 900, replace=False)))
+    counts = np.ones(900, np.int64)
+    counts[:3] = 2
+    for budget in (1, 1003, 4002, 9999, 12_346):
+        reach = 1
+        for z, c in zip(sizes.tolist(), counts.tolist()):
+            for _ in range(c):
+                reach |= reach << z
+                reach &= (1 << (budget + 1)) - 1
+        k = mixing.fit(sizes, counts, budget)
+        assert (k <= counts).all() and int((k * sizes).sum()) == reach.bit_length() - 1
+
+
+def test_targets_stop_and_reshare_like_rounds():
+    r = np.random.RandomState(6)
+    for _ in range(200):
+        sizes = r.randint(0, 1000, r.randint(1, 12)).tolist()
+        out, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+        w = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+        while open_:
+            left = sum(sizes) * 1.5 - sum(out[i] for i in range(len(sizes)) if i not in open_)
+            share = {i: left * w[i] / sum(w[j] for j in open_) for i in open_}
+            over = [i for i in open_ if share[i] > 2 * sizes[i]]
+            for i in over or open_:
+                out[i] = 2.0 * sizes[i] if over else share[i]
+            open_ -= set(over or open_)
+        assert mixing.targets(sizes) == pytest.approx(out)
+
+
 def test_fit_is_exact_where_sums_reach():
     sizes, counts = np.array([3, 7, 11]), np.array([5, 4, 2])
     reach = {3 * a + 7 * b + 11 * c for a in range(6) for b in range(5) for c in range(3)}

@@ -4,10 +4,12 @@ Documents are counted by (source, exact size). For each source the budget is met
 every size class gives the same share, then a bounded-knapsack dynamic program over the sizes left
 fits the remaining words, and a seeded hash order picks that many documents of each size. Text is
 read once to count words; only (id, source, size) rows are shuffled. A size class is ranked in
-slices of its hash order, so one source, size or repeated document never lands in one task.
+slices of its hash order, so one source or size never lands in one task; rows of one id, source and size
+share a slice.
 
 Null text has size 0; a null source is a source of its own, last in weight order. Documents of size
-0 take 0. Equal rows are interchangeable. An empty table gives an empty result.
+0 take 0. Equal rows are interchangeable. An empty table gives an empty result. Extra columns are ignored by
+``mix`` and kept by ``mixed``, whatever their names. One row a source is collected.
 """
 
 from __future__ import annotations
@@ -33,19 +35,17 @@ MAX_SENT = 100_000
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, percent: int = 150, most: float = 2.0) -> list[float]:
     """Words to take from each source: shares by weight, stopped at ``most`` times the source, the excess reshared."""
     n = len(sizes)
-    total, out, open_ = sum(sizes) * percent / 100, [0.0] * n, list(range(n))
-    while open_:
-        left = total - sum(out[i] for i in range(n) if i not in open_)
-        scale = sum(weights[i % len(weights)] for i in open_)
-        share = {i: left * weights[i % len(weights)] / scale for i in open_}
-        over = [i for i in open_ if share[i] > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = share[i]
+    own = [weights[i % len(weights)] for i in range(n)]
+    left, scale, out = sum(sizes) * percent / 100, sum(own), [0.0] * n
+    # the source that stops at the least share a unit of weight stops first
+    order = sorted(range(n), key=lambda i: most * sizes[i] / own[i])
+    for k, i in enumerate(order):
+        if left * own[i] <= most * sizes[i] * scale:
+            for j in order[k:]:
+                out[j] = left * own[j] / scale
             break
-        for i in over:
-            out[i] = most * sizes[i]
-        open_ = [i for i in open_ if i not in over]
+        out[i] = most * sizes[i]
+        left, scale = left - out[i], scale - own[i]
     return out
 
 
@@ -70,26 +70,29 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if k > 0:
             picked[i] += k
             left -= k * int(sizes[i])
-    # bounded knapsack: reach[j] holds, as bits, the sums that the first j parts (1, 2, 4, ... of a size) can make
-    parts, reach, mask = [], [1], (1 << (left + 1)) - 1
+    # bounded knapsack in parts of 1, 2, 4, ... of a size: which part first made each sum
+    parts: list[tuple[int, int, int]] = []
+    made = np.full(left + 1, -1, np.int32)
+    reach = np.zeros(left + 1, np.bool_)
+    reach[0] = True
     for i in order.tolist():
         size, spare = int(sizes[i]), int(counts[i] - picked[i])
         spare = min(spare, left // size) if size else 0
         k = 1
-        while spare > 0 and not reach[-1] >> left & 1:
+        while spare > 0 and not reach[left]:
             k = min(k, spare)
+            new = np.flatnonzero(reach[: left + 1 - k * size] & ~reach[k * size :]) + k * size
+            made[new], reach[new] = len(parts), True
             parts.append((i, k, k * size))
-            reach.append((reach[-1] | reach[-1] << (k * size)) & mask)
             spare -= k
             k *= 2
-        if len(parts) > 600:
+        if reach[left]:
             break
-    at = reach[-1].bit_length() - 1
-    for j in range(len(parts) - 1, -1, -1):
-        if not reach[j] >> at & 1:
-            i, k, w = parts[j]
-            picked[i] += k
-            at -= w
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, k, w = parts[made[at]]
+        picked[i] += k
+        at -= w
     return picked
 
 
@@ -160,10 +163,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     digest = {"_d1": F.xxhash64(F.col(text_col)), "_d2": F.xxhash64(F.lit(1), F.col(text_col))}
     taken = mix(docs, id_col, text_col, source_col, extra=digest, **options).where("size > 0")
     taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col(source_col).alias("_mo"), F.col("_d1").alias("_m1"), F.col("_d2").alias("_m2")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
-    same = F.col(id_col).eqNullSafe(F.col("_mi")) & F.col(source_col).eqNullSafe(F.col("_mo")) & (F.col("_d1") == F.col("_m1")) & (F.col("_d2") == F.col("_m2"))
-    names = docs.columns
-    rows = docs.withColumns(digest).join(taken, same)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), *[c.alias(k) for k, c in digest.items()])
+    rows = own.join(taken, F.expr("_id <=> _mi and _source <=> _mo and _d1 = _m1 and _d2 = _m2"))
     single = rows.where("_mk = 1 or _mt % _mk = 0").withColumn("_mc", F.expr("_mt div _mk"))
     several = rows.where("not (_mk = 1 or _mt % _mk = 0)")
-    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_mo", "_m1", "_m2").orderBy(text_col)) <= F.expr("_mt % _mk"), 1).otherwise(0))
-    return single.unionByName(several).withColumn("_mc", F.explode(F.expr("if(_mc > 0, sequence(1, _mc), cast(array() as array<bigint>))"))).select(*names)
+    several = several.withColumn("_mc", F.expr("_mt div _mk") + F.when(F.row_number().over(Win.partitionBy("_mi", "_mo", "_m1", "_m2").orderBy("_d1")) <= F.expr("_mt % _mk"), 1).otherwise(0))
+    done = single.unionByName(several).withColumn("_mc", F.explode(F.expr("if(_mc > 0, sequence(1, _mc), cast(array() as array<bigint>))")))
+    return done.select("_row.*")

@@ -4,8 +4,9 @@ Every line is judged by punctuation, navigation and boilerplate rules; failing l
 and a document that loses too much of its text is rejected. All work is done inside a row: no
 shuffle, so any skew of sources or keys is harmless.
 
-Nulls, empty and blank texts have no words and fail the base rule; repeated rows get equal rows;
-extra input columns are ignored by ``judge`` and kept by ``clean``.
+Nulls, empty and blank texts have no words and fail the base rule; a text that loses exactly the most it may
+is kept; repeated rows get equal rows; an empty table gives an empty result; extra input columns are ignored by
+``judge`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ SYMBOLS = "[^#*$%&|<>]+"
 BOILERPLATE = (
     "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "subscribe to our", "copyright (c)", "skip to content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "zum inhalt springen", "conditions d'utilisation", "politique de confidentialit",
+    "aller au contenu", "todos los derechos reservados", "condiciones de uso", "aviso legal", "ir al contenido",
 )
+#: Marks between the entries of a menu; what ends a sentence or part of one; ends of teasers.
+SEPARATORS = "|›•·"
+TITLE = """^[ \t-\r]*([^ \t-\r]+[ \t]+){0,2}[^ \t-\r]*[^ \t-\r.!?:;,"'”»)\\]…][ \t-\r]*\\z"""
+CUT_SHORT = ("...", "…")
 
 
 _PHRASES = "(?i)" + "|".join(re.escape(p) for p in BOILERPLATE)
@@ -36,6 +43,7 @@ class LineRules:
     max_repeat: int = 50
     max_symbols: int = 30
     max_separators: int = 20
+    max_links: int = 30
     max_exclaimed: int = 50
     max_lost: int = 50
 
@@ -51,30 +59,30 @@ def _count(text: Column, *marks: str) -> Column:
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Punctuation, navigation and boilerplate rules of one line; a blank line passes.
 
-    Words are counted by their separators (spaces and tabs). One search decides whether a line has
-    anything to count. (A test of the whole text outside the lambda would be inlined into it.)"""
+    Punctuation: symbols, repeated exclamation marks, a teaser's end, three words or fewer without any end mark.
+    Navigation: menu separators, lists of links. Words are counted by their separators (spaces and tabs). One search
+    decides whether a line has anything to count. (A test of the whole text outside the lambda would be inlined into it.)"""
     words = _count(line, " ", "\t") + 1
-    bars = _count(line, "|")
-    return (line.rlike("[#*$%&<>|]|!!") & (
+    bars, links = _count(line, *SEPARATORS), _count(line, "://")
+    return (line.rlike(f"[#*$%&<>{SEPARATORS}]|!!|://") & (
         (_count(line, *"#*$%&<>") * 100 > words * rules.max_symbols)
         | ((bars * 100 > words * rules.max_separators) & (bars >= 2))
+        | ((links * 100 > words * rules.max_links) & (links >= 2))
         | (_count(line, "!!") * 100 > words * rules.max_exclaimed)
-    )) | line.rlike(_PHRASES)
+    )) | line.endswith(CUT_SHORT[0]) | line.endswith(CUT_SHORT[1]) | line.rlike(TITLE) | line.rlike(_PHRASES)
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words from ``_w``: words in 3-word windows that occur twice or more.
 
-    Window hashes are sorted with their positions packed into the low bits; neighbours with equal
-    high bits are compared by full hash, so cost is n log n in the row with primitive sorts.
+    Windows are sorted by hash and position; neighbours of one hash are compared word by word, so cost is
+    n log n in the row.
     """
-    bits = "if(_n < 16777216, 24, 32)"
-    mask = "if(_n < 16777216, 16777215L, 4294967295L)"
     df = df.withColumn("_h", F.expr("if(_n < 4, cast(array() as array<bigint>), transform(sequence(0, _n - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])))"))
-    df = df.withColumn("_v", F.expr(f"sort_array(transform(_h, (h, i) -> shiftleft(h, {bits}) | cast(i as bigint)))")).withColumn("_b", F.expr(bits)).withColumn("_m", F.expr(mask))
-    same = "(shiftright(x, _b) = shiftright({o}, _b) and _h[cast(x & _m as int)] = _h[cast({o} & _m as int)])"
-    df = df.withColumn("_q", F.expr(f"sort_array(transform(filter(_v, (x, k) -> (k > 0 and {same.format(o='_v[greatest(k - 1, 0)]')}) or (k < _n - 3 and {same.format(o='_v[least(k + 1, _n - 3)]')})), x -> x & _m))"))
-    return df.withColumn("n_repeat_words", F.expr("if(size(_q) = 0, 0L, 3L + aggregate(sequence(1, greatest(size(_q) - 1, 1)), 0L, (a, k) -> a + if(k < size(_q), least(3L, _q[least(k, size(_q) - 1)] - _q[k - 1]), 0L)))"))
+    df = df.withColumn("_v", F.expr("sort_array(transform(_h, (h, i) -> struct(h, i)))"))
+    same = "({o}.h = x.h and _w[{o}.i] = _w[x.i] and _w[{o}.i + 1] = _w[x.i + 1] and _w[{o}.i + 2] = _w[x.i + 2])"
+    df = df.withColumn("_q", F.expr(f"sort_array(transform(filter(_v, (x, k) -> (k > 0 and {same.format(o='_v[greatest(k - 1, 0)]')}) or (k < _n - 3 and {same.format(o='_v[least(k + 1, _n - 3)]')})), x -> x.i))"))
+    return df.withColumn("n_repeat_words", F.expr("if(size(_q) = 0, 0L, 3L + aggregate(sequence(1, greatest(size(_q) - 1, 1)), 0L, (a, k) -> a + if(k < size(_q), least(3, _q[least(k, size(_q) - 1)] - _q[k - 1]), 0)))"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), carry: tuple[str, ...] = ()) -> DataFrame:

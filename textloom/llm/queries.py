@@ -25,13 +25,18 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i
 l AS (SELECT doc_id, unnest(ls) AS x FROM w),
 m AS (SELECT doc_id, x, length(x) AS n,
         length(x) - length(replace(replace(x, ' ', ''), chr(9), '')) + 1 AS nw,
-        length(x) - length(replace(x, '|', '')) AS bars,
+        length(x) - length(regexp_replace(x, '[|›•·]', '', 'g')) AS bars,
+        (length(x) - length(replace(x, '://', ''))) / 3 AS links,
         length(x) - length(regexp_replace(x, '[#*$%&<>]', '', 'g')) AS syms,
         (length(x) - length(replace(x, '!!', ''))) / 2 AS bangs, lower(x) AS s FROM l),
 b AS (SELECT doc_id, count(*) AS lines_removed, sum(n) AS chars_lost FROM m
-      WHERE syms * 100 > nw * 30 OR (bars * 100 > nw * 20 AND bars >= 2) OR bangs * 100 > nw * 50
+      WHERE syms * 100 > nw * 30 OR (bars * 100 > nw * 20 AND bars >= 2) OR (links * 100 > nw * 30 AND links >= 2) OR bangs * 100 > nw * 50
+        OR ends_with(x, '...') OR ends_with(x, '…')
+        OR regexp_matches(x, '^[ \t-\r]*([^ \t-\r]+[ \t]+){0,2}[^ \t-\r]*[^ \t-\r.!?:;,"''”»)\]…][ \t-\r]*\z')
         OR contains(s, 'all rights reserved') OR contains(s, 'licensed under') OR contains(s, 'terms of use') OR contains(s, 'terms of service')
         OR contains(s, 'privacy policy') OR contains(s, 'cookie policy') OR contains(s, 'subscribe to our') OR contains(s, 'copyright (c)') OR contains(s, 'skip to content')
+        OR contains(s, 'alle rechte vorbehalten') OR contains(s, 'nutzungsbedingungen') OR contains(s, 'zum inhalt springen') OR contains(s, 'conditions d''utilisation') OR contains(s, 'politique de confidentialit')
+        OR contains(s, 'aller au contenu') OR contains(s, 'todos los derechos reservados') OR contains(s, 'condiciones de uso') OR contains(s, 'aviso legal') OR contains(s, 'ir al contenido')
       GROUP BY doc_id),
 f AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 r AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
