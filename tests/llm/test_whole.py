@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, token_output, words
+from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, token_output, url_filters, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -167,3 +167,67 @@ def test_one_hot_id_fills_many_shards(spark, tmp_path, monkeypatch):
     sizes = [r.n_docs for r in spark.read.parquet(path).collect()]
     assert len(sizes) >= 3 and max(sizes) < 300
     assert token_output.Reader(spark, path).get([9, 8]) == {9: token_output.Reader(spark, path).get([9])[9]}
+
+
+def urls(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string")
+
+
+def test_deep_and_hot_urls_end(spark):
+    """300 equal urls of 40 parts, and nested ones of every depth with both labels."""
+    deep = "/".join(f"part{i}" for i in range(40))
+    rows = [(i, f"http://a.b.c/{deep}") for i in range(300)]
+    rows += [(1000 + 40 * j + i, f"http://h{j}.net/" + "/".join(f"n{k}" for k in range(i + 1))) for j in range(8) for i in range(40)]
+    rules = (("block", "a.b.c", "/part0/"), *[(("block", "allow")[j % 2], f"h{j}.net", "/n0/") for j in range(8)])
+    began = time.time()
+    got = {r.page_id: r.verdict for r in url_filters.judge(urls(spark, rows), rules=rules, min_support=0.02).collect()}
+    assert time.time() - began < 60 and all(got[i] == "block" for i in range(300)) and len(got) == 620
+
+
+def test_withheld_rules_urls_are_blocked(spark):
+    """Rules of some spam hosts are withheld: their urls share tokens with known ones, and clean urls do not."""
+    r = random.Random(1)
+    rows, withheld, clean = [], [], []
+    for i in range(900):
+        k, kind = r.randrange(30), r.choice(["buy", "cheap-pills", "win"])
+        rows.append((i, f"http://spam{k}.shop/{kind}/{r.randrange(9999)}?aff={r.randrange(9)}"))
+        if k >= 20:
+            withheld.append(i)
+    for i in range(900, 2400):
+        rows.append((i, f"http://site{r.randrange(60)}.{r.choice(['info', 'org'])}/{r.choice(['read', 'news', 'about'])}/{r.randrange(9999)}"))
+        clean.append(i)
+    rules = tuple(("block", f"spam{k}.shop", "/") for k in range(20)) + tuple(("allow", f"site{k}.info", "/") for k in range(20))
+    got = {x.page_id: x for x in url_filters.judge(urls(spark, rows), rules=rules).collect()}
+    assert sum(got[i].verdict == "block" for i in withheld) >= 0.9 * len(withheld)
+    assert sum(got[i].verdict == "allow" for i in clean) >= 0.99 * len(clean)
+    assert all(got[i].rule is None and got[i].confidence >= 0.8 for i in withheld if got[i].verdict == "block")
+
+
+def test_mined_rules_equal_every_combination(spark):
+    """Against all combinations of tokens counted one by one."""
+    import itertools
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(240):
+        items = sorted(x for x in "abcde" if r.random() < 0.5)
+        rows.append((items, "block" if {"a", "b"} <= set(items) else r.choice(["allow", "allow", "block"]) if r.random() < 0.7 else None))
+    df = spark.createDataFrame(rows, "_items array<string>, _verdict string")
+    n, least = sum(v is not None for _, v in rows), max(2, int(sum(v is not None for _, v in rows) * 0.02))
+    want = []
+    for size in range(1, 6):
+        for body in itertools.combinations("abcde", size):
+            for label in ("allow", "block"):
+                hit = [v for items, v in rows if set(body) <= set(items)]
+                a, b, c = hit.count(label), sum(v is not None for v in hit), len(hit)
+                if a >= least and a >= 0.8 * b and a * len(rows) >= 1.2 * sum(v == label for _, v in rows) * c:
+                    if not any(set(w[0]) < set(body) and w[1] == label and w[2] >= a / b for w in want):
+                        want.append((frozenset(body), label, a / b, a))
+    assert n and set(url_filters.mine(df, 0.02, 0.8, 1.2)) == set(want) and len(want) > 2
+
+
+def test_urls_of_every_awkward_kind(spark):
+    """Repeats, nulls, clashing columns: defined verdicts."""
+    df = spark.createDataFrame([(1, "http://x.com/en/1", "q", "z"), (1, "http://x.com/en/1", "q", "z"), (None, None, "q", "z"), (3, "://", "q", "z"), (4, "http:///p", "q", "z"), (5, "", "q", "z")], "page_id long, url string, host string, _items string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(df).collect())
+    assert got == Counter({(1, "x.com", "/en/1", "com/en/", "block"): 2, (None, "", "", None, "allow"): 1, (3, "", "", None, "allow"): 1, (4, "", "/p", None, "allow"): 1, (5, "", "", None, "allow"): 1})
