@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import language_id, mixing, samples, secret_scan, substring_dedup, token_output, url_filters, words
+from textloom.llm import components, language_id, mixing, ngram_jaccard, samples, secret_scan, substring_dedup, token_output, url_filters, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -231,3 +231,51 @@ def test_urls_of_every_awkward_kind(spark):
     df = spark.createDataFrame([(1, "http://x.com/en/1", "q", "z"), (1, "http://x.com/en/1", "q", "z"), (None, None, "q", "z"), (3, "://", "q", "z"), (4, "http:///p", "q", "z"), (5, "", "q", "z")], "page_id long, url string, host string, _items string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(df).collect())
     assert got == Counter({(1, "x.com", "/en/1", "com/en/", "block"): 2, (None, "", "", None, "allow"): 1, (3, "", "", None, "allow"): 1, (4, "", "/p", None, "allow"): 1, (5, "", "", None, "allow"): 1})
+
+
+def test_jaccard_with_small_blocks_and_hot_keys(spark, monkeypatch):
+    """Every key hot, blocks of two, copies of pivots and blocks for three documents each: still brute force's components."""
+    r = np.random.RandomState(4)
+    rows, base = [], [[f"b{k}w{i}" for i in range(60)] for k in range(3)]
+    for k in range(120):
+        w = list(base[k % 3])
+        for _ in range(r.randint(0, 9)):
+            w[r.randint(60)] = f"e{r.randint(40)}"
+        rows.append((k, " ".join(w[: 60 - r.randint(0, 12)])))
+    rows += [(200 + k, " ".join(base[0][:50] + [f"x{k}y{i}" for i in range(r.randint(5, 14))])) for k in range(30)] + [(300, None), (301, "")]
+    want = brute.components(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, meet, least in ((64, 256, 1000), (2, 3, 1), (5, 2, 3)):
+        monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+        monkeypatch.setattr(ngram_jaccard, "MEET", meet)
+        monkeypatch.setattr(components, "LEAST_HOT", least)
+        monkeypatch.setattr(components, "MOST_HOT", 10**9)
+        assert {x.doc_id: x.component_id for x in ngram_jaccard.groups(df).collect()} == want
+
+
+def test_unlinked_family_makes_few_rows(spark, monkeypatch):
+    """1,500 documents of three quarters of common text, none linked: the matrix stays small, and nothing is linked."""
+    common = [f"c{i}" for i in range(88)]
+    rows = [(k, " ".join(common + [f"k{k}o{i}" for i in range(16)])) for k in range(1500)]
+    sizes, saved = {}, ngram_jaccard.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        if name == "matrix":
+            sizes["tokens"], sizes["blocks of a token"] = (out.groupBy("token").count().agg(F.count("*"), F.max("count")).first())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "saved", counted)
+    got = {x.doc_id: x.component_id for x in ngram_jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: k for k in range(1500)}
+    # rows a token: the square of the blocks that hold it, which lie in homes of sqrt(members) blocks
+    assert sizes["blocks of a token"] ** 2 * sizes["tokens"] <= 21 * 1500 and sizes["met"] <= 1500 and sizes["pairs"] <= 3000, sizes
+
+
+def test_deduplicate_keeps_one_of_equal_rows(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, t, "a"), (1, t, "a"), (2, t, "b"), (3, "other words", "c"), (3, "other words", "c"), (None, t, "d"), (4, None, "e"), (4, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = sorted((str(r.doc_id), r.text or "", r._id) for r in ngram_jaccard.deduplicate(df).collect())
+    assert got == sorted([("1", t, "a"), ("3", "other words", "c"), ("None", t, "d"), ("4", "", "e")])

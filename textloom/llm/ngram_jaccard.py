@@ -4,21 +4,26 @@
    one class by a 128-bit digest; the least id stands for it, so exact copies cost one row each.
 2. Grouping: representatives that share one of two least hashes are compared with one such representative
    (the least, or the last) and with a few others that come by, and the links found partition similar
-   documents into groups (hot keys need no special care: a bounded number of comparisons a document).
-3. Token-group matrix: a prefix filter orders shingles by a bounded frequency sketch, rarest first.
-   Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each, so only those
-   tokens enter the matrix of (token, group). A token whose documents lie in one group opens nothing.
-4. Groups, and documents of small groups by their least hash, are split into blocks of BLOCK documents.
-   The matrix bounds the overlap of a document and a
-   block: sizes must allow t, and enough of the document's prefix must stand in the block's union. Blocks
-   that qualify are opened: the document's whole overlap with the block's whole union must reach
-   ceil(t n), and then sets are compared one by one.
+   documents into groups (a bounded number of comparisons a document).
+3. A prefix filter orders shingles by a bounded frequency sketch, rarest first: two sets of similarity t share
+   a shingle among the first n - ceil(t n) + 1 of each. Groups, and documents of small groups by the last token of
+   their prefix (the one that most others share), are split into blocks of BLOCK documents, or of the square root
+   of a larger home's size. Prefix tokens that several classes have enter the matrix of (token, block). A token
+   whose documents lie in one group opens nothing.
+4. The matrix bounds what documents of two blocks can share: sizes must allow t, and enough tokens of one
+   block's union must stand in the other's. Blocks that qualify are opened: a document's whole overlap with a
+   block's whole union must reach ceil(t n), and then sets are compared one by one.
 5. Links of steps 2 and 4 give components. Links inside one group are not repeated: they can't change a
    component; every other link between different sets is found.
 
+No key fills a task: keys that many rows share are joined by broadcast (``hot_join``), the documents of a pivot
+or block are dealt over as many tasks as they need, each with its own copy of the pivot or block. A family of M
+documents that share a token and do not link mostly shares its home too, so it lies in some sqrt(M) blocks and
+makes some M rows.
+
 Null or empty texts have the empty set and link with nothing. A document of fewer words than a shingle
 is one shingle of its whole sequence. Repeated rows share a class. A row of null id gets the component
-of its class (null if all its ids are null). Extra columns are ignored.
+of its class (null if all its ids are null). An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as Win
 
 from . import words as W
-from .components import components
+from .components import components, hot_join
 from .store import saved
 
 SHINGLE = 5
@@ -41,6 +45,10 @@ PERCENT = 80
 SKETCH_BITS = 22
 SLICES = 64
 BLOCK = 64
+#: Documents that meet one copy of a pivot or a block.
+MEET = 256
+#: Address bits of the bitmap of tokens that several groups share.
+LIVE_BITS = 24
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -96,28 +104,60 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def _firsts(texts: pa.Array, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set and its prefix: the rarest shingles, rarest first."""
+    for s in shingle_sets(texts):
+        rarest = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+        yield s, s[rarest[: min(len(s), prefix_length(len(s)))]]
+
+
 def _prefixes(sketch):
-    """(token, rep, grp, n) of each representative's rarest shingles."""
+    """(token, d1) of each document's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(sketch.value, "<u2")
+        for batch in batches:
+            for piece in W.pieces(batch, "_text"):
+                sets, tokens = zip(*_firsts(piece.column("_text"), counts))
+                whole = np.array([int(W.mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64), pa.int64()), pa.array(np.repeat(whole, [len(t) for t in tokens]), pa.int64())], names=["token", "d1"])
+
+    return run
+
+
+def _entries(sketch, live):
+    """(token, id, n) of the tokens of each document's prefix that ``live`` knows, and of its last one with n = 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bits = np.frombuffer(sketch.value, "<u2"), np.frombuffer(live.value, np.uint8)
         for batch in batches:
             for piece in W.pieces(batch, "_text"):
                 tokens, size, lengths = [], [], np.zeros(piece.num_rows, np.int64)
-                for d, s in enumerate(shingle_sets(piece.column("_text"))):
-                    n = len(s)
-                    if n:
-                        p = min(n, prefix_length(n))
-                        tokens.append(s[np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]])
-                        size.append(np.full(p, n))
-                        lengths[d] = p
+                for d, (s, first) in enumerate(_firsts(piece.column("_text"), counts)):
+                    if len(s):
+                        cell = first >> np.uint64(64 - LIVE_BITS)
+                        known = first[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                        tokens += [known, first[-1:]]
+                        size += [np.full(len(known), len(s)), np.zeros(1, np.int64)]
+                        lengths[d] = len(known) + 1
                 if tokens:
                     owner = pa.array(np.repeat(np.arange(piece.num_rows), lengths))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64), pa.int64()), piece.column("rep").take(owner), piece.column("grp").take(owner), pa.array(np.concatenate(size), pa.int32())], names=["token", "rep", "grp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64), pa.int64()), piece.column("_id").take(owner), pa.array(np.concatenate(size), pa.int32())], names=["token", "id", "n"])
 
     return run
 
 
+def _live_tokens(tokens: DataFrame):
+    """Broadcast bitmap of the tokens (2 ** LIVE_BITS bits whatever the input's size); a full one only lets more through."""
+    spot = tokens.select(F.shiftrightunsigned("token", 64 - LIVE_BITS).alias("h"))
+    bits = spot.groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("bits"))
+    whole = bytearray((1 << LIVE_BITS) // 8)
+    for r in bits.collect():  # bucket k holds the cells from 32768 (k - 1) on
+        at = (r.bucket - 1) * 4096
+        whole[at : at + len(r.bits)] = bytes(r.bits)
+    return tokens.sparkSession.sparkContext.broadcast(bytes(whole))
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = sorted((len(a), len(b)))
     if small * 100 < percent * large:
@@ -131,14 +171,14 @@ KEPT = 7
 
 
 def _verify_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pivot, the pivot's own rows first; compares each with them, then with the first few others."""
-    pivot, own, others = None, [], []
+    """Rows sorted by pivot and part, the pivot's own rows first; compares each with them, then with the first few others."""
+    at, own, others = None, [], []
     for batch in batches:
         u, v = [], []
         for piece in W.pieces(batch, "_text"):
-            for p, i, s in zip(piece.column("pivot").to_pylist(), piece.column("rep").to_pylist(), shingle_sets(piece.column("_text"))):
-                if p != pivot:
-                    pivot, own, others = p, [], []
+            for p, part, i, s in zip(*(piece.column(c).to_pylist() for c in ("pivot", "part", "rep")), shingle_sets(piece.column("_text"))):
+                if (p, part) != at:
+                    at, own, others = (p, part), [], []
                 if i == p:
                     own.append((i, s))
                     continue
@@ -154,16 +194,16 @@ def _verify_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, members first, then the documents that probe it; pairs of one group are known."""
+    """Rows sorted by block and part, members first, then the documents that probe it; pairs of one group are known."""
     block, members, union = None, [], np.zeros(0, np.uint64)
     stale = True
     for batch in batches:
         u, v = [], []
         for piece in W.pieces(batch, "_text"):
-            names = ("blk", "member", "rep", "grp")
-            for b, member, i, g, s in zip(*(piece.column(c).to_pylist() for c in names), shingle_sets(piece.column("_text"))):
-                if b != block:
-                    block, members, stale = b, [], True
+            names = ("blk", "part", "member", "rep", "grp")
+            for b, part, member, i, g, s in zip(*(piece.column(c).to_pylist() for c in names), shingle_sets(piece.column("_text"))):
+                if (b, part) != block:
+                    block, members, stale = (b, part), [], True
                 if member:
                     members.append((i, g, s))
                     stale = True
@@ -211,58 +251,66 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     empty = bytes(2 * (1 << SKETCH_BITS) // SLICES)
     sketch = spark.sparkContext.broadcast(b"".join(slices.get(i, empty) for i in range(SLICES)))
 
-    classes = saved(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2")), "classes")
+    total = rows.count()
+    classes = saved(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.count("*").alias("_c")), "classes")
 
     # step 2: each representative against one of each of its keys
     key = lambda w, k: F.struct(F.lit(w).alias("w"), F.col(k).alias("k"))
     keyed = classes.select("rep", F.explode(F.array(key(1, "k1"), key(2, "k2"))).alias("x")).select("rep", "x.w", "x.k")
     pivot = F.when(F.col("w") == 1, F.min("rep")).otherwise(F.max("rep"))
-    pivots = keyed.groupBy("w", "k").agg(pivot.alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = keyed.join(pivots, ["w", "k"]).where("rep <> pivot").select("pivot", "rep").distinct()
-    pairs = saved(pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SPLITS))), "pairs")
-    ends = pairs.unionByName(pairs.select("pivot", "salt").distinct().withColumn("rep", F.col("pivot")))
-    work = _with_text(base, ends).repartition(n_parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.expr("rep <> pivot")).select("pivot", "rep", "_text")
+    pivots = keyed.groupBy("w", "k").agg(pivot.alias("pivot"), F.count("*").alias("_c")).where("_c > 1").withColumn("met", F.col("_c"))
+    pairs = hot_join(keyed, pivots, ["w", "k"], 2 * total).where("rep <> pivot").groupBy("pivot", "rep").agg(F.max("met").alias("met"))
+    pairs = saved(pairs.select("pivot", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("met") / MEET)).alias("part")), "pairs")
+    ends = pairs.unionByName(pairs.select("pivot", "part").distinct().withColumn("rep", F.col("pivot")))
+    work = _with_text(base, ends).repartition(n_parts, "pivot", "part").sortWithinPartitions("pivot", "part", F.expr("rep <> pivot")).select("pivot", "part", "rep", "_text")
     near = components(saved(work.mapInArrow(_verify_pivots, f"u {kind}, v {kind}"), "links"))
 
-    # step 3: the matrix, without the tokens of one group
-    grouped = saved(classes.select("rep", "n", "k1").join(near.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "k1", F.coalesce("component", "rep").alias("grp")), "groups")
-    tagged = base.join(grouped, F.col("_id") == F.col("rep")).select("rep", "grp", "_text")
-    matrix = tagged.mapInArrow(_prefixes(sketch), f"token long, rep {kind}, grp {kind}, n int")
-    same = Win.partitionBy("token")
-    matrix = matrix.withColumn("a", F.min("grp").over(same)).withColumn("b", F.max("grp").over(same)).where("a <> b")
-    matrix = saved(matrix.select("token", "rep", "grp", "n"), "matrix")
-
-    # step 4: the larger document of a pair meets blocks of other groups, and must find enough of its prefix
-    # in a block's union: sets x <= y that share a = ceil(t/(1+t) (x+y)) share a - ceil(t y) + 1 of their prefixes
-    members = grouped.groupBy("grp").agg(F.count("*").alias("m"))
-    homes = grouped.join(members, "grp").withColumn("home", F.when(F.col("m") > BLOCK, F.concat(F.lit("g"), F.col("grp").cast("string"))).otherwise(F.concat(F.lit("k"), F.col("k1").cast("string"))))
-    room = homes.groupBy("home").agg(F.count("*").alias("size"))
-    split = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("string")
-    blocks = saved(homes.join(room, "home").select("rep", "grp", F.concat("home", F.lit("/"), split).alias("blk")), "blocks")
-    columns = matrix.join(blocks.select("rep", "blk"), "rep").groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g1"), F.max("grp").alias("g2"))
-    probes = matrix.select("token", F.col("rep").alias("q"), F.col("n").cast("long").alias("qn"), F.col("grp").alias("qg"))
-    met = probes.join(columns, "token").where(f"(qg <> g1 or qg <> g2) and low <= qn and qn * {PERCENT} <= high * 100")
-    met = met.groupBy("q", "blk").agg(F.count("*").alias("c"), F.min("low").alias("low"), F.first("qn").alias("qn"), F.first("qg").alias("qg"))
-    ceil = lambda x, d: f"(({x} + {d - 1}) div {d})"
-    part = ceil(f"{PERCENT} * qn", 100)
-    least = f"{ceil(f'{PERCENT} * (qn + greatest(low, {part}))', 100 + PERCENT)} - {part} + 1"
-    met = saved(met.where(f"c >= {least}").select("q", "qg", "blk"), "met")
-    inside = blocks.join(met.select("blk").distinct(), "blk").select("blk", "rep", "grp", F.lit(True).alias("member"))
-    stacked = inside.unionAll(met.select("blk", F.col("q").alias("rep"), F.col("qg").alias("grp"), F.lit(False).alias("member")))
-    work = _with_text(base, saved(stacked, "asked")).repartition(n_parts, "blk").sortWithinPartitions("blk", F.desc("member")).select("blk", "member", "rep", "grp", "_text")
+    # step 3: the tokens that several classes share, blocks, and the matrix
+    shared = base.mapInArrow(_prefixes(sketch), "token long, d1 long").groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b")
+    entries = saved(base.mapInArrow(_entries(sketch, _live_tokens(shared)), f"token long, id {kind}, n int").where("id is not null"), "entries")
+    lasts = entries.where("n = 0").groupBy("id").agg(F.min("token").alias("last")).withColumnRenamed("id", "rep")
+    grouped = classes.select("rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").join(lasts, "rep").select("rep", "last", F.coalesce("component", "rep").alias("grp"))
+    grouped = saved(grouped, "groups")
+    large = grouped.groupBy("grp").agg(F.count("*").alias("_c")).where(F.col("_c") > BLOCK).withColumn("home", F.concat(F.lit("g"), F.col("grp").cast("string")))
+    homes = saved(hot_join(grouped, large, ["grp"], total, "left").withColumn("home", F.coalesce("home", F.concat(F.lit("t"), F.col("last").cast("string")))), "homes")
+    room = homes.groupBy("home").agg(F.count("*").alias("_c")).where(F.col("_c") > BLOCK).withColumn("size", F.col("_c"))
+    count = F.coalesce(F.least(F.ceil(F.col("size") / BLOCK), F.ceil(F.sqrt("size"))), F.lit(1))
+    split = F.pmod(F.xxhash64("rep"), count).cast("string")
+    blocks = saved(hot_join(homes, room, ["home"], total, "left").select("rep", "grp", F.concat("home", F.lit("/"), split).alias("blk")), "blocks")
+    matrix = entries.where("n > 0").join(blocks, F.col("id") == F.col("rep"))
+    matrix = saved(matrix.groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g1"), F.max("grp").alias("g2")), "matrix")
+
+    # step 4: which blocks can hold a linked pair. Sets x <= y that share a >= t/(1+t) (x+y) share at least a - ceil(t y) + 1
+    # of their prefixes, which is over t/(1+t) (x - t y): least for the least x and the largest y of two blocks.
+    one, two = (matrix.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("blk", "low", "high", "g1", "g2")]) for k in "ab")
+    met = one.join(two, "token").where(f"blka <= blkb and (g1a <> g2a or g1b <> g2b or g1a <> g1b) and lowa * {PERCENT} <= highb * 100 and lowb * {PERCENT} <= higha * 100")
+    met = met.groupBy("blka", "blkb").agg(F.count("*").alias("c"), F.min(F.least("lowa", "lowb")).cast("long").alias("x"), F.max(F.greatest("higha", "highb")).cast("long").alias("top"))
+    least = f"greatest(1, {PERCENT} * (100 * x - {PERCENT} * top) div {100 * (100 + PERCENT)} + 1)"
+    met = saved(met.where(f"c >= {least}").select("blka", "blkb"), "met")
+    asked = saved(met.join(blocks, F.col("blka") == F.col("blk")).select(F.col("blkb").alias("blk"), "rep", "grp"), "asked")
+    many = asked.groupBy("blk").agg(F.count("*").alias("_c")).where(F.col("_c") > MEET).withColumn("met", F.col("_c"))
+    parts = F.coalesce(F.ceil(F.col("met") / MEET), F.lit(1))
+    asked = saved(hot_join(asked, many, ["blk"], asked.count(), "left").select("blk", "rep", "grp", F.pmod(F.xxhash64("rep"), parts).alias("part"), F.lit(False).alias("member")), "asked")
+    inside = asked.select("blk", "part").distinct().join(blocks, "blk").select("blk", "rep", "grp", "part", F.lit(True).alias("member"))
+    work = _with_text(base, saved(asked.unionByName(inside), "work")).repartition(n_parts, "blk", "part").sortWithinPartitions("blk", "part", F.desc("member")).select("blk", "part", "member", "rep", "grp", "_text")
     more = saved(work.mapInArrow(_open_blocks, f"u {kind}, v {kind}"), "links")
 
     # step 5
     final = near if more.isEmpty() else components(near.selectExpr("node as u", "component as v").unionAll(more))
-    named = classes.select("d1", "d2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, ["d1", "d2", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-#: Parts into which the documents of one pivot are dealt, each with its own copy of the pivot's text.
-SPLITS = 16
+    named = classes.select("d1", "d2", "n", "rep", "_c").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", "_c", F.coalesce("component", "rep").alias("component_id"))
+    some = hot_join(rows.where("n > 0").select("id", "n", "d1", "d2"), saved(named, "named"), ["d1", "d2", "n"], total, "left").select("id", "n", "component_id")
+    none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    return some.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each group stays; documents of no group, and null ids, stay too."""
-    keep = groups(docs, id_col, text_col).where(f"`{id_col}` = component_id").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The document of the least id of each group stays; documents of no group stay too.
+
+    Of rows that share an id one stays, of the least digest of its text; rows of null id all stay."""
+    found = saved(groups(docs, id_col, text_col), "groups")
+    keep = found.where(f"`{id_col}` = component_id").groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.join(keep, F.col("_id") == F.col("_keep"))
+    once = rows.where("_n = 1").select("_row")
+    repeated = rows.where("_n > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_text")).alias("_row")).select("_row")
+    return once.unionAll(repeated).select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
