@@ -46,9 +46,9 @@ SKETCH_BITS = 22
 SLICES = 64
 BLOCK = 64
 #: Documents that meet one copy of a pivot or a block.
-MEET = 256
-#: Address bits of the bitmap of tokens that several groups share.
-LIVE_BITS = 24
+MEET = 64
+#: Address bits at most of the bitmap of tokens that several classes share, which has some 32 bits a token.
+LIVE_BITS = 28
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -125,7 +125,7 @@ def _prefixes(sketch):
     return run
 
 
-def _entries(sketch, live):
+def _entries(sketch, live, width: int):
     """(token, id, n) of the tokens of each document's prefix that ``live`` knows, and of its last one with n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _entries(sketch, live):
                 tokens, size, lengths = [], [], np.zeros(piece.num_rows, np.int64)
                 for d, (s, first) in enumerate(_firsts(piece.column("_text"), counts)):
                     if len(s):
-                        cell = first >> np.uint64(64 - LIVE_BITS)
+                        cell = first >> np.uint64(64 - width)
                         known = first[(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                         tokens += [known, first[-1:]]
                         size += [np.full(len(known), len(s)), np.zeros(1, np.int64)]
@@ -148,14 +148,16 @@ def _entries(sketch, live):
 
 
 def _live_tokens(tokens: DataFrame):
-    """Broadcast bitmap of the tokens (2 ** LIVE_BITS bits whatever the input's size); a full one only lets more through."""
-    spot = tokens.select(F.shiftrightunsigned("token", 64 - LIVE_BITS).alias("h"))
+    """Broadcast bitmap of the tokens and its address bits (LIVE_BITS at most); a full one only lets more through."""
+    tokens = saved(tokens.select("token"), "shared")
+    width = min(LIVE_BITS, max(18, (32 * tokens.count()).bit_length()))
+    spot = tokens.select(F.shiftrightunsigned("token", 64 - width).alias("h"))
     bits = spot.groupBy(F.expr("bitmap_bucket_number(h + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h + 1))").alias("bits"))
-    whole = bytearray((1 << LIVE_BITS) // 8)
+    whole = bytearray((1 << width) // 8)
     for r in bits.collect():  # bucket k holds the cells from 32768 (k - 1) on
         at = (r.bucket - 1) * 4096
         whole[at : at + len(r.bits)] = bytes(r.bits)
-    return tokens.sparkSession.sparkContext.broadcast(bytes(whole))
+    return tokens.sparkSession.sparkContext.broadcast(bytes(whole)), width
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -267,7 +269,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     # step 3: the tokens that several classes share, blocks, and the matrix
     shared = base.mapInArrow(_prefixes(sketch), "token long, d1 long").groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b")
-    entries = saved(base.mapInArrow(_entries(sketch, _live_tokens(shared)), f"token long, id {kind}, n int").where("id is not null"), "entries")
+    entries = saved(base.mapInArrow(_entries(sketch, *_live_tokens(shared)), f"token long, id {kind}, n int").where("id is not null"), "entries")
     lasts = entries.where("n = 0").groupBy("id").agg(F.min("token").alias("last")).withColumnRenamed("id", "rep")
     grouped = classes.select("rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").join(lasts, "rep").select("rep", "last", F.coalesce("component", "rep").alias("grp"))
     grouped = saved(grouped, "groups")
