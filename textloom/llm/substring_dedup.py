@@ -38,7 +38,7 @@ ANCHOR = 10
 FILTER_BITS = 28
 FEWEST_BITS = 18
 SLICES = 64
-#: First windows that a task holds before it sends them; repeats among them need not travel.
+#: Windows that a task holds before it sends them: repeats among first ones need not travel, late ones share rows.
 HELD = 1_000_000
 _LAST = np.iinfo(np.int64).max
 _PACKED = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
@@ -244,13 +244,18 @@ def _later(buckets: int):
     """Of the first windows of the tasks, all but the earliest; what tasks found themselves passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, held = [], 0
         for b, parts in _buckets(batches):
             if b < 0:
                 yield _rows([(b, p) for p in parts])
-            else:
-                late = _earliest(np.frombuffer(b"".join(parts), _WINDOW))[1]
-                if len(late):
-                    yield _rows(_late_rows(late, buckets))
+                continue
+            late.append(_earliest(np.frombuffer(b"".join(parts), _WINDOW))[1])
+            held += len(late[-1])
+            if held >= HELD:
+                yield _rows(_late_rows(np.concatenate(late), buckets))
+                late, held = [], 0
+        if held:
+            yield _rows(_late_rows(np.concatenate(late), buckets))
 
     return run
 
