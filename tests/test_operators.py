@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import ids
 from textloom.operators import chunking as C
 from textloom.operators import evidence as E
 from textloom.operators import graph as G
@@ -35,8 +36,51 @@ def test_chunks_partition(seed):
 
 def test_heading_path():
     text = "# A\n\nx\n\n## B\n\ny\n\n# C\n\nz"
-    assert C.heading_path(text, text.index("y")) == ["A", "B"]
-    assert C.heading_path(text, text.index("z")) == ["C"]
+    assert C.heading_paths(text, [0, text.index("y"), text.index("z")]) == [["A"], ["A", "B"], ["C"]]
+    assert C.heading_paths("plain", [0]) == [[]] and C.heading_paths("####### seven\n#nospace", [0, 3]) == [[], []]
+
+
+def test_block_starts():
+    """Headings, text behind blank lines, tables with lead space, front matter with CR LF; nothing else."""
+    at = lambda text: [text[a : a + 3] for a in C.block_starts(text)[1:]]
+    assert at("a1\nb2\n\n \t\nc3\nd4") == ["c3\n"]
+    assert at("a1\n# h\nb2\n####### x\n#y") == ["# h"]
+    assert at("a1\n  | 1 |\n| 2 |\nb2\n| 3 |") == ["  |", "| 3"]
+    assert at("---\r\nk: v\r\n---\r\nbody") == ["bod"]
+    assert at("---\nk: v\nno end") == [] and at("---x\n---\nb") == []
+    assert C.block_starts("\n\nx") == [0, 2] and C.block_starts("x\n\n  ") == [0]
+
+
+def test_long_blocks_are_cut_behind_sentences():
+    """The last sentence that ends within SOFT, with its white space if that fits; else SOFT, behind a CR LF."""
+    s = "x" * 3900 + ". " + "y" * 3000
+    assert C.spans(s) == [(0, 3902), (3902, 6902)]
+    assert C.spans("x" * 3999 + ".  " + "y" * 3000) == [(0, 4000), (4000, 7002)]
+    assert C.spans("x" * 3997 + ".  " + "y" * 3000) == [(0, 4000), (4000, 7000)]
+    assert C.spans("x" * 9000) == [(0, 4000), (4000, 8000), (8000, 9000)]
+    assert C.spans("x" * 3999 + "\r\n" + "y" * 3000) == [(0, 4001), (4001, 7001)]
+    assert C.spans("x" * 5000) == [(0, 5000)]  # a block between SOFT and HARD stays whole
+    assert C.spans("x" * 3000 + ".y" + "z" * 4000) == [(0, 4000), (4000, 7002)]  # no white space behind the mark
+    assert C.spans("a" * 3990 + "\n\n" + "b" * 300) == [(0, 4292)]  # a short tail joins
+
+
+def test_chunk_addresses(spark):
+    import hashlib
+    import json
+
+    df = spark.createDataFrame([("s\u0001", "t" * 10)], "ref string, text string")
+    version = ids.source_version(F.col("ref"), "body", F.col("text"))
+    row = C.with_refs(C.chunks(df, "ref", "text", version), "ref").first()
+    plain = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    layer = {"layer_id": "body", "text_ref": "s\u0001#body", "text_sha256": hashlib.sha256(b"t" * 10).hexdigest(), "origin": "record", "provenance_sha256": None}
+    assert row.version == plain({"v": 1, "source_ref": "s\u0001", "layers": [layer]})
+    assert row.chunk_digest == plain(["s\u0001", row.version, "body", 0, 10, "chunk-1"]) and row.chunk_ref == "chk:" + row.chunk_digest[:32]
+
+
+def test_pack_takes_more_rows_than_one_step(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(5000)], "i long, c long")
+    got = S.pack(rows, [F.col("i")], "c", 1300).agg(F.count("*"), F.max("running")).first()
+    assert tuple(got) == (2601, 1300) and S.pack(rows, [F.col("i")], "c", 10**6).count() == 5000
 
 
 def test_expand_bounds(spark):
@@ -74,7 +118,10 @@ def test_claim_order(spark):
 def test_batches_join_short_tail(spark):
     rows = spark.createDataFrame([(f, i) for f, n in (("a", 25), ("b", 20), ("c", 5)) for i in range(n)], "f string, i long")
     got = {(r.f, r.batch): r["count"] for r in V.plan_batches(rows, "f", ["i"]).groupBy("f", "batch").count().collect()}
-    assert got == {("a", 0): 12, ("a", 1): 13, ("b", 0): 12, ("b", 1): 8, ("c", 0): 5}
+    # c is too short for a batch of its own and joins the last one of b
+    assert got == {("a", 0): 12, ("a", 1): 13, ("b", 2): 12, ("b", 3): 8, ("c", 3): 5}
+    short = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "f string, i long")
+    assert {r.batch for r in V.plan_batches(short, "f", ["i"]).collect()} == {0}
 
 
 def test_stream_resumes(spark, tmp_path):

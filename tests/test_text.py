@@ -74,7 +74,8 @@ def test_mojibake(spark):
 
 def test_redact_and_slug(spark):
     assert one(spark, T.redact, "token = abc and /home/x/y") == "token=[redacted] and [path]"
-    assert one(spark, T.slug, "Été à Paris!") == "ete-a-paris" or one(spark, T.slug, "Été à Paris!") == "ete-à-paris".replace("à", "").replace("--", "-")
+    assert one(spark, T.slug, "Été à Paris!") == "ete-a-paris"
+    assert one(spark, T.slug, "Ångström č Ž ő Đ e\u0301") == "angstrom-c-z-o-e"
 
 
 def test_canonical_json(spark):

@@ -9,7 +9,7 @@ from textloom.plans.search_queries import TERMS
 
 def test_chronology_has_every_event(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet")
-    got = catalog.QUERIES["chronology_whole"](spark, data)
+    got = catalog.QUERIES["chronology"](spark, data)
     assert got.agg(F.sum("n")).first()[0] == events.count()
     assert got.select("user_id").distinct().count() == events.select("user_id").distinct().count()
 
@@ -17,14 +17,14 @@ def test_chronology_has_every_event(spark, data):
 def test_tei_export_has_every_whole_text(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     plain = F.replace(F.replace(F.replace(F.regexp_extract("tei", "(?s)<p>(.*)</p></body></text></TEI>$", 1), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    got = catalog.QUERIES["tei_export_whole"](spark, data).select("doc_id", plain.alias("t"))
+    got = catalog.QUERIES["tei_export"](spark, data).select("doc_id", plain.alias("t"))
     assert got.count() == d.count() and got.join(d, "doc_id").where("t <> text").count() == 0
 
 
 def test_heading_escapes_and_first_json_object_have_every_row(spark, data):
-    got = catalog.QUERIES["heading_escapes_whole"](spark, data)
+    got = catalog.QUERIES["heading_escapes"](spark, data)
     assert got.count() == got.where("done").count() == spark.read.parquet(f"{data}/documents.parquet").count()
-    assert catalog.QUERIES["first_json_object_whole"](spark, data).where("found is not null").count() == spark.read.parquet(f"{data}/events.parquet").where("props is not null").count()
+    assert catalog.QUERIES["first_json_object"](spark, data).where("found is not null").count() == spark.read.parquet(f"{data}/events.parquet").where("props is not null").count()
 
 
 def test_fallback_fills_up_behind_many_long_hits(spark, data, tmp_path):

@@ -17,12 +17,21 @@ LETTERS_FROM, LETTERS_TO = "كيىېةۀأإٱ", "کیییههااا"
 DIGITS_FROM, DIGITS_TO = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
 SPACED_JOINER, DROPPED_JOINERS = "‌", "‍‎‏"
 MARKS = "".join(chr(c) for c in range(0x064B, 0x0653)) + "ٰـ"
-# Letters with marks in the Latin-1 block and their base letters.
-ACCENTED, BASE = "äçèéêíñóöü", "aceeeinoou"
+#: Letters below U+2000 that decompose to a base letter and marks, with their base; marks themselves go.
+_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+_BARE = {c: d[0] for c, d in _PARTS.items() if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])}
+ACCENTED = "".join(_BARE) + "".join(chr(c) for c in range(0x300, 0x370))
+BASE = "".join(_BARE.values())
 # Words that a content query leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with", "و", "در", "به", "از", "که", "این", "آن", "را", "با", "است", "برای")
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "then", "of", "to", "in", "on", "at", "by", "for", "with", "about", "into", "from", "as", "is", "are",
+    "was", "were", "be", "been", "being", "it", "its", "this", "that", "these", "those", "which", "who", "whom", "what", "where", "when", "how", "why",
+    "can", "could", "may", "might", "will", "would", "shall", "should", "do", "does", "did", "done", "have", "has", "had", "not", "no", "yes", "also",
+    "than", "so", "such", "their", "them", "they", "there", "here", "he", "she", "his", "her", "we", "us", "our", "you", "your", "i", "me", "my",
+    "و", "در", "به", "از", "که", "این", "آن", "را", "با", "است", "برای",
+)
 # Persian suffixes, first match drops.
-SUFFIXES = ("های", "هایی", "ها", "ترین", "تر", "ات", "ان", "ی")
+SUFFIXES = ("ترین", "های", "ها", "ات", "ان", "تر", "ین", "ی")
 
 
 def fold(text: str) -> str:
@@ -48,11 +57,9 @@ def norm(c: Column) -> Column:
 
 
 def term_key(c: Column) -> Column:
-    """The normal form without accents, as postings hold it."""
+    """The normal form without accents, as postings hold it; translate is left to texts with such letters."""
     x = norm(c)
-    for a, b in zip(ACCENTED, BASE):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    return F.when(x.rlike(r"[\u00C0-\u1FFF]"), F.translate(x, ACCENTED, BASE)).otherwise(x)
 
 
 def apart(df):

@@ -1,101 +1,106 @@
-"""Deterministic chunking of texts into half-open code-point spans, and checks of a chunk table."""
+"""Deterministic chunking of texts into half-open code-point spans, and checks of a chunk table.
+
+A text of at most SOFT characters is one chunk. A longer one is cut where blocks begin: at headings, behind blank
+lines, at a table's first line, behind front matter. Blocks over HARD are cut again behind the last sentence that
+ends within SOFT (with the white space behind it if all of that fits), else at SOFT, never inside CR LF. Pieces
+are put together up to SOFT; a last chunk under TAIL joins the one before if both stay within HARD.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 
-# Soft and hard length, least tail.
-SOFT, HARD, TAIL = 4000, 6000, 400
-_SENTENCE = re.compile(r"[.!?؟…。](?=[\"'»”)\]]*\s)")
-_HEADING = re.compile(r"(#{1,6})\s+(.*\S)\s*$")
+# Soft and hard length, least tail, version; marks that end a sentence, white space behind them.
+SOFT, HARD, TAIL, VERSION = 4000, 6000, 400, "chunk-1"
+ENDS = ".!?؟۔…\n"
+SPACES = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029"
+
+_HEADING = re.compile(r"^(#{1,6}) ([^\n]*)", re.M)
+_BEHIND_BLANKS = re.compile(r"^(?:[ \t\r]*\n)+(?=[ \t\r]*[^ \t\r\n])", re.M)
+_TABLE = re.compile(r"^(?:[ \t]*\|[^\n]*(?:\n|\Z))+", re.M)
+_MATTER = re.compile(r"---\r*\n(?:[^\n]*\n)*?---\r*(?:\n|\Z)")
 
 
 def block_starts(text: str) -> list[int]:
-    """Offsets where a block begins: a heading, text behind a blank line, a table's first line, the body behind front matter."""
-    out, at, blank, table, matter = [0], 0, False, False, text.startswith("---\n")
-    for k, line in enumerate(text.split("\n")):
-        begins = blank and line.strip() != ""
-        begins |= bool(_HEADING.match(line)) or (line.startswith("|") and not table)
-        if begins and at and not matter:
-            out.append(at)
-        if matter and k and line.rstrip() == "---":
-            matter = False
-            out.append(at + len(line) + 1)
-        blank, table = line.strip() == "", line.startswith("|")
-        at += len(line) + 1
-    return sorted({x for x in out if x < len(text)})
-
-
-def cut_long(text: str, start: int, end: int) -> list[int]:
-    """Starts of the pieces of a block over the hard length: behind the last sentence that fits, else a hard cut, never inside CR LF."""
-    out = [start]
-    while end - start > HARD:
-        last = None
-        for last in _SENTENCE.finditer(text, start, start + SOFT):
-            pass
-        at = last.end() if last else start + SOFT
-        while last and at < start + SOFT and text[at].isspace():
-            at += 1
-        if text[at - 1] == "\r" and text[at : at + 1] == "\n":
-            at -= 1
+    """Offsets where a block begins."""
+    matter = _MATTER.match(text)
+    starts = {0} | {m.start() for r in (_HEADING, _TABLE) for m in r.finditer(text)} | {m.end() for m in _BEHIND_BLANKS.finditer(text)}
+    return sorted((starts | ({matter.end()} if matter else set())) - {len(text)})
+
+
+def cut_long(block: str) -> list[int]:
+    """Ends of the pieces of a block, all but the last."""
+    code = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = len(code)
+    space = np.append(np.isin(code, [ord(c) for c in SPACES]), True)
+    ends = np.flatnonzero(np.isin(code, [ord(c) for c in ENDS]) & space[1:]) + 1
+    # the first place from each one on that is not white space
+    solid = np.minimum.accumulate(np.where(space[:n], n, np.arange(n))[::-1])[::-1]
+    behind = np.append(solid, n)[ends]
+    out, at = [], 0
+    while n - at > SOFT:
+        limit = at + SOFT
+        k = int(np.searchsorted(ends, limit, "right")) - 1
+        if k >= 0 and ends[k] > at + 1:
+            at = int(behind[k] if behind[k] <= limit else ends[k])
+        else:
+            at = limit + (block[limit - 1 : limit + 1] == "\r\n")
         out.append(at)
-        start = at
     return out
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Blocks merged greedily up to the soft length; a short tail joins its neighbour if both fit the hard one."""
-    if not text:
-        return []
-    bounds = block_starts(text) + [len(text)]
-    starts = [x for a, b in zip(bounds, bounds[1:]) for x in cut_long(text, a, b)] + [len(text)]
-    out: list[list[int]] = []
-    for a, b in zip(starts, starts[1:]):
-        if out and b - out[-1][0] <= SOFT:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    if len(out) > 1 and out[-1][1] - out[-1][0] < TAIL and out[-1][1] - out[-2][0] <= HARD:
-        tail = out.pop()
-        out[-1][1] = tail[1]
-    return [(a, b) for a, b in out]
-
-
-def heading_path(text: str, at: int) -> list[str]:
-    """Headings in force at an offset."""
-    path: dict[int, str] = {}
-    pos = 0
-    for line in text.split("\n"):
-        if pos > at:
-            break
-        if m := _HEADING.match(line):
-            level = len(m[1])
-            path = {k: v for k, v in path.items() if k < level} | {level: m[2]}
-        pos += len(line) + 1
-    return [path[k] for k in sorted(path)]
-
-
-def chunks(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, idx, start_char, end_char, heading_path, text of every chunk; one pass, no shuffle."""
+    """Start and end of every chunk."""
+    n = len(text)
+    if n <= SOFT:
+        return [(0, n)] if n else []
+    starts = block_starts(text)
+    bounds = sorted({x for a, b in zip(starts, [*starts[1:], n]) for x in ([a] + ([a + c for c in cut_long(text[a:b])] if b - a > HARD else []))} | {n})
+    cuts, k = [0], 0
+    while cuts[-1] < n:  # the farthest bound within reach, or the next one
+        k = max(bisect_right(bounds, cuts[-1] + SOFT) - 1, k + 1)
+        cuts.append(bounds[k])
+    if len(cuts) > 2 and n - cuts[-2] < TAIL and n - cuts[-3] <= HARD:
+        del cuts[-2]
+    return list(zip(cuts, cuts[1:]))
+
+
+def heading_paths(text: str, starts: list[int]) -> list[list[str]]:
+    """Headings in force at each of the ascending offsets."""
+    force: dict[int, str] = {}
+    out, heads = [], [(m.start(), len(m[1]), m[2].strip()[:120]) for m in _HEADING.finditer(text)]
+    for a, b in zip([-1, *starts], starts):
+        for _, level, title in heads[bisect_right(heads, (a, 7)) : bisect_right(heads, (b, 7))]:
+            force = {v: t for v, t in force.items() if v < level} | {level: title}
+        out.append([force[v] for v in sorted(force)])
+    return out
+
+
+def chunks(rows: DataFrame, key: str, text: str, version: Column | None = None) -> DataFrame:
+    """key, idx, start_char, end_char, heading_path, text (and ``version`` of the whole text) of every chunk; one pass, no shuffle."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for k, t in zip(frame["k"], frame["t"]):
-                for i, (a, b) in enumerate(spans(t or "")):
-                    out.append((k, i, a, b, heading_path(t, a), t[a:b]))
-            yield pd.DataFrame(out, columns=["k", "idx", "start_char", "end_char", "heading_path", "text"])
+            for k, t, v in zip(frame["k"], frame["t"], frame["v"]):
+                found = spans(t or "")
+                paths = heading_paths(t, [a for a, _ in found]) if len(found) > 1 else [[]] * len(found)
+                out += [(k, i, a, b, path, t[a:b], v) for i, ((a, b), path) in enumerate(zip(found, paths))]
+            yield pd.DataFrame(out, columns=["k", "idx", "start_char", "end_char", "heading_path", "text", "version"])
 
-    done = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, idx long, start_char long, end_char long, heading_path array<string>, text string")
-    return done.withColumnRenamed("k", key)
+    source = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.lit(None) if version is None else version).cast("string").alias("v"))
+    done = source.mapInPandas(run, f"k {kind}, idx long, start_char long, end_char long, heading_path array<string>, text string, version string").withColumnRenamed("k", key)
+    return done.drop("version") if version is None else done
 
 
 def linked(rows: DataFrame, key: str, order: str, ref: str) -> DataFrame:
@@ -104,9 +109,9 @@ def linked(rows: DataFrame, key: str, order: str, ref: str) -> DataFrame:
     return rows.withColumn("prev_ref", F.lag(ref).over(w)).withColumn("next_ref", F.lead(ref).over(w))
 
 
-def with_refs(rows: DataFrame, key: str, version: str = "v1") -> DataFrame:
-    """chunk_digest and chunk_ref of chunk rows."""
-    digest = ids.chunk_digest(F.lit(version), F.col(key).cast("string"), F.col("start_char"), F.col("end_char"), F.col("text"))
+def with_refs(rows: DataFrame, key: str, layer: str = "body") -> DataFrame:
+    """chunk_digest and chunk_ref of chunk rows with their text's version."""
+    digest = ids.chunk_digest(F.col(key).cast("string"), F.col("version"), F.lit(layer), F.col("start_char"), F.col("end_char"), F.lit(VERSION))
     return rows.withColumn("chunk_digest", digest).withColumn("chunk_ref", F.concat(F.lit("chk:"), F.substring("chunk_digest", 1, 32)))
 
 

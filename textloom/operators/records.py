@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -60,10 +65,20 @@ def unescape_headings(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)^\\(\\*)##", "$1##")
 
 
-def first_json_object(text: Column) -> Column:
-    """The first {...} without nested braces that parses; else null."""
-    found = F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), 1)
-    return F.get(F.filter(found, lambda x: F.json_object_keys(x).isNotNull()), F.lit(0))
+@F.pandas_udf(StringType())
+def first_json_object(texts: pd.Series) -> pd.Series:
+    """The first {...} that parses, nested or not; else null (there is no built-in that finds where an object ends)."""
+    decode = json.JSONDecoder().raw_decode
+
+    def first(t: str | None) -> str | None:
+        for m in re.finditer(r"\{", t or ""):
+            try:
+                return t[m.start() : decode(t, m.start())[1]]
+            except (ValueError, RecursionError):
+                continue
+        return None
+
+    return texts.map(first)
 
 
 def tei(ident: Column, title: Column, body: Column) -> Column:

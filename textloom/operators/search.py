@@ -186,9 +186,17 @@ def offset_page(rows: DataFrame, order: list[str], offset: int, size: int) -> Da
     return cut.crossJoin(F.broadcast(total)).withColumn("more_available", F.col("total") > offset + size)
 
 
-def pack(rows: DataFrame, order: list[Column], cost: str, budget: int, most: int = 1000) -> DataFrame:
-    """The longest prefix of the first ``most`` rows whose running cost fits the budget."""
-    cut = rows.orderBy(*order).limit(most)
+def pack(rows: DataFrame, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """The longest prefix of rows whose running cost fits the budget; costs are at least 0.
+
+    The first rows are taken, four times as many each time, until they cost more than the budget or are all."""
+    most = 1000
+    while True:
+        cut = rows.orderBy(*order).limit(most)
+        n, total = cut.agg(F.count("*"), F.sum(cost)).first()
+        if n < most or (total or 0) > budget:
+            break
+        most *= 4
     run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return cut.withColumn("running", F.sum(cost).over(run).cast("long")).where(F.col("running") <= budget)
 

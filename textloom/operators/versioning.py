@@ -88,15 +88,20 @@ def by_request(log: DataFrame, key: str, order: str, content: str) -> DataFrame:
 
 
 def plan_batches(rows: DataFrame, family: str, order: list[str], most: int = 12, least: int = 8) -> DataFrame:
-    """batch of every row: runs of a family in order, cut at ``most``, a short last run joined to the one before.
-
-    Inside a family this is arithmetic on the row's place: full runs of ``most``, and the rest."""
-    w = Window.partitionBy(family).orderBy(*order)
-    place, size = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(family))
-    rest = F.col("_size") % most
-    runs = F.when((rest > 0) & (rest < least) & (F.col("_size") > most), F.floor(F.col("_size") / most)).otherwise(F.ceil(F.col("_size") / most))
-    out = rows.withColumn("_place", place).withColumn("_size", size)
-    return out.withColumn("batch", F.least(F.floor(F.col("_place") / most), runs - 1).cast("long")).drop("_place", "_size")
+    """batch (from 0, over all families in order) of every row: runs of a family, cut at ``most``; a run shorter than
+    ``least`` joins the batch before it, whichever family that is of; without one it is a batch of its own.
+
+    Inside a family this is arithmetic on the row's place; across families on one row each."""
+    sizes = rows.groupBy(family).agg(F.count("*").alias("_size"))
+    new = F.floor(F.col("_size") / most) + (F.col("_size") % most >= least).cast("int")
+    w = Window.orderBy(F.col(family).asc_nulls_first())
+    alone = (F.row_number().over(w) == 1) & (F.col("_size") < least)
+    sizes = sizes.withColumn("_new", F.when(alone, 1).otherwise(new))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.select(F.col(family).alias("_family"), "_new", "_before")
+    out = rows.join(sizes, F.col(family).eqNullSafe(F.col("_family")))
+    place = F.row_number().over(Window.partitionBy(family).orderBy(*order)) - 1
+    return out.withColumn("batch", (F.col("_before") + F.least(F.floor(place / most), F.col("_new") - 1)).cast("long")).drop("_family", "_new", "_before")
 
 
 def retier(rows: DataFrame, family: str, tier: str, overrides: dict[str, str], default: str) -> DataFrame:

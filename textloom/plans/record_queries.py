@@ -48,44 +48,31 @@ def annotation_problems(t: Tables) -> DataFrame:
     return R.annotation_problems(a, "item_id", t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
-@query(r"""WITH d AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '## ') AS x FROM documents WHERE doc_id < 50) SELECT doc_id, sha256('\' || x) IS NOT NULL AS done, (length(x) - length(replace(x, '## ', ''))) // 3 AS headings FROM d""")
+@query(r"""WITH d AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '## ') AS x FROM documents), e AS (SELECT doc_id, x, regexp_replace(x, '(?m)^(\\*)##', '\\\1##', 'g') AS y FROM d)
+SELECT doc_id, sha256(y) AS escaped, regexp_replace(y, '(?m)^\\(\\*)##', '\1##', 'g') = x AS done, (length(x) - length(replace(x, '## ', ''))) // 3 AS headings FROM e""")
 def heading_escapes(t: Tables) -> DataFrame:
-    return _escaped(t.documents.where("doc_id < 50"))
-
-
-@query(r"""WITH d AS (SELECT doc_id, '## ' || replace(text, chr(10), chr(10) || '## ') AS x FROM documents) SELECT doc_id, sha256('\' || x) IS NOT NULL AS done, (length(x) - length(replace(x, '## ', ''))) // 3 AS headings FROM d""")
-def heading_escapes_whole(t: Tables) -> DataFrame:
     return _escaped(t.documents)
 
 
 def _escaped(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("x"))
-    there_and_back = R.unescape_headings(R.escape_headings(F.col("x"))) == F.col("x")
-    return d.select("doc_id", there_and_back.alias("done"), ((F.length("x") - F.length(F.replace("x", F.lit("## "), F.lit("")))) / 3).cast("long").alias("headings"))
+    y = R.escape_headings(F.col("x"))
+    there_and_back = R.unescape_headings(y) == F.col("x")
+    return d.select("doc_id", F.sha2(y, 256).alias("escaped"), there_and_back.alias("done"), ((F.length("x") - F.length(F.replace("x", F.lit("## "), F.lit("")))) / 3).cast("long").alias("headings"))
 
 
-@query(r"""SELECT event_id, props AS found FROM events WHERE event_id < 100""")
+@query(r"""SELECT event_id, props AS found, '{"a":{"b":' || props || '}}' AS nested FROM events""")
 def first_json_object(t: Tables) -> DataFrame:
-    return _first_json(t.events.where("event_id < 100"))
-
-
-@query(r"""SELECT event_id, props AS found FROM events""")
-def first_json_object_whole(t: Tables) -> DataFrame:
     return _first_json(t.events)
 
 
 def _first_json(events: DataFrame) -> DataFrame:
-    e = events.select("event_id", F.concat(F.lit("noise {not json} "), F.col("props"), F.lit(' {"b":2}')).alias("x"))
-    return e.select("event_id", R.first_json_object(F.col("x")).alias("found"))
-
-
-@query(r"""SELECT doc_id, '<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="s' || doc_id || '"><teiHeader><fileDesc><titleStmt><title>' || source || '</title></titleStmt></fileDesc></teiHeader><text><body><p>' || replace(replace(replace(left(text, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></text></TEI>' AS tei FROM documents WHERE doc_id < 20""")
-def tei_export(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id < 20").select("doc_id", R.tei(F.col("doc_id"), F.col("source"), F.substring("text", 1, 100)).alias("tei"))
+    e = events.select("event_id", F.concat(F.lit("noise {not json} "), F.col("props"), F.lit(' {"b":2}')).alias("x"), F.concat(F.lit('{ {"a":{"b":'), F.col("props"), F.lit("}} }")).alias("y"))
+    return e.select("event_id", R.first_json_object(F.col("x")).alias("found"), R.first_json_object(F.col("y")).alias("nested"))
 
 
 @query(r"""SELECT doc_id, '<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="s' || doc_id || '"><teiHeader><fileDesc><titleStmt><title>' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title></titleStmt></fileDesc></teiHeader><text><body><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></text></TEI>' AS tei FROM documents""")
-def tei_export_whole(t: Tables) -> DataFrame:
+def tei_export(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", R.tei(F.col("doc_id"), F.col("source"), F.col("text")).alias("tei"))
 
 

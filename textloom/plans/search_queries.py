@@ -174,7 +174,7 @@ def offset_page_with_total(t: Tables) -> DataFrame:
     return S.offset_page(t.documents.select("doc_id", "lang"), ["lang", "doc_id"], 40, 20)
 
 
-@query("""WITH c AS (SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 1000), r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS running FROM c) SELECT * FROM r WHERE running <= 24000""")
+@query("""WITH c AS (SELECT doc_id, n_chars FROM documents), r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS running FROM c) SELECT * FROM r WHERE running <= 24000""")
 def budget_prefix_pack(t: Tables) -> DataFrame:
     return S.pack(t.documents.select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 24_000)
 

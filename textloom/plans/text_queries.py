@@ -99,7 +99,8 @@ def normal_forms(t: Tables) -> DataFrame:
 
 @query()
 def chunk_spans(t: Tables) -> DataFrame:
-    c = C.with_refs(C.chunks(t.documents, "doc_id", "text"), "doc_id")
+    version = ids.source_version(F.col("doc_id").cast("string"), "body", F.col("text"))
+    c = C.with_refs(C.chunks(t.documents, "doc_id", "text", version), "doc_id")
     return c.select("doc_id", "idx", "start_char", "end_char", F.array_join("heading_path", " / ").alias("heading"), "chunk_ref")
 
 

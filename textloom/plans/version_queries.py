@@ -96,8 +96,10 @@ def idempotent_requests(t: Tables) -> DataFrame:
     return V.by_request(log, "k", "event_id", "event_type").select("event_id", "outcome")
 
 
-@query("""WITH p AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
-SELECT s_suppkey, s_nationkey, least(p // 12, CASE WHEN n % 12 > 0 AND n % 12 < 8 AND n > 12 THEN n // 12 ELSE (n + 11) // 12 END - 1)::BIGINT AS batch FROM p""")
+@query("""WITH p AS (SELECT s_suppkey, s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 12 AS run FROM supplier),
+g AS (SELECT s_nationkey, run, count(*) AS n FROM p GROUP BY s_nationkey, run), r AS (SELECT *, row_number() OVER (ORDER BY s_nationkey, run) AS k FROM g),
+b AS (SELECT s_nationkey, run, sum(CASE WHEN n >= 8 OR k = 1 THEN 1 ELSE 0 END) OVER (ORDER BY k) - 1 AS batch FROM r)
+SELECT s_suppkey, s_nationkey, batch::BIGINT AS batch FROM p JOIN b USING (s_nationkey, run)""")
 def batch_plan(t: Tables) -> DataFrame:
     return V.plan_batches(t.supplier.select("s_suppkey", "s_nationkey"), "s_nationkey", ["s_suppkey"])
 
