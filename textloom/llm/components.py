@@ -20,7 +20,7 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], total: int, how:
     least = max(LEAST_HOT, total // MOST_HOT)
     hot, cold = table.where(F.col("_c") > least).drop("_c"), table.where(F.col("_c") <= least).drop("_c")
     here = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on, how)
     return here.unionByName(rest)
 
 

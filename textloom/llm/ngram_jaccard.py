@@ -225,18 +225,24 @@ def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
 
-def _holding(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of base whose _id may be among ids: a bitmap of 2 ** 24 bits whatever the input's size, so that
-    the exact join that follows shuffles few texts. A full bitmap only lets more rows through."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24))
-    bits = ids.select(spot("rep").alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits"))
-    rows = base.withColumn("_h", spot("_id")).withColumn("_at", F.expr("bitmap_bit_position(_h)"))
-    rows = rows.join(F.broadcast(bits), F.expr("bitmap_bucket_number(_h) = bucket"))
-    return rows.where("shiftright(cast(conv(hex(substring(bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1 = 1").select("_id", "_text")
+#: Address bits of the bitmaps of ids.
+ID_BITS = 24
+
+
+def _marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with _may: whether their ``key`` may be among ids (rep). A bitmap of 2 ** ID_BITS bits whatever the input's
+    size; a full one only lets more rows through to the exact join that follows."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+    bits = ids.select(spot("rep").alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("_bits"))
+    rows = rows.withColumn("_h", spot(key)).withColumn("_at", F.expr("bitmap_bit_position(_h)")).withColumn("_b", F.expr("bitmap_bucket_number(_h)"))
+    rows = rows.join(F.broadcast(bits), F.col("_b") == F.col("_bucket"), "left")
+    bit = "shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1 = 1"
+    return rows.withColumn("_may", F.coalesce(F.expr(bit), F.lit(False))).drop("_h", "_at", "_b", "_bucket", "_bits")
 
 
 def _with_text(base: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.join(_holding(base, rows).withColumnRenamed("_id", "rep"), "rep")
+    texts = _marked(base, rows, "_id").where("_may").select(F.col("_id").alias("rep"), "_text")
+    return rows.join(texts.hint("merge"), "rep")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +277,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     shared = base.mapInArrow(_prefixes(sketch), "token long, d1 long").groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b")
     entries = saved(base.mapInArrow(_entries(sketch, *_live_tokens(shared)), f"token long, id {kind}, n int").where("id is not null"), "entries")
     lasts = entries.where("n = 0").groupBy("id").agg(F.min("token").alias("last")).withColumnRenamed("id", "rep")
-    grouped = classes.select("rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").join(lasts, "rep").select("rep", "last", F.coalesce("component", "rep").alias("grp"))
+    grouped = classes.select("rep").join(near.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").join(lasts.hint("merge"), "rep").select("rep", "last", F.coalesce("component", "rep").alias("grp"))
     grouped = saved(grouped, "groups")
     large = grouped.groupBy("grp").agg(F.count("*").alias("_c")).where(F.col("_c") > BLOCK).withColumn("home", F.concat(F.lit("g"), F.col("grp").cast("string")))
     homes = saved(hot_join(grouped, large, ["grp"], total, "left").withColumn("home", F.coalesce("home", F.concat(F.lit("t"), F.col("last").cast("string")))), "homes")
@@ -279,7 +285,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     count = F.coalesce(F.least(F.ceil(F.col("size") / BLOCK), F.ceil(F.sqrt("size"))), F.lit(1))
     split = F.pmod(F.xxhash64("rep"), count).cast("string")
     blocks = saved(hot_join(homes, room, ["home"], total, "left").select("rep", "grp", F.concat("home", F.lit("/"), split).alias("blk")), "blocks")
-    matrix = entries.where("n > 0").join(blocks, F.col("id") == F.col("rep"))
+    matrix = entries.where("n > 0").join(blocks.hint("merge"), F.col("id") == F.col("rep"))
     matrix = saved(matrix.groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("g1"), F.max("grp").alias("g2")), "matrix")
 
     # step 4: which blocks can hold a linked pair. Sets x <= y that share a >= t/(1+t) (x+y) share at least a - ceil(t y) + 1
@@ -289,7 +295,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     met = met.groupBy("blka", "blkb").agg(F.count("*").alias("c"), F.min(F.least("lowa", "lowb")).cast("long").alias("x"), F.max(F.greatest("higha", "highb")).cast("long").alias("top"))
     least = f"greatest(1, {PERCENT} * (100 * x - {PERCENT} * top) div {100 * (100 + PERCENT)} + 1)"
     met = saved(met.where(f"c >= {least}").select("blka", "blkb"), "met")
-    asked = saved(met.join(blocks, F.col("blka") == F.col("blk")).select(F.col("blkb").alias("blk"), "rep", "grp"), "asked")
+    asked = saved(met.join(blocks.hint("merge"), F.col("blka") == F.col("blk")).select(F.col("blkb").alias("blk"), "rep", "grp"), "asked")
     many = asked.groupBy("blk").agg(F.count("*").alias("_c")).where(F.col("_c") > MEET).withColumn("met", F.col("_c"))
     parts = F.coalesce(F.ceil(F.col("met") / MEET), F.lit(1))
     asked = saved(hot_join(asked, many, ["blk"], asked.count(), "left").select("blk", "rep", "grp", F.pmod(F.xxhash64("rep"), parts).alias("part"), F.lit(False).alias("member")), "asked")
@@ -309,10 +315,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The document of the least id of each group stays; documents of no group stay too.
 
     Of rows that share an id one stays, of the least digest of its text; rows of null id all stay."""
-    found = saved(groups(docs, id_col, text_col), "groups")
-    keep = found.where(f"`{id_col}` = component_id").groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_n"))
+    found = saved(groups(docs, id_col, text_col), "groups").where(F.col(id_col).isNotNull())
+    some = found.groupBy(F.col(id_col).alias("rep")).agg(F.count("*").alias("_n"), F.min("component_id").alias("_least"))
+    # all that does not simply stay; other rows need no shuffle
+    some = saved(some.where("_n > 1 or rep <> _least").withColumn("_stays", F.col("rep") == F.col("_least")).select("rep", "_stays"), "special")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.join(keep, F.col("_id") == F.col("_keep"))
-    once = rows.where("_n = 1").select("_row")
-    repeated = rows.where("_n > 1").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_text")).alias("_row")).select("_row")
-    return once.unionAll(repeated).select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    rows = _marked(rows, some, "_id")
+    plain = rows.where("_id is null or not _may").select("_row")
+    judged = rows.where("_id is not null and _may").join(some.hint("merge"), F.col("_id") == F.col("rep"), "left")
+    plain = plain.unionAll(judged.where("rep is null").select("_row"))
+    repeated = judged.where("_stays").groupBy("_id").agg(F.min_by("_row", F.xxhash64("_text")).alias("_row")).select("_row")
+    return plain.unionAll(repeated).select("_row.*")
