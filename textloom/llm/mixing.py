@@ -144,8 +144,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # of each size the first _k by hash order: whole slices below the cut, and a rank inside the slice that holds it
     from pyspark.sql import Window as Win
 
-    before = counted.withColumn("_below", F.coalesce(F.sum("_n").over(Win.partitionBy("_source", "_size").orderBy("_slice").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0)))
-    cuts = before.join(picks.withColumnsRenamed({"_source": "_s", "_size": "_z"}), F.expr("_source <=> _s and _size = _z")).select("_source", "_size", "_slice", "_rounds", F.greatest(F.lit(0), F.least("_n", F.expr("_k - _below"))).alias("_take"), "_n")
+    # what lies below a slice: in its run of 64 slices, and in the runs before; no window is longer than 64 rows
+    counted = counted.withColumn("_run", F.shiftright("_slice", 6))
+    upto = lambda *keys: Win.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Win.unboundedPreceding, -1)
+    long = counted.groupBy("_source", "_size", "_run").agg(F.sum("_n").alias("_n"))
+    long = long.withColumn("_before", F.coalesce(F.sum("_n").over(upto("_source", "_size", "_run")), F.lit(0)))
+    long = long.join(picks.withColumnsRenamed({"_source": "_s", "_size": "_z"}), F.expr("_source <=> _s and _size = _z")).select("_s", "_z", F.col("_run").alias("_r"), "_before", "_k", "_rounds")
+    before = counted.withColumn("_below", F.coalesce(F.sum("_n").over(upto("_source", "_size", "_run", "_slice")), F.lit(0)))
+    cuts = before.join(long, F.expr("_source <=> _s and _size = _z and _run = _r")).select("_source", "_size", "_slice", "_rounds", F.greatest(F.lit(0), F.least("_n", F.expr("_k - _before - _below"))).alias("_take"), "_n")
     cuts = cuts.withColumnsRenamed({"_source": "_s", "_size": "_z", "_slice": "_l"})
     out = rows.join(cuts, F.expr("_source <=> _s and _size = _z and _slice = _l"))
     whole = out.where("_take = 0 or _take = _n or _size = 0").withColumn("_more", F.when((F.col("_take") > 0) & (F.col("_size") > 0), 1).otherwise(0))
