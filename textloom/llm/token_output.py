@@ -35,7 +35,9 @@ from .store import fresh_path, saved
 #: A shard ends at so many documents or ids.
 SHARD_DOCS = 1 << 16
 SHARD_IDS = 4 << 20
-CACHE_UNITS = 3_000_000
+CACHE_UNITS = 1_000_000
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 20
 #: Unicode white space beyond ASCII; texts with it, or with a special token, are encoded whole.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -269,7 +271,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         encoder, at = _encoder(sent.value), TaskContext.get().partitionId() << 36
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
+            for piece in W.pieces(batch, "_text", limit=PIECE):
                 ids = [part.tobytes() + end for part in encoder.encode(piece.column("_text"))]
                 seq = np.arange(at, at + len(ids))
                 at += len(ids)
