@@ -75,8 +75,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.schema.field("_id").type
         for piece in W.pieces(batch, "_text"):
             sets = list(shingle_sets(piece.column("_text")))
-            cells = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            sketch += np.bincount(cells, minlength=len(sketch)).astype(np.uint32)
+            cells, times = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            sketch[cells] += times.astype(np.uint32)
             n = np.array([len(s) for s in sets])
             salt = np.uint64(0x9E3779B97F4A7C15)
             total = lambda f: np.array([int(f(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).astype(np.int64)

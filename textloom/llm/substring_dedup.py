@@ -38,6 +38,8 @@ ANCHOR = 10
 FILTER_BITS = 28
 FEWEST_BITS = 18
 SLICES = 64
+#: Bytes of text whose windows share a row a bucket.
+PIECE = 2 << 20
 #: Windows that a task holds before it sends them: repeats among first ones need not travel, late ones share rows.
 HELD = 1_000_000
 _LAST = np.iinfo(np.int64).max
@@ -110,7 +112,7 @@ def _known(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
 def _blocks(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
+            for piece in W.pieces(batch, "_text", limit=PIECE):
                 ws = W.tokenize(piece.column("_text"))
                 hashes, at, owner = _anchors(ws)
                 own = (at - ws.first[owner]) % ANCHOR == 0
@@ -136,7 +138,7 @@ def _probes(index, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(index.value, np.uint8)
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
+            for piece in W.pieces(batch, "_text", limit=PIECE):
                 ws = W.tokenize(piece.column("_text"))
                 hashes, at, owner = _anchors(ws)
                 own = (at - ws.first[owner]) % ANCHOR == 0
@@ -204,7 +206,7 @@ def _windows(anchors, buckets: int, bits: int):
         bitmap = np.frombuffer(anchors.value, np.uint8)
         held: list[np.ndarray] = []
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
+            for piece in W.pieces(batch, "_text", limit=PIECE):
                 held.append(over_anchors(piece, bitmap))
                 if sum(map(len, held)) >= HELD:
                     yield sent(np.concatenate(held))
@@ -313,7 +315,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in W.pieces(batch, "_text"):
+            for piece in W.pieces(batch, "_text", limit=PIECE):
                 ws = W.tokenize(piece.column("_text"))
                 raw = ws.data.tobytes()
                 removed, sums, runs = [], [], []
