@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import components, language_id, mixing, ngram_jaccard, samples, secret_scan, substring_dedup, token_output, url_filters, words
+from textloom.llm import components, decontamination, language_id, mixing, ngram_jaccard, quality_classifier, samples, secret_scan, substring_dedup, token_output, url_filters, words
 
 
 def test_mixed_shares_by_id_source_and_size(spark):
@@ -279,3 +279,21 @@ def test_deduplicate_keeps_one_of_equal_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
     got = sorted((str(r.doc_id), r.text or "", r._id) for r in ngram_jaccard.deduplicate(df).collect())
     assert got == sorted([("1", t, "a"), ("3", "other words", "c"), ("None", t, "d"), ("4", "", "e")])
+
+
+def test_empty_tables(spark, empty, frame):
+    """Empty documents, labels and benchmark: empty results, or none found."""
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string")
+    assert language_id.identify(empty).count() == secret_scan.scan(empty).count() == quality_classifier.classify(empty, labels).count() == decontamination.scan(empty, bench).count() == 0
+    assert {r.score for r in quality_classifier.classify(frame, labels).collect()} == {0.5}
+    assert decontamination.scan(frame, bench).where("n_hit > 0 or contaminated").count() == 0
+    assert ngram_jaccard.deduplicate(empty).count() == substring_dedup.remove(empty).count() == 0
+
+
+def test_repeated_rows_get_equal_rows(spark, frame):
+    """Every row twice, columns with the names of results: each row's twin is like it."""
+    twice = frame.withColumn("score", F.lit("z")).unionAll(frame.withColumn("score", F.lit("z")))
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    for df in (language_id.identify(twice), secret_scan.scan(twice), decontamination.scan(twice, bench), quality_classifier.classify(twice, spark.createDataFrame([(8, 1), (9, 0)], "doc_id long, quality int"))):
+        rows = Counter(map(tuple, df.collect()))
+        assert sum(rows.values()) == 2 * frame.count() and all(n % 2 == 0 for n in rows.values())
