@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns documents
 with their columns; the last returns what the token files hold of each document.
+
+In every stage an empty table gives an empty result, extra columns stay whatever their names, and reruns agree.
 """
 
 from __future__ import annotations
@@ -14,27 +16,33 @@ from textloom.llm.store import saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and the documents that the rules reject."""
+    """Failing lines go, and the documents that the rules reject: null and empty texts too, as they have no words.
+
+    A text that loses exactly the most it may stays; repeated rows go or stay alike."""
     return quality_rules.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays, that of the least id; null and empty texts are in no group.
+
+    Of rows of one id the one of the least text digest stays; rows of null id all stay."""
     return ngram_jaccard.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go; null and empty texts hold none. A document of exactly a twentieth of hit words goes."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, twice at most; null and empty texts are never taken.
+
+    A null source is a source of its own; repeated rows share what the mix takes of them."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the token files."""
+    """doc_id, start, n_tokens, ids_crc32 of the token files; a null text is the end id alone, null ids come first, repeated rows stay."""
     return token_output.digests(docs, vocabulary_path())
 
 
