@@ -202,3 +202,43 @@ def redact(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), ACCENTED, BASE), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+# What stands around a quoted candidate.
+EDGE_JUNK = " \t\r\n:;,.…()—–-'\"“”«»*"
+
+
+def norm_seq(c: Column) -> Column:
+    """Runs of a-z, 0-9 and Arabic-block characters of the folded text, one space apart; any other letter splits a word (for text that NFKC leaves as it is)."""
+    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(SPACED_JOINER), F.lit(" "))
+    return F.array_join(F.regexp_extract_all(low, F.lit("([a-z0-9\u0600-\u06FF]+)"), 1), " ")
+
+
+def clean_candidate(c: Column) -> Column:
+    """A quote candidate without [references], bold marks and what stands around it."""
+    x = F.regexp_replace(c, r"\[[A-Za-z0-9][A-Za-z0-9_\-]{0,40}\]", " ")
+    return F.btrim(F.regexp_replace(x, r"\*\*|__", " "), F.lit(EDGE_JUNK))
+
+
+def unescape_json(c: Column) -> Column:
+    """Text with its \\uXXXX escapes decoded; a run of them at once, so that pairs of surrogates become one character."""
+    runs = F.regexp_extract_all(c, F.lit(r"((?:\\u[0-9a-fA-F]{4})+)"), 1)
+    decoded = F.transform(runs, lambda r: F.decode(F.unhex(F.replace(r, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+    between = F.split(c, r"(?:\\u[0-9a-fA-F]{4})+", -1)
+    return F.array_join(F.zip_with(between, F.concat(decoded, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def window_text(c: Column, line: Column, radius: int = 45, most: int = 4200) -> Column:
+    """The lines around a 1-based line, ``radius`` before it and as many from it on, cut at ``most`` characters."""
+    lines = F.split(c, "\n", -1)
+    first, end = F.greatest(line - 1 - radius, F.lit(0)), F.least(line - 1 + radius, F.size(lines))
+    kept = F.slice(lines, (first + 1).cast("int"), F.greatest(end - first, F.lit(0)).cast("int"))
+    return F.substring(F.array_join(kept, "\n"), 1, most)
+
+
+def clip_bytes(c: Column, most: int = 400_000) -> Column:
+    """The longest prefix of whole characters in ``most`` UTF-8 bytes (at least 4)."""
+    b = F.encode(c, "UTF-8")
+    inside = lambda p: F.hex(F.substring(b, p, 1)).rlike("^[89AB]")  # noqa: E731  a byte that continues a character
+    end = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.substring(b, F.lit(1), end).cast("string"))

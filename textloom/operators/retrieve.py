@@ -58,6 +58,14 @@ def pack(parts: list[DataFrame], key: str, text: str, most: int = 30, chars: int
     return cut.select(key, "part", F.row_number().over(Window.orderBy("part", "rank", key)).cast("long").alias("place"), F.substring(text, 1, chars).alias("excerpt"))
 
 
+def share_pack(rows: DataFrame, key: str, text: str, budget: int) -> DataFrame:
+    """key, content, truncated, tokens: each of a few rows gets an equal share of a budget of tokens of four characters."""
+    n = rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    share = (F.floor(F.lit(budget * 4) / F.col("_n")) * 4).cast("int")
+    cut = rows.select(key, text).crossJoin(F.broadcast(n)).withColumn("content", F.col(text).substr(F.lit(1), share))  # one row
+    return cut.select(key, "content", (F.length(text) > F.length("content")).alias("truncated"), F.floor(F.length("content") / 4).cast("long").alias("tokens"))
+
+
 def pending_page(rows: DataFrame, owner: str, order: list[str], size: str, most: int = 24_000, items: int = 20) -> DataFrame:
     """The next open parts of each owner within a budget of characters and items; the first always fits."""
     w = Window.partitionBy(owner).orderBy(*order)

@@ -146,6 +146,18 @@ def fuse(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     return every.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.count("*").alias("n_lists"))
 
 
+def fuse_routes(routes: dict[str, DataFrame], key: str, k: int = 60) -> DataFrame:
+    """key, score, paths, matched: reciprocal rank fusion of routes (key, rank, matched), with the routes and what matched in any, once each."""
+    every = None
+    for name, rows in routes.items():
+        part = rows.select(key, "rank", "matched", F.lit(name).alias("_path"))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy(key, "_path").agg(F.min("rank").alias("rank"), F.array_distinct(F.flatten(F.collect_list("matched"))).alias("matched"))
+    return best.groupBy(key).agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.array_sort(F.collect_list("_path")).alias("paths"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("matched")
+    )
+
+
 def capped(rows: DataFrame, source: str, order: list[Column], most: int = 3) -> DataFrame:
     """Rows in order with at most ``most`` of each source."""
     return rows.withColumn("in_source", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long")).where(F.col("in_source") <= most)
