@@ -18,6 +18,8 @@ from ..functions import text as T
 from .search import B, K1
 
 BUCKETS = 64
+#: Rows of a file; a file is sorted by term, so a search reads the row groups of its terms.
+FILE_ROWS = 20_000_000
 
 
 def _bucket(term: Column) -> Column:
@@ -55,9 +57,10 @@ def refresh(rows: DataFrame, key: str, text: str, path: str, most: int | None =
     fresh = rows.select(F.col(key).alias("key"), F.col(text).alias("_t")).join(todo.select("key", "fingerprint"), "key")
     tokens = fresh.select("key", "fingerprint", T.terms(T.term_key(F.coalesce("_t", F.lit("")))).alias("_ts"))
     each = tokens.select("key", F.size("_ts").cast("long").alias("len"), F.explode("_ts").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
-    # a bucket is spread over the tasks by the document, so that a term of every document is no one task's work
-    each = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term", "key")
-    each.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/since={gen}")
+    # a bucket is spread by the document over its share of the tasks, so that a term of every document is no one task's work
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    each = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
+    each.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(f"{path}/postings/since={gen}")
     new = tokens.select("key", "fingerprint", F.size("_ts").cast("long").alias("len"), F.lit(gen).cast("long").alias("since"))
     kept = now.where("_f is not null").select("key", F.col("_f").alias("fingerprint"), F.col("_l").alias("len"), F.col("_g").alias("since")).join(todo.select("key"), "key", "left_anti")
     new.unionByName(kept).write.mode("overwrite").parquet(f"{path}/documents/gen={gen}")
