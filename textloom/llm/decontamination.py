@@ -115,7 +115,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         block = spark.sparkContext.broadcast(_Block([(r.i, r.t) for r in part.toLocalIterator()]))
-        df = df.mapInArrow(_scan_with(block), df.schema)
+        df = df.mapInArrow(W.lean(_scan_with(block)), df.schema)
         if k + 1 < blocks:
             df = saved(df, "hits")
     kept = [f for f in df.schema.fields if f.name not in ("_text", "_hits", "_items")]
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if carry:
         df = df.withColumn("_c_hits", F.col("_hits"))
         out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [f for f in df.schema.fields if f.name not in ("_text", "_hits", "_items")]) + ", n_hit long, n_items long, items_sha256 string"
-    done = df.mapInArrow(_digest, out)
+    done = df.mapInArrow(W.lean(_digest), out)
     return done.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).withColumnRenamed("_id", id_col)
 
 
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = docs.columns
     df = scan(docs, benchmark, id_col, text_col, carry=tuple(names)).where(~F.col("contaminated"))
     if spans:
-        df = df.mapInArrow(_cut(f"_c_{text_col}"), df.schema)
+        df = df.mapInArrow(W.lean(_cut(f"_c_{text_col}")), df.schema)
     out = {n: F.col(f"_c_{n}") for n in names}
     if spans and size_col in out:
         out[size_col] = F.length(f"_c_{text_col}").cast(docs.schema[size_col].dataType)

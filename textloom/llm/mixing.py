@@ -107,7 +107,7 @@ def sized(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -
 
     df = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "_text")
-    return df.mapInArrow(count, fields + "_size long")
+    return df.mapInArrow(W.lean(count), fields + "_size long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, percent: int = 150, seed: int = 17, extra: dict[str, Column] | None = None) -> DataFrame:

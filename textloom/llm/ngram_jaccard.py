@@ -251,9 +251,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = docs.schema[id_col].dataType.simpleString()
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    digests = saved(base.mapInArrow(_digest, f"id {kind}, n long, d1 long, d2 long, k1 long, k2 long, part int, counts binary"), "sets")
+    digests = saved(base.mapInArrow(W.lean(_digest), f"id {kind}, n long, d1 long, d2 long, k1 long, k2 long, part int, counts binary"), "sets")
     rows = digests.where("part is null")
-    parts = digests.where("part is not null").select("part", "counts").repartition(SLICES, "part").mapInArrow(_add_up, "part int, counts binary")
+    parts = digests.where("part is not null").select("part", "counts").repartition(SLICES, "part").mapInArrow(W.lean(_add_up), "part int, counts binary")
     # bounded: 2 ** SKETCH_BITS counters of 2 bytes
     slices = {r[0]: bytes(r[1]) for r in parts.collect()}
     empty = bytes(2 * (1 << SKETCH_BITS) // SLICES)
@@ -271,11 +271,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     pairs = saved(pairs.select("pivot", "rep", F.pmod(F.xxhash64("rep"), F.ceil(F.col("met") / MEET)).alias("part")), "pairs")
     ends = pairs.unionByName(pairs.select("pivot", "part").distinct().withColumn("rep", F.col("pivot")))
     work = _with_text(base, ends).repartition(n_parts, "pivot", "part").sortWithinPartitions("pivot", "part", F.expr("rep <> pivot")).select("pivot", "part", "rep", "_text")
-    near = components(saved(work.mapInArrow(_verify_pivots, f"u {kind}, v {kind}"), "links"))
+    near = components(saved(work.mapInArrow(W.lean(_verify_pivots), f"u {kind}, v {kind}"), "links"))
 
     # step 3: the tokens that several classes share, blocks, and the matrix
-    shared = base.mapInArrow(_prefixes(sketch), "token long, d1 long").groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b")
-    entries = saved(base.mapInArrow(_entries(sketch, *_live_tokens(shared)), f"token long, id {kind}, n int").where("id is not null"), "entries")
+    shared = base.mapInArrow(W.lean(_prefixes(sketch)), "token long, d1 long").groupBy("token").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b")
+    entries = saved(base.mapInArrow(W.lean(_entries(sketch, *_live_tokens(shared))), f"token long, id {kind}, n int").where("id is not null"), "entries")
     lasts = entries.where("n = 0").groupBy("id").agg(F.min("token").alias("last")).withColumnRenamed("id", "rep")
     grouped = classes.select("rep").join(near.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").join(lasts.hint("merge"), "rep").select("rep", "last", F.coalesce("component", "rep").alias("grp"))
     grouped = saved(grouped, "groups")
@@ -301,7 +301,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     asked = saved(hot_join(asked, many, ["blk"], asked.count(), "left").select("blk", "rep", "grp", F.pmod(F.xxhash64("rep"), parts).alias("part"), F.lit(False).alias("member")), "asked")
     inside = asked.select("blk", "part").distinct().join(blocks, "blk").select("blk", "rep", "grp", "part", F.lit(True).alias("member"))
     work = _with_text(base, saved(asked.unionByName(inside), "work")).repartition(n_parts, "blk", "part").sortWithinPartitions("blk", "part", F.desc("member")).select("blk", "part", "member", "rep", "grp", "_text")
-    more = saved(work.mapInArrow(_open_blocks, f"u {kind}, v {kind}"), "links")
+    more = saved(work.mapInArrow(W.lean(_open_blocks), f"u {kind}, v {kind}"), "links")
 
     # step 5
     final = near if more.isEmpty() else components(near.selectExpr("node as u", "component as v").unionAll(more))

@@ -293,9 +293,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", t
         if ids:
             yield pa.RecordBatch.from_pylist([_shard(number, ids, parts, width)], schema=schema)
 
-    encoded = saved(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(encode, f"_id {kind}, _seq long, _ids binary, _width int"), "encoded")
+    encoded = saved(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(W.lean(encode), f"_id {kind}, _seq long, _ids binary, _width int"), "encoded")
     ordered = encoded.repartitionByRange(n, "_id", "_seq").sortWithinPartitions("_id", "_seq")
-    ordered.mapInArrow(pack, SHARD.format(kind=kind)).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(W.lean(pack), SHARD.format(kind=kind)).write.option("compression", "zstd").parquet(path)
 
 
 _ENCODERS: dict[bytes, Encoder] = {}
@@ -340,7 +340,7 @@ def read_back(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(k, batch.schema.field("doc_ids").type.value_type), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
     read = shards.select("shard", "n_docs", "width", "doc_ids", "seeds", "fingerprints", "offsets", "lengths", "payload")
-    return read.mapInArrow(digest, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return read.mapInArrow(W.lean(digest), f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 class Reader:

@@ -6,8 +6,10 @@ only ASCII separators outside, so byte runs equal code-point runs in UTF-8.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,3 +177,19 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         j = max(i + 1, int(np.searchsorted(upto, base + limit, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def lean(run: Callable) -> Callable:
+    """run, whose worker gives freed memory back to the system when a task ends: idle workers stay small while other stages run."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return task
