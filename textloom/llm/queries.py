@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scan, substring_dedup, token_output, url_filters
+from . import decontamination, filter_audit, language_id, mixing, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, token_output, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +140,52 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the contract's texts, of which a tenth become periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", quality_rules.SPACE), ""))
+    df = docs.select("doc_id", "text", F.floor(h / 10).alias("_g"), words.alias("_w")).withColumn("_n", F.size("_w"))
+    df = df.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn("_p", F.expr("1 + floor((_n - _a) / (3 + _g % 8))"))
+    periodic = F.expr("array_join(transform(_w, (x, i) -> if(i < _a, x, _w[cast(_a + (i - _a) % _p as int)])), ' ')")
+    return df.select("doc_id", F.when(F.col("_n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = periodic_runs.find(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS l, r.start AS s, r.period AS p)))")
+    listed = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    df = df.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), listed.alias("listed"), "collapsed")
+    return df.select(
+        "doc_id", "n_runs", F.col("x.s").alias("start"), (-F.col("x.l")).alias("length"), F.col("x.p").alias("period"), F.expr("(1000 * -x.l) div x.p").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(q = 1, false) AS good, coalesce(x = 1, false) AS bad,
+        [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+      FROM d JOIN least USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS x FROM f GROUP BY ALL),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+o AS (SELECT [a.k, b.k, e.k, h.k, i.k] AS o FROM k a, k b, k e, k h, k i WHERE len(list_distinct([a.k, b.k, e.k, h.k, i.k])) = 5),
+s AS (SELECT o, k AS step, o[k] AS own, o[1 : k - 1] AS before FROM o, k),
+r AS (SELECT part, o, step, own, n, g, x, fails[own] AS here, len([b FOR b IN before IF fails[b]]) > 0 AS earlier, len([b FOR b IN fails IF b]) = 1 AS single FROM c, s),
+z AS (SELECT part, array_to_string([substr('ABCDE', b, 1) FOR b IN o], '') AS filter_order, step, own,
+        coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT earlier), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (here AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND single), 0)::BIGINT AS unique_fails,
+        coalesce(sum(g) FILTER (here AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (here AND NOT earlier), 0)::BIGINT AS toxic_lost
+      FROM r GROUP BY part, o, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM z
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,6 +203,8 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mixing": op10_source_mixing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op13_filter_audit": OP13_SQL}
