@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, filter_audit, language_id, mixing, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, token_output, url_filters
+from . import decontamination, filter_audit, language_id, mixing, neighbours, ngram_jaccard, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, token_output, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,6 +140,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)[0]
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """doc_id, text: the contract's texts, of which a tenth become periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -203,6 +207,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_secret_scan": op9_secret_scan,
     "op10_source_mixing": op10_source_mixing,
+    "op11_multiprobe_neighbours": op11_multiprobe_neighbours,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
