@@ -39,7 +39,7 @@ HASHES, WIDTHS, PROBES = (2, 4, 6, 8, 10), (1.0, 2.0, 3.0, 4.0), (1, 2, 4, 8, 16
 #: Slots to each side of a query's own that are visited.
 REACH = 3
 #: Numbers of a block's rows, and its queries; queries of one exact scan.
-BLOCK_NUMBERS, BLOCK_QUERIES, SCAN_QUERIES = 1 << 18, 512, 512
+BLOCK_NUMBERS, BLOCK_QUERIES, SCAN_QUERIES = 1 << 20, 2048, 512
 LISTED = "array<struct<x: bigint, score: double, ids: array<bigint>>>"
 
 
