@@ -7,6 +7,7 @@ from textloom.functions import ids
 from textloom.operators import chunking as C
 from textloom.operators import evidence as E
 from textloom.operators import graph as G
+from textloom.operators import packing as P
 from textloom.operators import search as S
 from textloom.operators import versioning as V
 from textloom.streaming import incremental
@@ -79,8 +80,8 @@ def test_chunk_addresses(spark):
 
 def test_pack_takes_more_rows_than_one_step(spark):
     rows = spark.createDataFrame([(i, i % 2) for i in range(5000)], "i long, c long")
-    got = S.pack(rows, [F.col("i")], "c", 1300).agg(F.count("*"), F.max("running")).first()
-    assert tuple(got) == (2601, 1300) and S.pack(rows, [F.col("i")], "c", 10**6).count() == 5000
+    got = P.prefix(rows, [], [F.col("i")], "c", 1300).agg(F.count("*"), F.max("running")).first()
+    assert tuple(got) == (2601, 1300) and P.prefix(rows, [], [F.col("i")], "c", 10**6).count() == 5000
 
 
 def test_expand_bounds(spark):
@@ -103,13 +104,6 @@ def test_ladder_steps(spark):
     assert got == {(1, 1), (3, 4)}
 
 
-def test_reserve_direct():
-    ranked = [{"id": i, "direct": i >= 6} for i in range(10)]
-    out = S.reserve_direct(ranked, 4)
-    assert sorted(r["id"] for r in out) == list(range(10))
-    assert sum(r["direct"] for r in out[:4]) == 2
-
-
 def test_claim_order(spark):
     rows = spark.createDataFrame([(1, "river bank flood", "the river and its bank before the flood"), (2, "flood bank river", "the river and its bank before the flood"), (3, "none such words", "river")], "id long, c string, p string")
     assert {r.id: r.verdict for r in E.claim_support(rows, "id", "c", "p").collect()} == {1: "supported", 2: "partial", 3: "unsupported"}

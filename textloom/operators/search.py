@@ -196,34 +196,3 @@ def offset_page(rows: DataFrame, order: list[str], offset: int, size: int) -> Da
     cut = rows.orderBy(*order).limit(offset + size)
     cut = cut.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("position") > offset)
     return cut.crossJoin(F.broadcast(total)).withColumn("more_available", F.col("total") > offset + size)
-
-
-def pack(rows: DataFrame, order: list[Column], cost: str, budget: int) -> DataFrame:
-    """The longest prefix of rows whose running cost fits the budget; costs are at least 0.
-
-    The first rows are taken, four times as many each time, until they cost more than the budget or are all."""
-    most = 1000
-    while True:
-        cut = rows.orderBy(*order).limit(most)
-        n, total = cut.agg(F.count("*"), F.sum(cost)).first()
-        if n < most or (total or 0) > budget:
-            break
-        most *= 4
-    run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.withColumn("running", F.sum(cost).over(run).cast("long")).where(F.col("running") <= budget)
-
-
-def reserve_direct(ranked: list[dict], width: int, share: float = 0.5) -> list[dict]:
-    """Reorders a short ranked list so that each window of ``width`` holds its share of direct hits while there are any."""
-    import math
-
-    need, left, out = math.ceil(share * width), list(ranked), []
-    while left:
-        window = left[:width]
-        short = need - sum(r["direct"] for r in window)
-        spare = [r for r in left[width:] if r["direct"]][: max(short, 0)]
-        losers = [r for r in reversed(window) if not r["direct"]][: len(spare)]
-        window = [r for r in window if r not in losers] + spare
-        left = sorted(losers, key=ranked.index) + [r for r in left[width:] if r not in spare]
-        out += window
-    return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import packing as P
 from ..operators import search as S
 from .registry import Tables, query
 
@@ -157,8 +158,6 @@ SELECT d.source, coalesce(max(h.doc_id), min(d.doc_id)) AS doc_id FROM documents
 LEFT JOIN (SELECT source, arg_min(doc_id, rank) AS doc_id FROM r GROUP BY source) h USING (source) GROUP BY d.source"""))
 def representative_document(t: Tables) -> DataFrame:
     hits = S.bm25(t.documents, "doc_id", "text", TERMS, False, "source")
-    from pyspark.sql import Window
-
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("score", "doc_id")))
     return S.representative(t.documents.select("doc_id", "source"), hits, "source", "doc_id", "doc_id")
 
@@ -176,15 +175,45 @@ def offset_page_with_total(t: Tables) -> DataFrame:
 
 @query("""WITH c AS (SELECT doc_id, n_chars FROM documents), r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS running FROM c) SELECT * FROM r WHERE running <= 24000""")
 def budget_prefix_pack(t: Tables) -> DataFrame:
-    return S.pack(t.documents.select("doc_id", "n_chars"), [F.col("doc_id")], "n_chars", 24_000)
+    return P.prefix(t.documents.select("doc_id", "n_chars"), [], [F.col("doc_id")], "n_chars", 24_000)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS direct FROM documents),
+p AS (SELECT * FROM r WHERE place <= 120),
+w(lang, d, o, k, picked) AS (SELECT lang, coalesce(list(place ORDER BY place) FILTER (direct), []), coalesce(list(place ORDER BY place) FILTER (NOT direct), []), -1, []::BIGINT[] FROM p GROUP BY lang
+  UNION ALL SELECT lang, d[n + 1 :], o[10 - n + 1 :], k + 1, list_sort(d[1 : n] || o[1 : 10 - n])
+  FROM (SELECT *, least(len(d), greatest(5, 10 - len(o), len([x FOR x IN list_sort(d || o)[1 : 10] IF list_contains(d, x)]))) AS n FROM w WHERE len(d) + len(o) > 0)),
+q AS (SELECT lang, unnest(picked) AS place, 10 * k + unnest(range(1, len(picked) + 1)) AS position FROM w WHERE k >= 0)
+SELECT lang, doc_id, place, direct, position::BIGINT AS position FROM q JOIN p USING (lang, place)""")
 def direct_share_reservation(t: Tables) -> DataFrame:
-    """A short ranked list (top 40 by size) reordered on the driver."""
-    rows = S.top(t.documents.select("doc_id", "n_chars", (F.col("lang") == "en").alias("direct")), 40, F.desc("n_chars"), F.col("doc_id"))
-    out = S.reserve_direct([r.asDict() for r in rows.orderBy("rank").collect()], 10)
-    return t.spark.createDataFrame([(i + 1, r["doc_id"], r["rank"], r["direct"]) for i, r in enumerate(out)], "position long, doc_id long, rank long, direct boolean")
+    """Each language's pool of 120 by size: every ten hold five labelled good while there are any."""
+    good = t.labels.where("quality = 1").select("doc_id").distinct().withColumn("direct", F.lit(True))
+    rows = t.documents.select("lang", "doc_id", "n_chars").join(good, "doc_id", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    pool = S.top(rows, 120, F.desc("n_chars"), F.col("doc_id"), by=("lang",)).select("lang", "doc_id", F.col("rank").alias("place"), "direct")
+    return P.reserve(pool, ["lang"], "place", "direct", 10).select("lang", "doc_id", "place", "direct", "position")
+
+
+EST = "ceil((length({0}) + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4)"
+PREFIX = "list_max([n FOR n IN range(0, least(length(t), 4 * room) + 1) IF n + length(regexp_replace(left(t, n), '[\\x00-\\x7F]', '', 'g')) <= 4 * room])"
+
+
+@query(f"""WITH g AS (SELECT source AS request, dense_rank() OVER (ORDER BY lang) AS group_place, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS place, doc_id, text AS t FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+c AS (SELECT *, 30 + {EST.format('t')} AS cost FROM g WHERE place <= 20),
+b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY request ORDER BY place, group_place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+f AS (SELECT *, 9000 - before AS avail, cost <= 9000 - before AND 9000 - before > 30 AS fits, row_number() OVER (PARTITION BY request ORDER BY place, group_place) AS turn FROM b),
+s AS (SELECT *, min(CASE WHEN NOT fits THEN turn END) OVER (PARTITION BY request) AS stop FROM f),
+k AS (SELECT *, greatest(avail - 30, 1)::BIGINT AS room FROM s WHERE turn < coalesce(stop, 1e9) OR (turn = stop AND (turn = 1 OR avail >= 110))),
+x AS (SELECT *, CASE WHEN fits THEN length(t) ELSE {PREFIX} END AS n FROM k),
+y AS (SELECT *, left(t, n) AS whole, length(left(t, n)) - strpos(reverse(translate(left(t, n), chr(10), ' ')), ' ') AS back FROM x),
+z AS (SELECT *, CASE WHEN NOT fits AND strpos(translate(whole, chr(10), ' '), ' ') > 0 AND back > 0.8 * n THEN left(whole, back) ELSE whole END AS content FROM y)
+SELECT request, group_place, place, doc_id, turn, md5(content) AS content_md5, NOT fits AS truncated, (30 + {EST.format('content')})::BIGINT AS tokens FROM z WHERE fits OR content <> ''""")
+def budget_pack_sources(t: Tables) -> DataFrame:
+    """Each source asks for its documents: languages take turns, longest first, within 9,000 tokens."""
+    rows = t.documents.where("source is not null and lang is not null")
+    langs = rows.select("lang").distinct().withColumn("group_place", F.row_number().over(Window.orderBy("lang")).cast("long"))  # a row a language
+    rows = S.top(rows.select("source", "lang", "doc_id", "n_chars", "text"), 20, F.desc("n_chars"), F.col("doc_id"), by=("source", "lang")).join(F.broadcast(langs), "lang")
+    packed = P.pack(rows.select(F.col("source").alias("request"), "group_place", F.col("rank").alias("place"), "text", "doc_id"), 9000, 20)
+    return packed.select("request", "group_place", "place", "doc_id", "turn", F.md5("content").alias("content_md5"), "truncated", "tokens")
 
 
 @query("""SELECT conv_id, turn, role, left(text, 120) AS snippet FROM conversations WHERE role = 'user' AND contains(lower(text), 'the') ORDER BY conv_id, turn LIMIT 20""")
@@ -207,7 +236,5 @@ def recall_mrr(t: Tables) -> DataFrame:
     from ..operators import evidence as E
 
     pairs = E.verbatim(t.benchmark, "item_id", "text", t.documents, "doc_id", "text").select("item_id", "doc_id")
-    from pyspark.sql import Window
-
     hits = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")))
     return E.retrieval_metrics(hits, pairs.withColumn("category", F.lit("long")), "item_id", "doc_id", "category")
