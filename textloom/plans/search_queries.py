@@ -194,16 +194,16 @@ def direct_share_reservation(t: Tables) -> DataFrame:
 
 
 EST = "ceil((length({0}) + length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g'))) / 4)"
-PREFIX = "list_max([n FOR n IN range(0, least(length(t), 4 * room) + 1) IF n + length(regexp_replace(left(t, n), '[\\x00-\\x7F]', '', 'g')) <= 4 * room])"
-
-
 @query(f"""WITH g AS (SELECT source AS request, dense_rank() OVER (ORDER BY lang) AS group_place, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS place, doc_id, text AS t FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
 c AS (SELECT *, 30 + {EST.format('t')} AS cost FROM g WHERE place <= 20),
 b AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY request ORDER BY place, group_place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
 f AS (SELECT *, 9000 - before AS avail, cost <= 9000 - before AND 9000 - before > 30 AS fits, row_number() OVER (PARTITION BY request ORDER BY place, group_place) AS turn FROM b),
 s AS (SELECT *, min(CASE WHEN NOT fits THEN turn END) OVER (PARTITION BY request) AS stop FROM f),
 k AS (SELECT *, greatest(avail - 30, 1)::BIGINT AS room FROM s WHERE turn < coalesce(stop, 1e9) OR (turn = stop AND (turn = 1 OR avail >= 110))),
-x AS (SELECT *, CASE WHEN fits THEN length(t) ELSE {PREFIX} END AS n FROM k),
+u AS (SELECT request, turn, room, unnest(string_split(left(t, 4 * room), '')) AS ch, unnest(range(least(length(t), 4 * room))) AS i FROM k WHERE NOT fits),
+r AS (SELECT request, turn, room, sum(CASE WHEN ch <= chr(127) THEN 1 ELSE 2 END) OVER (PARTITION BY request ORDER BY i) AS run FROM u),
+m AS (SELECT request, turn, count(*) FILTER (run <= 4 * room) AS n FROM r GROUP BY request, turn),
+x AS (SELECT k.*, coalesce(m.n, length(t)) AS n FROM k LEFT JOIN m USING (request, turn)),
 y AS (SELECT *, left(t, n) AS whole, length(left(t, n)) - strpos(reverse(translate(left(t, n), chr(10), ' ')), ' ') AS back FROM x),
 z AS (SELECT *, CASE WHEN NOT fits AND strpos(translate(whole, chr(10), ' '), ' ') > 0 AND back > 0.8 * n THEN left(whole, back) ELSE whole END AS content FROM y)
 SELECT request, group_place, place, doc_id, turn, md5(content) AS content_md5, NOT fits AS truncated, (30 + {EST.format('content')})::BIGINT AS tokens FROM z WHERE fits OR content <> ''""")
