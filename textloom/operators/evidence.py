@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lines
 from ..functions import text as T
 
 LEAST_QUOTE = 20
@@ -70,17 +68,5 @@ def retrieval_metrics(hits: DataFrame, expected: DataFrame, query: str, item: st
 
 
 def changed_lines(rows: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """key, changed: added and removed lines between two texts (a sequence difference, which has no built-in)."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
-
-        for f in frames:
-            n = []
-            for a, b in zip(f["a"], f["b"]):
-                m = difflib.SequenceMatcher(None, (a or "").split("\n"), (b or "").split("\n"), autojunk=False)
-                n.append(sum((i2 - i1) + (j2 - j1) for tag, i1, i2, j1, j2 in m.get_opcodes() if tag != "equal"))
-            yield pd.DataFrame({"k": f["k"], "changed": n})
-
-    return rows.select(F.col(key).alias("k"), F.col(old).alias("a"), F.col(new).alias("b")).mapInPandas(run, f"k {kind}, changed long").withColumnRenamed("k", key)
+    """key, changed: lines taken out and put in between two texts, as few as there can be."""
+    return rows.select(key, lines.changed_lines(F.col(old), F.col(new)).alias("changed"))
