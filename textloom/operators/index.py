@@ -2,100 +2,205 @@
 
 Layout below one folder that all executors share:
 
-* ``postings/since=G/bucket=B``: term, key, tf, len of the documents that generation G indexed anew, sorted by term in a file,
-* ``documents/gen=G``: key, fingerprint, len, since (the generation that holds its postings) of all documents,
-* ``generations/gen=G``: one row of figures, written last: a generation without it does not exist, and the next try overwrites its parts.
+* ``_log/NNN``: one small file a generation, created only if there is none, so of two writers one wins and the other starts over; it names the generation's data folder and figures,
+* ``data/A/postings/bucket=B``: term, key, tf, len of the documents that the generation indexed anew, sorted by term in a file,
+* ``data/A/documents``: key, fingerprint, len, since (the generation that holds its postings) of all documents,
+* ``data/A/retired``: key, since of postings that no longer count.
 
-Nothing that a reader of an earlier generation sees is ever changed.
+A search reads the postings of its terms since the last compaction, less what was retired since: never the documents. Nothing that a reader of an earlier generation
+sees is changed until ``vacuum`` is told that nobody is on it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
-from .search import B, K1
+from ..sources.store import shared_path
+from . import appends
+from .search import B, K1, union_first
 
 BUCKETS = 64
 #: Rows of a file; a file is sorted by term, so a search reads the row groups of its terms.
 FILE_ROWS = 20_000_000
+FIGURES = "gen long, documents long, terms long, indexed long, lag long"
 
 
 def _bucket(term: Column) -> Column:
     return (F.crc32(term) % BUCKETS).cast("int")
 
 
+def entries(spark: SparkSession, path: str) -> list[dict]:
+    """What the log says of each generation."""
+    return [json.loads(x) for x in appends.commits(spark, path)]
+
+
 def generation(spark: SparkSession, path: str) -> int:
-    """The newest complete generation, 0 without one."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/generations")
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        return 0
-    return spark.read.parquet(f"{path}/generations").agg(F.max("gen")).first()[0]
+    """The newest generation, 0 without one."""
+    return len(entries(spark, path))
+
+
+def figures(spark: SparkSession, path: str) -> DataFrame:
+    """gen, documents, terms, indexed, lag of every generation."""
+    return spark.createDataFrame([(k, e["documents"], e["terms"], e["indexed"], e["lag"]) for k, e in enumerate(entries(spark, path), 1)], FIGURES)
 
 
-def documents(spark: SparkSession, path: str, gen: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/documents/gen={gen}")
+def documents(spark: SparkSession, path: str, gen: int | None = None) -> DataFrame:
+    log = entries(spark, path)
+    return spark.read.parquet(f"{path}/data/{log[(gen or len(log)) - 1]['folder']}/documents")
+
+
+def _live(log: list[dict]) -> list[tuple[int, dict]]:
+    """(generation, entry) of those whose postings a search reads: from the last compaction on."""
+    first = max((k for k, e in enumerate(log) if e["compact"]), default=0)
+    return list(enumerate(log, 1))[first:]
+
+
+def _write_postings(each: DataFrame, where: str) -> None:
+    """key, len, term, tf by bucket; a bucket is spread by the document over its share of the tasks, so that a term of every document is no one task's work."""
+    parts = max(1, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    each = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
+    each.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(where)
 
 
-def refresh(rows: DataFrame, key: str, text: str, path: str, most: int | None = None) -> DataFrame:
+def refresh(rows: DataFrame, key: str, text: str, path: str, most: int | None = None, tries: int = 5) -> DataFrame:
     """Brings the index up to ``rows`` (key unique, not null) and returns the figures of the new generation.
 
-    Only texts whose fingerprint is new are tokenised again. ``most`` bounds them for a run that must be short:
+    The rows are read once: those of a new fingerprint are tokenised and written with it, and postings, documents and figures come from
+    that table. ``most`` bounds them for a run that must be short (the rows are then read twice):
     the least keys go first, and what is left counts as lag, which the next run takes up."""
     spark = rows.sparkSession
-    last = generation(spark, path)
-    gen = last + 1
-    now = rows.select(F.col(key).alias("key"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("fingerprint"))
-    if last:
-        old = documents(spark, path, last).select("key", F.col("fingerprint").alias("_f"), F.col("len").alias("_l"), F.col("since").alias("_g"))
-        now = now.join(old, "key", "left")
-    else:
-        now = now.select("*", F.lit(None).cast("string").alias("_f"), F.lit(None).cast("long").alias("_l"), F.lit(None).cast("long").alias("_g"))
-    stale = now.where(~F.col("fingerprint").eqNullSafe(F.col("_f")))
-    todo = stale if most is None else stale.orderBy("key").limit(most)
-    fresh = rows.select(F.col(key).alias("key"), F.col(text).alias("_t")).join(todo.select("key", "fingerprint"), "key")
-    tokens = fresh.select("key", "fingerprint", T.terms(T.term_key(F.coalesce("_t", F.lit("")))).alias("_ts"))
-    each = tokens.select("key", F.size("_ts").cast("long").alias("len"), F.explode("_ts").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
-    # a bucket is spread by the document over its share of the tasks, so that a term of every document is no one task's work
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    each = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
-    each.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(f"{path}/postings/since={gen}")
-    new = tokens.select("key", "fingerprint", F.size("_ts").cast("long").alias("len"), F.lit(gen).cast("long").alias("since"))
-    kept = now.where("_f is not null").select("key", F.col("_f").alias("fingerprint"), F.col("_l").alias("len"), F.col("_g").alias("since")).join(todo.select("key"), "key", "left_anti")
-    new.unionByName(kept).write.mode("overwrite").parquet(f"{path}/documents/gen={gen}")
-    figures = documents(spark, path, gen).agg(F.count("*").alias("documents"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms"), F.count_if(F.col("since") == gen).alias("indexed"))
-    # what the index does not yet hold as it is: counted against what was written, so a bounded run tells the truth
-    held = documents(spark, path, gen).select("key", "fingerprint")
-    lag = now.select("key", "fingerprint").join(held, ["key", "fingerprint"], "left_anti").agg(F.count("*").alias("lag"))
-    figures = figures.crossJoin(F.broadcast(lag)).select(F.lit(gen).cast("long").alias("gen"), "documents", "terms", "indexed", "lag")  # one row each
-    figures.write.mode("append").parquet(f"{path}/generations")
-    return spark.read.parquet(f"{path}/generations").where(F.col("gen") == gen)
+    for _ in range(tries):
+        log = entries(spark, path)
+        gen, folder, staged = len(log) + 1, uuid.uuid4().hex, shared_path(spark, "index-read")
+        base = f"{path}/data/{folder}"
+        now = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("_t")).withColumn("fingerprint", F.sha2("_t", 256))
+        if log:
+            old = documents(spark, path, gen - 1).select("key", F.col("fingerprint").alias("_f"), F.col("len").alias("_l"), F.col("since").alias("_g"))
+        else:
+            old = spark.createDataFrame([], T_.StructType([now.schema["key"], *T_._parse_datatype_string("_f string, _l long, _g long").fields]))
+        stale = ~F.col("fingerprint").eqNullSafe(F.col("_f"))
+        fresh = stale
+        marked = now.join(old, "key", "left")
+        if most is not None:
+            picked = marked.where(stale).select("key").orderBy("key").limit(most).withColumn("_picked", F.lit(True))
+            marked, fresh = marked.join(F.broadcast(picked), "key", "left"), stale & F.coalesce("_picked", F.lit(False))  # most rows
+        terms = F.when(fresh, T.terms(T.term_key(F.col("_t"))))
+        marked.select("key", "fingerprint", "_f", "_l", "_g", terms.alias("terms"), (stale & ~fresh).alias("behind")).write.parquet(staged)
+        read = spark.read.parquet(staged)
+        new = read.where("terms is not null").select("key", "fingerprint", F.size("terms").cast("long").alias("len"), F.lit(gen).cast("long").alias("since"))
+        kept = read.where("terms is null and _f is not null").select("key", F.col("_f").alias("fingerprint"), F.col("_l").alias("len"), F.col("_g").alias("since"))
+        new.unionByName(kept).write.parquet(f"{base}/documents")
+        each = read.where("size(terms) > 0").select("key", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
+        held = spark.read.parquet(f"{base}/documents")
+        n, total, indexed = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)), F.count_if(F.col("since") == gen)).first()
+        lag = read.where("behind").count()
+        if indexed:
+            _write_postings(each, f"{base}/postings")
+        if log:
+            old.select("key", F.col("_g").alias("since")).join(held.select("key", "since"), ["key", "since"], "left_anti").write.parquet(f"{base}/retired")
+        entry = {"folder": folder, "compact": False, "documents": n, "terms": total, "indexed": indexed, "lag": lag, "postings": bool(indexed), "retired": bool(log)}
+        if appends.create_next(spark, path, gen, json.dumps(entry)):
+            return spark.createDataFrame([(gen, n, total, indexed, lag)], FIGURES)
+    raise appends.Busy(path)
+
+
+def compact(spark: SparkSession, path: str, tries: int = 5) -> DataFrame:
+    """A generation whose postings are all in one set of files, without retired ones; figures as before, nothing indexed."""
+    for _ in range(tries):
+        log = entries(spark, path)
+        gen, folder = len(log) + 1, uuid.uuid4().hex
+        base, last = f"{path}/data/{folder}", log[-1]
+        kept = _postings(spark, path, log)
+        _write_postings(kept.select("key", "len", "term", "tf"), f"{base}/postings")
+        documents(spark, path, gen - 1).withColumn("since", F.lit(gen).cast("long")).write.parquet(f"{base}/documents")
+        entry = last | {"folder": folder, "compact": True, "indexed": 0, "postings": True, "retired": False}
+        if appends.create_next(spark, path, gen, json.dumps(entry)):
+            return spark.createDataFrame([(gen, last["documents"], last["terms"], 0, last["lag"])], FIGURES)
+    raise appends.Busy(path)
+
+
+def vacuum(spark: SparkSession, path: str, pinned: tuple[int, ...] = (), older: float = 24 * 3600) -> list[str]:
+    """Deletes the data folders that neither the newest generation nor a pinned one reads, and those of writers that never finished, if
+    they are ``older`` seconds or more; gives their names. Earlier generations can no longer be read."""
+    log = entries(spark, path)
+    needed = {e["folder"] for g in {len(log), *pinned} for _, e in _live(log[:g])}
+    fs, data = appends._fs(spark, f"{path}/data")
+    gone, now = [], spark.sparkContext._jvm.System.currentTimeMillis()
+    for status in fs.listStatus(data) if fs.exists(data) else []:
+        name = status.getPath().getName()
+        if name not in needed and now - status.getModificationTime() >= 1000 * older:
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
+def _postings(spark: SparkSession, path: str, log: list[dict], terms: list[str] | None = None) -> DataFrame:
+    """key, term, tf, len that count at the log's last generation."""
+    live = _live(log)
+    kind = spark.read.parquet(f"{path}/data/{log[-1]['folder']}/documents").schema["key"].dataType.simpleString()
+    schema = f"key {kind}, len long, term string, tf long, bucket int"
+    parts = [spark.read.schema(schema).parquet(f"{path}/data/{e['folder']}/postings").withColumn("since", F.lit(g).cast("long")) for g, e in live if e["postings"]]
+    p = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, since long")
+    if terms is not None:
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]  # one row a query term
+        p = p.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    retired = [f"{path}/data/{e['folder']}/retired" for _, e in live if e["retired"]]
+    if retired:
+        p = p.join(spark.read.schema(f"key {kind}, since long").parquet(*retired), ["key", "since"], "left_anti")
+    return p.select("key", "term", "tf", "len")
 
 
 def postings(spark: SparkSession, path: str, terms: list[str], gen: int | None = None) -> DataFrame:
     """key, term, tf, len of the terms at a generation; only the terms' buckets are read, and their files by term."""
-    gen = gen or generation(spark, path)
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]  # one row a query term
-    kind = documents(spark, path, gen).schema["key"].dataType.simpleString()  # an index of no word has no file to tell it
-    p = spark.read.schema(f"key {kind}, len long, term string, tf long, since int, bucket int").parquet(f"{path}/postings").where((F.col("since") <= gen) & F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    live = documents(spark, path, gen).select("key", "since")
-    return p.select("key", "term", "tf", "len", F.col("since").cast("long").alias("since")).join(live, ["key", "since"], "left_semi").drop("since")
+    log = entries(spark, path)
+    return _postings(spark, path, log[: gen or len(log)], terms)
 
 
-def search(spark: SparkSession, path: str, query: list[str], every: bool = True, gen: int | None = None) -> DataFrame:
-    """key, score (smaller is better, rounded to 9): the scores of ``search.bm25`` from stored postings."""
+def matches(spark: SparkSession, path: str, query: list[str], gen: int | None = None) -> DataFrame:
+    """key, score (smaller is better, rounded to 9), found (how many of the query's terms) of every document with any, by the scores of ``search.bm25``.
+
+    The terms' postings are read once and written by document; document counts and scores come from that table."""
     query = list(dict.fromkeys(query))
-    gen = gen or generation(spark, path)
-    n, total = spark.read.parquet(f"{path}/generations").where(F.col("gen") == gen).select("documents", "terms").first()
-    each = postings(spark, path, query, gen).groupBy("key", "len").agg(*[F.coalesce(F.sum(F.when(F.col("term") == q, F.col("tf"))), F.lit(0)).alias(f"_f{i}") for i, q in enumerate(query)])
-    found = each.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
-    score: Column = F.lit(0.0)
-    keep: Column = F.lit(every)
-    for i in range(len(query)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        keep = keep & (f > 0) if every else keep | (f > 0)
+    log = entries(spark, path)
+    log = log[: gen or len(log)]
+    n, total = log[-1]["documents"], log[-1]["terms"]
+    kept = shared_path(spark, "matches")
+    _postings(spark, path, log, query).groupBy("key", "len").agg(*[F.coalesce(F.sum(F.when(F.col("term") == q, F.col("tf"))), F.lit(0)).alias(f"_f{i}") for i, q in enumerate(query)]).write.parquet(kept)
+    each = spark.read.parquet(kept)
+    held = each.agg(*[F.count_if(F.col(f"_f{i}") > 0) for i in range(len(query))]).first()
+    score, hits = F.lit(0.0), F.lit(0)
+    for i, d in enumerate(held):
+        f, d = F.col(f"_f{i}"), F.lit(d)
         idf = F.log((n - d + 0.5) / (d + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         score = score - idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(total / max(n, 1))))
-    return each.crossJoin(F.broadcast(found)).where(keep).select("key", F.round(score, 9).alias("score"))  # one row
+        hits = hits + (f > 0).cast("int")
+    return each.select("key", F.round(score, 9).alias("score"), hits.alias("found"))
+
+
+def search(spark: SparkSession, path: str, query: list[str], every: bool = True, gen: int | None = None) -> DataFrame:
+    """key, score: documents with every (or any) term of the query."""
+    wanted = len(set(query)) if every else 1
+    return matches(spark, path, query, gen).where(F.col("found") >= wanted).select("key", "score")
+
+
+def text_route(spark: SparkSession, path: str, query: str, pool: int = 120, gen: int | None = None) -> DataFrame:
+    """key, list, rank, position: ``retrieve.text_route`` from stored postings, which it reads once for both lists."""
+    from pyspark.sql import Window
+
+    from .search import _tokens, top
+
+    wanted = [t for t in _tokens(query) if t not in T.STOP_WORDS] or _tokens(query)
+    hits = matches(spark, path, wanted, gen)
+    ranked = lambda rows: top(rows.select("key", "score"), pool, F.col("score"), F.col("key"))
+    strict = ranked(hits.where(F.col("found") == len(wanted))).select("key", "rank")
+    relaxed = top(hits, pool, F.col("score"), F.col("key")).where(F.col("found") >= max(1, -(-len(wanted) // 2))).select("key", "rank")
+    cut = union_first(strict, relaxed, "key").orderBy("list", "rank").limit(pool)
+    return cut.withColumn("position", F.row_number().over(Window.orderBy("list", "rank")).cast("long"))

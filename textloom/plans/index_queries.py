@@ -10,6 +10,7 @@ from ..operators import retrieve as R
 from ..operators import search as S
 from ..sources.store import shared_path
 from .registry import Tables, query
+from .retrieval_queries import QUERY, TEXT_ROUTE
 from .search_queries import DOC_TOKENS, TERMS, bm25_sql
 
 _SCORES = "SELECT doc_id, round(score, 6) AS score FROM scored"
@@ -46,7 +47,27 @@ def index_generations(t: Tables) -> DataFrame:
     I.refresh(_earlier(t), "doc_id", "text", path)
     I.refresh(t.documents, "doc_id", "text", path)
     I.refresh(t.documents, "doc_id", "text", path)
-    return t.spark.read.parquet(f"{path}/generations")
+    return I.figures(t.spark, path)
+
+
+@query(bm25_sql(TERMS, False, _SCORES))
+def index_compaction(t: Tables) -> DataFrame:
+    """Three generations merged into one set of files, and a later refresh on top: the scores of the present state."""
+    path = shared_path(t.spark, "index")
+    I.refresh(_earlier(t), "doc_id", "text", path, 100)
+    I.refresh(_earlier(t), "doc_id", "text", path)
+    I.compact(t.spark, path)
+    I.refresh(t.documents, "doc_id", "text", path)
+    I.vacuum(t.spark, path, older=0)
+    return I.search(t.spark, path, TERMS, False).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {TEXT_ROUTE} SELECT doc_id, list::BIGINT AS list, rank, position FROM tr")
+def index_text_route(t: Tables) -> DataFrame:
+    """The text route from stored postings."""
+    path = shared_path(t.spark, "index")
+    I.refresh(t.documents, "doc_id", "text", path)
+    return I.text_route(t.spark, path, QUERY).select(F.col("key").alias("doc_id"), "list", "rank", "position")
 
 
 @query(bm25_sql(TERMS, False, """, tx AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS rank FROM scored ORDER BY rank LIMIT 120),
