@@ -1,5 +1,7 @@
 """Requests, cursors, references; text helpers; the index under bounded runs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,39 +10,43 @@ from textloom.operators import annotations as A
 from textloom.operators import index as I
 from textloom.operators import planning as P
 
-NUMBERS = {"limit": (10, 1, 50), "budget_tokens": (4000, 500, 16000)}
 
 
-def test_requests():
-    assert P.checked({"query": " a "}, NUMBERS) == {"query": "a", "scope": "all", "cursor": None, "limit": 10, "budget_tokens": 4000}
-    for bad in ({}, {"query": " "}, {"query": "a" * 1001}, {"query": "a", "limit": 0}, {"query": "a", "limit": True}, {"query": "a", "limit": 51}, {"query": "a", "scope": "x"}, {"query": "a", "cursor": ""}):
-        with pytest.raises(P.RequestError) as e:
-            P.checked(bad, NUMBERS)
-        assert e.value.code == "E_BAD_ARGUMENTS"
-    with pytest.raises(P.RequestError) as e:
-        P.checked({"query": "a", "depth": 1}, NUMBERS)
-    assert e.value.code == "E_UNKNOWN_ARGUMENT"
+def test_requests(spark):
+    good = {"query": " a "}
+    bad = ["{}", '{"query": " "}', json.dumps({"query": "a" * 1001}), '{"query": 5}', '{"query": "a", "limit": 0}', '{"query": "a", "limit": true}', '{"query": "a", "limit": "3"}', '{"query": "a", "limit": 1.5}', '{"query": "a", "limit": 51}', '{"query": "a", "scope": "x"}', '{"query": "a", "cursor": ""}', "[1]", "no json", None]
+    rows = [(0, json.dumps(good)), (1, json.dumps({"query": "b", "limit": 50, "cursor": None, "scope": "captures"})), (2, '{"query": "a", "depth": 1, "more": 2}'), *enumerate(bad, 10)]
+    got = {r.id: r for r in P.checked(spark.createDataFrame(rows, "id long, r string"), "id", "r").collect()}
+    assert tuple(got[0])[1:] == (None, "", "a", "all", 10, 4000, None) and tuple(got[1])[1:] == (None, "", "b", "captures", 50, 4000, None)
+    assert (got[2].error, got[2].wrong, got[2].query) == ("E_UNKNOWN_ARGUMENT", "depth,more", None)
+    assert {got[i].error for i in range(10, 10 + len(bad))} == {"E_BAD_ARGUMENTS"}
+    assert [got[i].wrong for i in (10, 14, 15, 19)] == ["query", "limit", "limit", "scope"]
 
 
-def test_phrases():
-    assert P.phrases("report-1402.pdf") == '"report 1402 pdf"'
-    assert P.phrases('"a-b.c" -no-t pre-f*') == '"a-b.c" -no-t pre-f*'
-    assert P.phrases("") == ""
+@pytest.mark.parametrize(("text", "want"), [("report-1402.pdf", '"report 1402 pdf"'), ('"a-b.c" -no-t pre-f*', '"a-b.c" -no-t pre-f*'), ("", ""), ('  x  a_b"c d"e-f ', 'x "a b""c d""e f"'), ("--- ./. a-", "--- ./. a-"), (None, None), ("é-ü", '"é ü"')])
+def test_phrases(spark, text, want):
+    assert one(spark, text, P.phrases(F.col("t"))) == want
 
 
-def test_references():
+def test_references(spark):
     chunk = "chk:" + "0" * 32
-    assert P.references(f"see rec:abc-1, {chunk} rec:abc-1 and cap-20240101-120000-ab12 my-note plainword") == ["rec:abc-1", chunk, "cap:cap-20240101-120000-ab12", "rec:my-note"]
+    assert one(spark, f"see rec:abc-1, {chunk} rec:abc-1 and cap-20240101-120000-ab12 my-note plainword", P.references(F.col("t"))) == ["rec:abc-1", chunk, "cap:cap-20240101-120000-ab12", "rec:my-note"]
 
 
-def test_cursors():
-    c = P.cursor("search", after=3, gen="ä")
-    assert "=" not in c and P.resumed(c, "search") == {"after": 3, "gen": "ä"}
-    for bad in (c + "!", c[:-3], "", "x" * 3000, None, 3):
-        with pytest.raises(P.RequestError):
-            P.resumed(bad, "search")
-    with pytest.raises(P.RequestError):
-        P.resumed(c, "page")
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_pages(spark, kind):
+    rows = spark.range(10).select(F.when(F.col("id") != 4, F.col("id") if kind != "date" else F.date_add(F.lit("2024-01-01"), F.col("id").cast("int"))).cast(kind).alias("k"))
+    token, seen = None, []
+    while True:
+        part, token = P.page(rows, "k", 4, 7, token)
+        seen += [r.k for r in part.collect()]
+        if token is None:
+            break
+    assert seen == sorted(r.k for r in rows.where("k is not null").collect())
+    _, token = P.page(rows, "k", 4, 7)
+    for bad, g in ((token, 8), ("x" * 9, 7), ("", 7), ("!!", 7)):
+        with pytest.raises(ValueError):
+            P.page(rows, "k", 4, g, bad)
 
 
 def one(spark, value, column, *more):
@@ -55,10 +61,10 @@ def test_clip_bytes(spark, text, most):
 
 
 @pytest.mark.parametrize("line", [1, 3, 50, 99, 100])
-def test_window_text(spark, line):
+def test_around_line(spark, line):
     lines = [f"line {i}" for i in range(1, 101)]
     want = "\n".join(lines[max(0, line - 1 - 5) : min(100, line - 1 + 5)])[:40]
-    assert one(spark, "\n".join(lines), T.window_text(F.col("t"), F.col("a0"), 5, 40), line) == want
+    assert one(spark, "\n".join(lines), T.around_line(F.col("t"), F.col("a0"), 5, 40), line) == want
 
 
 @pytest.mark.parametrize(("text", "want"), [("a\\u0041b", "aAb"), ("\\u005cu0041", "\\u0041"), ("\\ud83d\\ude00", "😀"), ("\\u00e9\\u00E9", "éé"), ("none \\u12", "none \\u12"), ("", ""), (None, None)])
@@ -66,9 +72,9 @@ def test_unescape_json(spark, text, want):
     assert one(spark, text, T.unescape_json(F.col("t"))) == want
 
 
-def test_norm_seq(spark):
-    assert one(spark, "Café No.1, STRASSE‌x — ۱۲", T.norm_seq(F.col("t"))) == "caf no 1 strasse x ۱۲"
-    assert one(spark, " …**A [ref-1] __b__”. ", T.clean_candidate(F.col("t"))).split() == ["A", "b"]
+def test_letter_runs(spark):
+    assert one(spark, "Café No.1, STRASSE‌x — ۱۲", T.letter_runs(F.col("t"))) == "caf no 1 strasse x ۱۲"
+    assert one(spark, " …**A [ref-1] __b__”. ", T.bare_quote(F.col("t"))).split() == ["A", "b"]
 
 
 def test_index_bounded_runs(spark, tmp_path):

@@ -208,13 +208,13 @@ def slug(c: Column) -> Column:
 EDGE_JUNK = " \t\r\n:;,.…()—–-'\"“”«»*"
 
 
-def norm_seq(c: Column) -> Column:
+def letter_runs(c: Column) -> Column:
     """Runs of a-z, 0-9 and Arabic-block characters of the folded text, one space apart; any other letter splits a word (for text that NFKC leaves as it is)."""
     low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(SPACED_JOINER), F.lit(" "))
     return F.array_join(F.regexp_extract_all(low, F.lit("([a-z0-9\u0600-\u06FF]+)"), 1), " ")
 
 
-def clean_candidate(c: Column) -> Column:
+def bare_quote(c: Column) -> Column:
     """A quote candidate without [references], bold marks and what stands around it."""
     x = F.regexp_replace(c, r"\[[A-Za-z0-9][A-Za-z0-9_\-]{0,40}\]", " ")
     return F.btrim(F.regexp_replace(x, r"\*\*|__", " "), F.lit(EDGE_JUNK))
@@ -228,7 +228,7 @@ def unescape_json(c: Column) -> Column:
     return F.array_join(F.zip_with(between, F.concat(decoded, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
-def window_text(c: Column, line: Column, radius: int = 45, most: int = 4200) -> Column:
+def around_line(c: Column, line: Column, radius: int = 45, most: int = 4200) -> Column:
     """The lines around a 1-based line, ``radius`` before it and as many from it on, cut at ``most`` characters."""
     lines = F.split(c, "\n", -1)
     first, end = F.greatest(line - 1 - radius, F.lit(0)), F.least(line - 1 + radius, F.size(lines))

@@ -81,13 +81,13 @@ def faithfulness_report(t: Tables) -> DataFrame:
 
 @query(r"""SELECT doc_id, sha256(array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9\x{0600}-\x{06FF}]+'), ' ')) AS seq FROM documents""")
 def token_sequences(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2(T.norm_seq(F.col("text")), 256).alias("seq"))
+    return t.documents.select("doc_id", F.sha2(T.letter_runs(F.col("text")), 256).alias("seq"))
 
 
 @query(r"""SELECT item_id, trim(regexp_replace(regexp_replace('"**' || text || '**" [src-' || item_id || '].', '\[[A-Za-z0-9][A-Za-z0-9_\-]{0,40}\]', ' ', 'g'), '\*\*|__', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || ':;,.…()—–-''"“”«»*') AS quote FROM benchmark""")
 def quote_candidates(t: Tables) -> DataFrame:
     x = F.concat(F.lit('"**'), "text", F.lit('**" [src-'), F.col("item_id").cast("string"), F.lit("]."))
-    return t.benchmark.select("item_id", T.clean_candidate(x).alias("quote"))
+    return t.benchmark.select("item_id", T.bare_quote(x).alias("quote"))
 
 
 @query("""SELECT doc_id, 'x' || chr((19968 + doc_id % 20000)::INT) || '😀' || lang || 'é' AS decoded FROM documents""")
@@ -101,7 +101,7 @@ SELECT doc_id, sha256(left(array_to_string(ls[greatest(before - 45, 0) + 1 : lea
 def hit_windows(t: Tables) -> DataFrame:
     d = t.documents.where(F.contains("text", F.lit("the")))
     line = T.line_of(F.col("text"), F.locate("the", F.col("text")))
-    return d.select("doc_id", F.sha2(T.window_text(F.col("text"), line), 256).alias("around"))
+    return d.select("doc_id", F.sha2(T.around_line(F.col("text"), line), 256).alias("around"))
 
 
 @query("""SELECT doc_id, left(text, list_max(list_filter(range(0, 402), lambda i: strlen(left(text, i)) <= 401))) AS content, strlen(text) > 401 AS truncated FROM documents""")
