@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Longer sequences are cut into windows of so many words, read with so many neighbours.
+LONGEST, CONTEXT = 512, 32
+
 
 class Layout:
     """Order of the words of many sequences by (step, sequence), longest sequence first."""
@@ -86,6 +89,40 @@ def viterbi(layout: Layout, scores: np.ndarray, transitions: np.ndarray, start:
     return out[layout.place]
 
 
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Sequences of over LONGEST words in windows with CONTEXT words of their neighbours on both sides: the words of all windows, their
+    lengths, and which words a window answers for (each word once, in order). None if no sequence is that long."""
+    if not (lengths > LONGEST).any():
+        return None
+    words, sizes, own = [], [], []
+    end = np.cumsum(lengths)
+    for a, b in zip((end - lengths).tolist(), end.tolist()):
+        for c in range(a, b, LONGEST):
+            low, high = (max(a, c - CONTEXT), min(b, c + LONGEST + CONTEXT))
+            words.append(np.arange(low, high))
+            sizes.append(high - low)
+            own.append((words[-1] >= c) & (words[-1] < c + LONGEST))
+    return np.concatenate(words), np.array(sizes, np.int64), np.concatenate(own)
+
+
+def marginals(lengths: np.ndarray, scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Marginals of every word, long sequences by windows: a step costs the same for one long line as for many short ones."""
+    cut = windows(lengths)
+    if cut is None:
+        return forward_backward(Layout(lengths), scores, transitions)[0]
+    words, sizes, own = cut
+    return forward_backward(Layout(sizes), scores[words], transitions)[0][own]
+
+
+def labels(lengths: np.ndarray, scores: np.ndarray, transitions: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Best label of every word, long sequences by windows."""
+    cut = windows(lengths)
+    if cut is None:
+        return viterbi(Layout(lengths), scores, transitions, start)
+    words, sizes, own = cut
+    return viterbi(Layout(sizes), scores[words], transitions, start)[own]
+
+
 def fit(lengths: np.ndarray, rows: np.ndarray, owner: np.ndarray, n_features: int, labels: np.ndarray, n_labels: int, steps: int = 60, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x labels) and transitions by adaptive gradient steps on the mean log likelihood a word.
 
@@ -113,9 +150,10 @@ def fit(lengths: np.ndarray, rows: np.ndarray, owner: np.ndarray, n_features: in
         for y in range(n_labels):
             grad[:, y] = np.bincount(rows, diff[owner, y], n_features)
         grad = grad / n - decay * w
-        pair = alpha[now - 1][:, :, None] * np.exp(t)[None]
-        pair *= (g[now] / np.maximum(pair.sum(axis=1), 1e-300))[:, None, :]
-        grad_t = (gold_t - pair.sum(axis=0)) / n - decay * t
+        # pair marginals summed over words: alpha, transition and what each target's share is of all ways to it
+        before, move = alpha[now - 1], np.exp(t)
+        pairs = move * (before.T @ (g[now] / np.maximum(before @ move, 1e-300)))
+        grad_t = (gold_t - pairs) / n - decay * t
         sq_w += grad**2
         sq_t += grad_t**2
         w += rate * grad / np.sqrt(sq_w)

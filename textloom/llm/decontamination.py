@@ -6,7 +6,8 @@ and each hit is verified word by word. Documents are never shuffled. A benchmark
 split by item and scanned block after block, with a written table between.
 
 Null and empty texts have no words and no hits. An item of null id or text is left out. Repeated
-items count by id; repeated documents get equal rows; extra columns are ignored.
+items count by id; repeated documents get equal rows; extra columns are ignored by ``scan`` and kept by ``decontaminate``, whatever their names.
+A very long text stands alone in its piece; time and memory follow its length.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .store import saved
+from .store import quoted, saved
 
 WINDOW = 13
 _TABLE_BITS = 22
@@ -64,7 +66,7 @@ class _Block:
         return out
 
 
-def _scan_with(broadcast):
+def _scan_with(broadcast, last: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Block = broadcast.value
         for batch in batches:
@@ -83,77 +85,72 @@ def _scan_with(broadcast):
                         marks[d] = np.unpackbits(np.frombuffer(old[d], np.uint8), count=b - a).astype(np.bool_) if old[d] else np.zeros(b - a, np.bool_)
                     marks[d][i - a : i - a + size] = True
                 hits = [np.packbits(marks[d]).tobytes() if d in marks else old[d] for d in range(n)]
-                new = {"_items": pa.array([sorted(x) for x in hit], pa.list_(pa.string())), "_hits": pa.array(hits, pa.binary()), "n_words": pa.array(ws.counts, pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, piece.column(f.name)) for f in piece.schema], schema=piece.schema)
+                items = [sorted(x) for x in hit]
+                new = {"_items": pa.array(items, pa.list_(pa.string())), "_hits": pa.array(hits, pa.binary()), "n_words": pa.array(ws.counts, pa.int64())}
+                columns = {f.name: new.get(f.name, piece.column(f.name)) for f in piece.schema}
+                if last:
+                    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                    total = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in hits]
+                    columns |= {"n_hit": pa.array(total, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array(sums, pa.string())}
+                    columns = {k: v for k, v in columns.items() if k not in ("_items", *(() if "_c" in columns else ("_text", "_hits")))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return scan
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in batch.column("_hits").to_pylist()]
-        items = batch.column("_items").to_pylist()
-        sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        new = {"n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array(sums, pa.string())}
-        keep = [f for f in batch.schema if f.name not in ("_text", "_hits", "_items")]
-        yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + list(new.values()), names=[f.name for f in keep] + list(new))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = 8_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and ``carry`` as _c_<name>.
-
-    block_chars bounds the benchmark text that is collected and broadcast at once.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, block_chars: int, carry: bool) -> DataFrame:
+    """_id, n_words, n_hit, n_items, items_sha256; with ``carry`` also _c (a struct of all columns but the text, by place), _text and _hits."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(benchmark[quoted(item_col)].cast("string").alias("i"), benchmark[quoted(text_col)].alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
+    rest = F.struct(F.lit(0).alias("c"), *[docs[quoted(c)].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
     df = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry],
+        docs[quoted(id_col)].alias("_id"), docs[quoted(text_col)].alias("_text"), *([rest.alias("_c")] if carry else []),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("_items"), F.lit(None).cast("binary").alias("_hits"),
     )
+    kept = [f for f in df.schema.fields if f.name not in ("_items", *(() if carry else ("_text", "_hits")))]
+    out = T.StructType([*kept, T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())])
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(_Block([(r.i, r.t) for r in part.toLocalIterator()]))
-        df = df.mapInArrow(W.lean(_scan_with(block)), df.schema)
-        if k + 1 < blocks:
+        block, last = spark.sparkContext.broadcast(_Block([(r.i, r.t) for r in part.toLocalIterator()])), k + 1 == blocks
+        df = df.mapInArrow(W.lean(_scan_with(block, last)), out if last else df.schema)
+        if not last:
             df = saved(df, "hits")
-    kept = [f for f in df.schema.fields if f.name not in ("_text", "_hits", "_items")]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_hit long, n_items long, items_sha256 string"
-    if carry:
-        df = df.withColumn("_c_hits", F.col("_hits"))
-        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [f for f in df.schema.fields if f.name not in ("_text", "_hits", "_items")]) + ", n_hit long, n_items long, items_sha256 string"
-    done = df.mapInArrow(W.lean(_digest), out)
-    return done.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).withColumnRenamed("_id", id_col)
+    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_chars: int = 8_000_000) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    block_chars bounds the benchmark text that is collected and broadcast at once.
+    """
+    return _scanned(docs, benchmark, id_col, text_col, item_col, block_chars, False).withColumnRenamed("_id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, size_col: str | None = "n_chars") -> DataFrame:
-    """The documents that are not contaminated, with the input's columns.
+    """The documents that are not contaminated, with the input's columns, whatever their names.
 
     spans: also cut the remaining hit words out of the kept texts (the words left are joined by one space).
     """
     names = docs.columns
-    df = scan(docs, benchmark, id_col, text_col, carry=tuple(names)).where(~F.col("contaminated"))
+    df = _scanned(docs, benchmark, id_col, text_col, "item_id", 8_000_000, True).where(~F.col("contaminated"))
     if spans:
-        df = df.mapInArrow(W.lean(_cut(f"_c_{text_col}")), df.schema)
-    out = {n: F.col(f"_c_{n}") for n in names}
+        df = df.mapInArrow(W.lean(_cut), df.schema)
+    out = {n: F.col("_text") if n == text_col else F.col(f"_c.c{k}") for k, n in enumerate(names)}
     if spans and size_col in out:
-        out[size_col] = F.length(f"_c_{text_col}").cast(docs.schema[size_col].dataType)
+        out[size_col] = F.length("_text").cast(docs.schema[size_col].dataType)
     return df.select(*[c.alias(n) for n, c in out.items()])
 
 
-def _cut(column: str):
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of documents with hits become their other words, as written."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits = batch.column(column).to_pylist(), batch.column("_c_hits").to_pylist()
-            for d, h in enumerate(hits):
-                if h:
-                    ws = W.tokenize(pa.array([texts[d]], pa.string()), W.ALNUM, lower=True)
-                    raw = texts[d].encode()
-                    keep = np.flatnonzero(~np.unpackbits(np.frombuffer(h, np.uint8), count=len(ws.start)).astype(np.bool_))
-                    texts[d] = b" ".join(raw[ws.start[i] : ws.end[i]] for i in keep).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == column else batch.column(f.name) for f in batch.schema], schema=batch.schema)
-
-    return cut
+    for batch in batches:
+        texts, hits = batch.column("_text").to_pylist(), batch.column("_hits").to_pylist()
+        for d, h in enumerate(hits):
+            if h:
+                ws = W.tokenize(pa.array([texts[d]], pa.string()), W.ALNUM, lower=True)
+                raw = texts[d].encode()
+                keep = np.flatnonzero(~np.unpackbits(np.frombuffer(h, np.uint8), count=len(ws.start)).astype(np.bool_))
+                texts[d] = b" ".join(raw[ws.start[i] : ws.end[i]] for i in keep).decode()
+        yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "_text" else batch.column(f.name) for f in batch.schema], schema=batch.schema)

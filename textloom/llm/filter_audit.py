@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from . import exact
 from . import words as W
+from .store import quoted
 
 FILTERS = "ABCDE"
 _UPPER, _MARK, _LEAD = (np.zeros(256, np.int64) for _ in range(3))
@@ -93,8 +94,8 @@ def _masks(limits: Limits):
 
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """_id, _part, _mask (bits of A to D), _digest (128 bits of the text) of every row."""
-    part = F.coalesce(docs[f"`{part_col}`"].cast("string"), F.lit("")) if part_col else F.lit("")
-    df = docs.select(docs[f"`{id_col}`"].alias("_id"), part.alias("_part"), docs[f"`{text_col}`"].alias("_text"))
+    part = F.coalesce(docs[quoted(part_col)].cast("string"), F.lit("")) if part_col else F.lit("")
+    df = docs.select(docs[quoted(id_col)].alias("_id"), part.alias("_part"), docs[quoted(text_col)].alias("_text"))
     out = T.StructType([df.schema["_id"], T.StructField("_part", T.StringType()), T.StructField("_mask", T.IntegerType()), T.StructField("_digest", T.BinaryType())])
     return df.mapInArrow(W.lean(_masks(limits)), out)
 
@@ -105,7 +106,7 @@ def profile(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc
     if labels is None:
         df = df.withColumns({"_good": F.lit(False), "_toxic": F.lit(False)})
     else:
-        marks = labels.where(labels[f"`{id_col}`"].isNotNull()).groupBy(labels[f"`{id_col}`"].alias("_l")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+        marks = labels.where(labels[quoted(id_col)].isNotNull()).groupBy(labels[quoted(id_col)].alias("_l")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
         df = df.join(marks, F.col("_id") == F.col("_l"), "left").select("_id", "_part", "_mask", "_digest", F.expr("coalesce(q = 1, false)").alias("_good"), F.expr("coalesce(t = 1, false)").alias("_toxic"))
     # equal texts have equal masks, so a group of copies differs by part and labels alone
     rows = df.groupBy("_digest", "_mask", "_part", "_good", "_toxic", "_id").agg(F.count(F.lit(1)).alias("n"))

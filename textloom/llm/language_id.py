@@ -11,7 +11,8 @@ all (documented bounds) on the driver; the model has a fixed size and is broadca
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans; without any labelled document
 all are. Labels never enter a prediction. A tie goes to the label that sorts first. Repeated rows get equal
-rows; extra columns are ignored; an empty table gives an empty result.
+rows; extra columns are ignored; an empty table gives an empty result. A line of over crf.LONGEST words is read in windows that overlap; a
+very long text stands alone in its piece, and time follows its length.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LEXICON = 4000
 _BITS = 15
 _T = 1 << _BITS
 PIECE = 2 << 20
+#: Weights of so many bytes and labels are looked up at once.
+HELD = 1 << 22
 
 
 def _cell(a: np.ndarray, b: np.ndarray, c: np.ndarray, kind: int) -> np.ndarray:
@@ -77,7 +80,12 @@ class Model:
         if not len(ws.start):
             return np.zeros((0, len(self.labels)), np.float32)
         cells, heads = _bytes_cells(ws)
-        out = np.add.reduceat(self.weights[cells], heads, axis=0)
+        out, ends = np.empty((len(heads), self.weights.shape[1]), self.weights.dtype), np.append(heads[1:], len(cells))
+        at = 0
+        while at < len(heads):  # words of a bounded number of weights at a time
+            to = max(at + 1, int(np.searchsorted(ends, heads[at] + HELD // self.weights.shape[1], "right")))
+            out[at:to] = np.add.reduceat(self.weights[cells[heads[at] : ends[to - 1]]], heads[at:to] - heads[at], axis=0)
+            at = to
         affix = _affix_cells(ws)
         for k in range(affix.shape[1]):
             out += self.weights[affix[:, k]]
@@ -152,8 +160,7 @@ def word_marginals(model: Model, texts: pa.Array) -> tuple[W.Words, np.ndarray]:
     ws = W.tokenize(texts, W.SPACED, lower=True)
     if not len(ws.start):
         return ws, np.zeros((0, len(model.labels)))
-    marginals, _ = crf.forward_backward(crf.Layout(line_lengths(ws)), model.scores(ws), model.transitions)
-    return ws, marginals
+    return ws, crf.marginals(line_lengths(ws), model.scores(ws), model.transitions)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

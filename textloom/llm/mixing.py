@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import quoted, saved
 
 WEIGHTS = (5, 2, 1)
 #: Words that the dynamic program fits at most; the budget above is met by whole size classes.
@@ -119,8 +120,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"), *[c.alias(k) for k, c in (extra or {}).items()])
     rows = sized(rows, "_t", ("_id", "_source", *(extra or ())))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"))).withColumn("_slice", F.shiftrightunsigned("_order", 52))
-    from .store import saved
-
     rows = saved(rows, "mix")
     counted = rows.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_n"))
     counted = saved(counted, "mix-counts")
@@ -169,7 +168,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     digest = {"_d1": F.xxhash64(F.col(text_col)), "_d2": F.xxhash64(F.lit(1), F.col(text_col))}
     taken = mix(docs, id_col, text_col, source_col, extra=digest, **options).where("size > 0")
     taken = taken.groupBy(F.col(id_col).alias("_mi"), F.col(source_col).alias("_mo"), F.col("_d1").alias("_m1"), F.col("_d2").alias("_m2")).agg(F.sum(F.expr("taken div size")).alias("_mt"), F.count("*").alias("_mk")).where("_mt > 0")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), *[c.alias(k) for k, c in digest.items()])
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), *[c.alias(k) for k, c in digest.items()])
     rows = own.join(taken, F.expr("_id <=> _mi and _source <=> _mo and _d1 = _m1 and _d2 = _m2"))
     single = rows.where("_mk = 1 or _mt % _mk = 0").withColumn("_mc", F.expr("_mt div _mk"))
     several = rows.where("not (_mk = 1 or _mt % _mk = 0)")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .store import saved
+from .store import quoted, saved
 
 FEW = 20
 #: Fitting: sampled queries and rows, the share of true neighbours to find, and what is tried.
@@ -214,7 +214,7 @@ def _scan(space: Space, queries):
 def distinct_vectors(df: DataFrame, id_col: str, vector_col: str, query: Column) -> tuple[DataFrame, DataFrame]:
     """(x, v, ids, is_query: the distinct vectors with their least ids; id, v: the queries), both written."""
     v = F.col("v")
-    rows = df.select(df[f"`{id_col}`"].cast("long").alias("id"), df[f"`{vector_col}`"].alias("v"), query.alias("asked"))
+    rows = df.select(df[quoted(id_col)].cast("long").alias("id"), df[quoted(vector_col)].alias("v"), query.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(v, lambda x: x != 0))
     rows = saved(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")), "vectors")
     asked = rows.where("asked").select("id", "v")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components, hot_join
-from .store import saved
+from .store import quoted, saved
 
 SHINGLE = 5
 PERCENT = 80
@@ -319,7 +319,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = found.groupBy(F.col(id_col).alias("rep")).agg(F.count("*").alias("_n"), F.min("component_id").alias("_least"))
     # all that does not simply stay; other rows need no shuffle
     some = saved(some.where("_n > 1 or rep <> _least").withColumn("_stays", F.col("rep") == F.col("_least")).select("rep", "_stays"), "special")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = _marked(rows, some, "_id")
     plain = rows.where("_id is null or not _may").select("_row")
     judged = rows.where("_id is not null and _may").join(some.hint("merge"), F.col("_id") == F.col("rep"), "left")

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from . import exact
 from . import words as W
+from .store import quoted
 
 MIN_WORDS = 12
 #: Words compared one by one before prefix hashes are searched.
@@ -201,7 +202,7 @@ def _scan(min_words: int):
 
 
 def _found(docs: DataFrame, carried, text_col: str, min_words: int) -> DataFrame:
-    df = docs.select(carried.alias("_c"), docs[f"`{text_col}`"].alias("_text"))
+    df = docs.select(carried.alias("_c"), docs[quoted(text_col)].alias("_text"))
     run = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
     out = T.StructType([df.schema["_c"], T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(run)), T.StructField("collapsed", T.StringType())])
     return df.mapInArrow(W.lean(_scan(min_words)), out)
@@ -210,13 +211,13 @@ def _found(docs: DataFrame, carried, text_col: str, min_words: int) -> DataFrame
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, n_words, runs (start and length in words, period; by start, then period), collapsed (the words that no run
     holds after its first period, joined by one space)."""
-    return _found(docs, docs[f"`{id_col}`"], text_col, min_words).withColumnRenamed("_c", id_col)
+    return _found(docs, docs[quoted(id_col)], text_col, min_words).withColumnRenamed("_c", id_col)
 
 
 def collapse(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the input's columns; texts with runs become their collapsed words, others stay as written."""
     names = docs.columns
-    row = F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)])
+    row = F.struct(*[docs[quoted(c)].alias(f"c{k}") for k, c in enumerate(names)])
     done = _found(docs, row, text_col, min_words)
     text = F.when(F.size("runs") > 0, F.col("collapsed")).otherwise(F.col(f"_c.c{names.index(text_col)}"))
     return done.select(*[(text if c == text_col else F.col(f"_c.c{k}")).alias(c) for k, c in enumerate(names)])

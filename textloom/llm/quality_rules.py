@@ -6,7 +6,7 @@ shuffle, so any skew of sources or keys is harmless.
 
 Nulls, empty and blank texts have no words and fail the base rule; a text that loses exactly the most it may
 is kept; repeated rows get equal rows; an empty table gives an empty result; extra input columns are ignored by
-``judge`` and kept by ``clean``.
+``judge`` and kept by ``clean``, whatever their names. A very long text or line is worked in its row: memory and n log n time follow its length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import quoted
+
 #: Separators between words, symbols, phrases of lines that carry no content.
 SPACE = r"[ \t-\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
@@ -85,10 +87,11 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr("if(size(_q) = 0, 0L, 3L + aggregate(sequence(1, greatest(size(_q) - 1, 1)), 0L, (a, k) -> a + if(k < size(_q), least(3, _q[least(k, size(_q) - 1)] - _q[k - 1]), 0)))"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), carry: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lines_removed,
-    chars_lost, kept (and ``carry``, ``_clean``: the text without failing lines; null stays null)."""
-    df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    chars_lost, kept (and with ``carry`` _c: a struct of all columns but the text, by place, and _clean: the text without failing lines; null stays null)."""
+    rest = F.struct(F.lit(0).alias("c"), *[docs[quoted(c)].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    df = docs.select(docs[quoted(id_col)].alias("_id"), docs[quoted(text_col)].alias("_text"), *([rest.alias("_c")] if carry else []))
     text = F.coalesce("_text", F.lit(""))
     df = df.withColumn("_t", text).withColumn("_w", F.array_remove(F.split("_t", SPACE), "")).withColumn("_lines", F.split("_t", "\n"))
     df = df.withColumn("_n", F.size("_w"))
@@ -113,16 +116,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         (~failed & (F.col("chars_lost") * 100 <= F.length("_t").cast("long") * rules.max_lost) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
         F.size("_bad").cast("long").alias("lines_removed"),
         "chars_lost",
-        *[F.col(f"_c_{c}") for c in carry],
-        *([F.when(F.col("_text").isNotNull(), F.array_join(F.filter("_lines", lambda x: ~line_fails(x, rules)), "\n")).alias("_clean")] if carry else []),
+        *(["_c", F.when(F.col("_text").isNotNull(), F.array_join(F.filter("_lines", lambda x: ~line_fails(x, rules)), "\n")).alias("_clean")] if carry else []),
     )
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text", size_col: str | None = "n_chars", id_col: str = "doc_id") -> DataFrame:
     """The kept documents without their failing lines, with the input's columns; size_col is counted anew."""
     names = docs.columns
-    df = judge(docs, id_col, text_col, rules, carry=tuple(names)).where("kept")
-    out = {n: F.col(f"_c_{n}") for n in names} | {text_col: F.col("_clean")}
+    df = judge(docs, id_col, text_col, rules, carry=True).where("kept")
+    out = {n: F.col("_clean") if n == text_col else F.col(f"_c.c{k}") for k, n in enumerate(names)}
     if size_col in out:
         out[size_col] = F.length("_clean").cast(docs.schema[size_col].dataType)
     return df.select(*[c.alias(n) for n, c in out.items()])

@@ -16,10 +16,11 @@ MAX_CHARS = 50_000
 def texts_of(rows: DataFrame, picked: DataFrame, id_col: str, text_col: str, label: Column | None = None) -> list[tuple]:
     """(id, label, text) of the rows of ``picked`` (_i, _l; a bounded number), in one job; null and overlong texts are left out.
 
-    ``label``: leaves out rows that bear another label than their id was picked for."""
+    One text a picked (id, label) is fetched, however many rows share it: that of the least digest. ``label``: leaves out rows that bear another label than their id was picked for."""
     found = rows.join(F.broadcast(picked), F.col(id_col) == F.col("_i")).where(F.length(text_col) <= MAX_CHARS)
-    found = found.select("_i", "_l", F.col(text_col).alias("_t"), (label if label is not None else F.col("_l")).alias("_own"))
-    return sorted({(r[0], r[1], r[2]) for r in found.collect() if r[1] == r[3]})
+    found = found.where((label if label is not None else F.col("_l")) == F.col("_l"))
+    found = found.groupBy("_i", "_l").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col))).alias("_t"))
+    return sorted((r[0], r[1], r[2]) for r in found.collect())
 
 
 def by_label(rows: DataFrame, id_col: str, text_col: str, label: Column, most: int, seed: int = 5) -> list[tuple]:

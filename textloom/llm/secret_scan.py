@@ -11,7 +11,7 @@ overlaps no fixed match, has 12 bytes or more, and holds letters and digits; lin
 no tags.
 
 Null texts are empty. Offsets are code points, ends exclusive. Work is linear in a text's length, whatever
-its number of spans. Repeated rows get equal rows; extra columns are ignored; an empty table gives an empty
+its number of spans; a line of over crf.LONGEST words is read in windows that overlap. Repeated rows get equal rows; extra columns are ignored; an empty table gives an empty
 result, and without any match to learn from the field adds nothing.
 """
 
@@ -176,7 +176,7 @@ class Model:
             scores = self.weights[rows[:, 0]]
             for k in range(1, rows.shape[1]):
                 scores = scores + self.weights[rows[:, k]]
-            out[pick] = crf.viterbi(crf.Layout(_lengths(page.line[pick])), scores, self.transitions, self.start)
+            out[pick] = crf.labels(_lengths(page.line[pick]), scores, self.transitions, self.start)
         return out
 
 

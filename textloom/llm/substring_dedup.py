@@ -15,8 +15,9 @@ independent hashes.
 
 Null and empty texts have no words. Texts of under 20 words lose nothing. Rows of one id and text are one
 document: they are kept alike. Different texts of one id are different documents, in the order of their
-64-bit digests. Ids that are no integers are ordered by a 64-bit hash; a null id comes after all others. An
-empty table gives an empty result; extra columns are ignored by ``digests``.
+64-bit digests. Ids that are no integers come in the order of their type (strings by bytes), by their places among all ids; a null id comes after all others. An
+empty table gives an empty result; extra columns are ignored by ``digests`` and kept, whatever their names, by ``remove``. A very long text
+stands alone in its piece; time and memory follow its length.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.packing import running
 from . import words as W
-from .store import saved
+from .store import quoted, saved
 
 WINDOW = 20
 ANCHOR = 10
@@ -284,21 +286,26 @@ def _repeated(starts: bytes | None, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _document(id_col: str, kind: str) -> dict[str, Column]:
-    """_key and _x: the document of a row, in the order of documents."""
-    whole = kind in ("tinyint", "smallint", "int", "bigint")
-    key = F.col(id_col).cast("long") if whole else F.xxhash64(F.col(id_col).cast("string"))
-    digest = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), "_text")).otherwise(F.xxhash64("_text"))
-    return {"_key": F.when(F.col(id_col).isNull(), F.lit(_LAST)).otherwise(key), "_x": digest}
+def _documents(base: DataFrame) -> DataFrame:
+    """base with _key and _x: the document of a row, in the order of documents. Ids that are no integers get their place among all ids."""
+    null = F.col("_id").isNull()
+    if base.schema["_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        base = base.withColumn("_key", F.col("_id").cast("long"))
+    else:
+        ids = base.where(~null).select(F.col("_id").alias("_known")).distinct().withColumn("_one", F.lit(1))
+        places = saved(running(ids, [], [F.col("_known")], "_one").select("_known", F.col("before").alias("_key")), "places")
+        base = base.join(places, F.col("_id") == F.col("_known"), "left").drop("_known")
+    digest = F.when(null, F.xxhash64(F.lit(1), "_text")).otherwise(F.xxhash64("_text"))
+    return base.withColumns({"_key": F.when(null, F.lit(_LAST)).otherwise(F.col("_key")), "_x": digest})
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """_id, _text, ``carry`` as _c_<name> and _starts: the starts of repeated windows, packed, null without any."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """_id, _text, _starts (the starts of repeated windows, packed, null without any); with ``carry`` also _c: a struct of all columns but the text, by place."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    base = base.withColumns(_document("_id", docs.schema[id_col].dataType.simpleString()))
+    rest = F.struct(F.lit(0).alias("c"), *[docs[quoted(c)].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col])
+    base = _documents(docs.select(docs[quoted(id_col)].alias("_id"), docs[quoted(text_col)].alias("_text"), *([rest.alias("_c")] if carry else [])))
     rows = base.select("_key", "_x", "_text")
     bits = filter_bits(rows)
     pair = "bucket int, packed binary"
@@ -337,7 +344,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with repeated words cut; the words left of a cut text are joined by one space."""
     names = docs.columns
-    df = marked(docs, id_col, text_col, tuple(names))
+    df = marked(docs, id_col, text_col, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,4 +356,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "_text" else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
     df = df.mapInArrow(run, df.schema)
-    return df.select(*[F.col("_text").alias(n) if n == text_col else F.col(f"_c_{n}").alias(n) for n in names])
+    return df.select(*[(F.col("_text") if n == text_col else F.col(f"_c.c{k}")).alias(n) for k, n in enumerate(names)])
