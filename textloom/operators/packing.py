@@ -118,3 +118,17 @@ def pack(rows: DataFrame, budget: int, limit: int) -> DataFrame:
     df = df.where(whole | (F.length("content") > 0)).withColumn("tokens", T.estimate_tokens(F.col("content")) + OVERHEAD)
     turn = F.row_number().over(Window.partitionBy("request").orderBy("place", "group_place")).cast("long")  # as many rows as the budget holds
     return df.select(*rows.columns, turn.alias("turn"), "content", (~whole).alias("truncated"), "tokens", (F.col("_left") - F.col("tokens")).alias("left"))
+
+
+def answer(candidates: DataFrame, texts: DataFrame, direct: list[str], budget: int, limit: int, width: int | None = None) -> DataFrame:
+    """request, group, key, position, score, is_direct, turn, content, truncated, tokens, left, more: whole answers of many requests.
+
+    candidates (request, group, key, source, ranks by route, r_graph) are fused, capped by source and given their share of direct hits in windows of
+    ``width`` (``limit`` without one); groups then take turns by name within the budget. Texts (key, text) are joined for rows that can be shown alone. ``more``: the group has candidates behind those shown."""
+    placed = reserve(order(candidates, direct), ["request", "group"], "place", "is_direct", width or limit)
+    names = placed.select("request", "group").distinct().withColumn("group_place", F.row_number().over(Window.partitionBy("request").orderBy("group")).cast("long"))
+    sizes = placed.groupBy("request", "group").agg(F.count(F.lit(1)).alias("_all"))
+    rows = placed.where(F.col("position") <= limit).join(names, ["request", "group"]).join(texts.select("key", "text"), "key")
+    shown = pack(rows.select("request", "group_place", F.col("position").alias("place"), "text", "group", "key", "score", "is_direct"), budget, limit)
+    out = shown.join(sizes, ["request", "group"]).withColumn("_shown", F.max("place").over(Window.partitionBy("request", "group")))
+    return out.select("request", "group", "key", F.col("place").alias("position"), "score", "is_direct", "turn", "content", "truncated", "tokens", "left", (F.col("_all") > F.col("_shown")).alias("more"))

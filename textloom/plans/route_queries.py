@@ -86,3 +86,46 @@ def graph_route_items(t: Tables) -> DataFrame:
     holders = d.select(node("d", "doc_id").alias("node"), F.col("lang").alias("group"), F.col("doc_id").alias("part"))
     hits = R.route_hits(R.expand(e, seeds), holders)
     return hits.select("request", "group", "rank", "node", "part", "seed", F.size("matched").cast("long").alias("steps"))
+
+
+ANSWER_SQL = expansion_sql(DOCUMENT_EDGES.replace("WITH ", "WITH RECURSIVE ", 1), "seeds AS (SELECT item_id AS request, 1 AS place, 'i' || item_id AS node FROM benchmark)") + """,
+gh AS (SELECT v.request, d.lang AS grp, d.doc_id AS key, d.source, row_number() OVER (PARTITION BY v.request, d.lang ORDER BY v.place) AS r_graph FROM v JOIN documents d ON v.node = 'd' || d.doc_id WHERE depth > 0),
+th AS (SELECT item_id AS request, d.lang AS grp, doc_id AS key, d.source, row_number() OVER (PARTITION BY item_id, d.lang ORDER BY d.n_chars, doc_id) AS r_text FROM quoted JOIN documents d USING (doc_id)),
+cn AS (SELECT request, grp, key, coalesce(gh.source, th.source) AS source, r_text, r_graph FROM gh FULL JOIN th USING (request, grp, key)),
+rk AS (SELECT *, r_text IS NOT NULL AS is_direct, CASE WHEN r_text IS NOT NULL THEN row_number() OVER (PARTITION BY request, grp ORDER BY r_text NULLS LAST, key) END AS d, CASE WHEN r_graph IS NOT NULL THEN row_number() OVER (PARTITION BY request, grp ORDER BY r_graph NULLS LAST, key) END AS g FROM cn),
+sc AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + g), 0), 12) AS score FROM rk),
+cp AS (SELECT *, row_number() OVER (PARTITION BY request, grp, source ORDER BY score DESC, is_direct DESC, d NULLS LAST, key) AS s FROM sc),
+pl AS (SELECT *, row_number() OVER (PARTITION BY request, grp ORDER BY score DESC, is_direct DESC, d NULLS LAST, key) AS place FROM cp WHERE s <= 3),
+rw(request, grp, ds, os, k, picked) AS (SELECT request, grp, coalesce(list(place ORDER BY place) FILTER (is_direct), []), coalesce(list(place ORDER BY place) FILTER (NOT is_direct), []), -1, []::BIGINT[] FROM pl GROUP BY request, grp
+  UNION ALL SELECT request, grp, ds[n + 1 :], os[4 - n + 1 :], k + 1, list_sort(ds[1 : n] || os[1 : 4 - n])
+  FROM (SELECT *, least(len(ds), greatest(2, 4 - len(os), len([x FOR x IN list_sort(ds || os)[1 : 4] IF list_contains(ds, x)]))) AS n FROM rw WHERE len(ds) + len(os) > 0)),
+rp AS (SELECT request, grp, unnest(picked) AS place, 4 * k + unnest(range(1, len(picked) + 1)) AS position FROM rw WHERE k >= 0),
+ps AS (SELECT p.*, rp.position, count(*) OVER (PARTITION BY request, grp) AS all_, dense_rank() OVER (PARTITION BY request ORDER BY grp) AS gp, d.text AS t FROM pl p JOIN rp USING (request, grp, place) JOIN documents d ON d.doc_id = p.key),
+co AS (SELECT *, 30 + ceil((length(t) + length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))) / 4) AS cost FROM ps WHERE position <= 5),
+bf AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY request ORDER BY position, gp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY request ORDER BY position, gp) AS turn FROM co),
+ft AS (SELECT *, cost <= 1500 - before AND 1500 - before > 30 AS fits FROM bf),
+st AS (SELECT *, min(CASE WHEN NOT fits THEN turn END) OVER (PARTITION BY request) AS stop FROM ft),
+kp AS (SELECT * FROM st WHERE turn < coalesce(stop, 1e9) OR (turn = stop AND (turn = 1 OR 1500 - before >= 110)))
+SELECT request, grp AS "group", key, position, score, is_direct, turn, NOT fits AS truncated, all_ > max(position) OVER (PARTITION BY request, grp) AS more FROM kp"""
+
+
+@query(ANSWER_SQL)
+def answers_of_items(t: Tables) -> DataFrame:
+    """Whole answers for every benchmark item: documents that quote it and what the graph leads to, fused, shared out by language, within 1,500 tokens."""
+    from ..operators import evidence as E
+    from ..operators import packing as P
+
+    d, node = t.documents, lambda p, c: F.concat(F.lit(p), F.col(c))
+    first = d.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("root"))
+    copies = d.select("doc_id", "text").join(first, "text").where("root < doc_id")
+    quoted = E.verbatim(t.benchmark, "item_id", "text", d, "doc_id", "text").select("item_id", "doc_id")
+    e = G.edges((d, node("d", "doc_id"), node("s", "source"), "from"), (copies, node("d", "doc_id"), node("d", "root"), "copies"), (quoted, node("d", "doc_id"), node("i", "item_id"), "quotes"))
+    seeds = t.benchmark.select(F.col("item_id").alias("request"), F.lit(1).alias("place"), node("i", "item_id").alias("node"))
+    graph = R.route_hits(R.expand(e, seeds), d.select(node("d", "doc_id").alias("node"), F.col("lang").alias("group"), F.col("doc_id").alias("part"))).select("request", "group", F.col("part").alias("key"), F.col("rank").alias("r_graph"))
+    from pyspark.sql import Window
+
+    by_size = Window.partitionBy("item_id", "lang").orderBy("n_chars", "doc_id")
+    text = quoted.join(d.select("doc_id", "lang", "n_chars"), "doc_id").select(F.col("item_id").alias("request"), F.col("lang").alias("group"), F.col("doc_id").alias("key"), F.row_number().over(by_size).cast("long").alias("r_text"))
+    candidates = graph.join(text, ["request", "group", "key"], "full_outer").join(d.select(F.col("doc_id").alias("key"), "source"), "key")
+    out = P.answer(candidates, d.select(F.col("doc_id").alias("key"), "text"), ["r_text"], 1500, 5, 4)
+    return out.select("request", "group", "key", "position", "score", "is_direct", "turn", "truncated", "more")
