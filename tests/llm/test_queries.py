@@ -10,6 +10,8 @@ SHAPES = {
     "op3_benchmark_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated", "op4_quality_classifier": "doc_id held_out score predicted",
     "op5_ngram_jaccard": "doc_id n_shingles component_id", "op6_substring_dedup": "doc_id n_words n_removed kept_sha256", "op7_token_output": "doc_id start n_tokens ids_crc32",
     "op8_url_filters": "page_id host path rule verdict", "op9_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op10_source_mixing": "doc_id size source_size target taken",
+    "op11_multiprobe_neighbours": "query_id rank vec_id score", "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
@@ -25,7 +27,7 @@ def test_shape(spark, data, name):
     df = Q.QUERIES[name](spark, data)
     assert df.columns[: len(SHAPES[name].split())] == SHAPES[name].split()
     rows = spark.read.parquet(f"{data}/{'pages' if name.startswith('op8') else 'documents'}.parquet").count()
-    if name not in Q.ORACLES:
+    if name not in Q.ORACLES and not name.startswith("op11"):
         assert df.count() == rows
 
 
