@@ -28,6 +28,26 @@ def neighbors(e: DataFrame, nodes: list[str]) -> DataFrame:
     return b.select(F.col("src").alias("node"), F.col("dst").alias("other"), "kind", "dir").distinct()
 
 
+def canonical(e: DataFrame, aliases: DataFrame) -> DataFrame:
+    """src, dst, kind with every endpoint that is another name of a node replaced by that node; edges that then begin where they end go, equal ones are one.
+
+    aliases: ref, node (the least of a ref's nodes counts). Both joins meet on the name, so a popular name is spread like any skewed join."""
+    named = aliases.groupBy("ref").agg(F.min("node").alias("node"))
+    out = e.join(named.select(F.col("ref").alias("src"), F.col("node").alias("_src")), "src", "left").join(named.select(F.col("ref").alias("dst"), F.col("node").alias("_dst")), "dst", "left")
+    out = out.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"), "kind")
+    return out.where("src <> dst").distinct()
+
+
+def owners(refs: DataFrame, holders: DataFrame, ref: str = "ref") -> DataFrame:
+    """refs with owner: the holder of that very name, else the least holder one of whose layers bears it, else null.
+
+    holders: node, ref, layers (array of names); layers are exploded and met by name, never searched one by one."""
+    own = holders.groupBy(F.col("ref").alias("_r")).agg(F.min("node").alias("_own"))
+    layer = holders.select("node", F.explode("layers").alias("_l")).groupBy("_l").agg(F.min("node").alias("_layer"))
+    j = refs.join(own, F.col(ref) == F.col("_r"), "left").join(layer, F.col(ref) == F.col("_l"), "left")
+    return j.withColumn("owner", F.coalesce("_own", "_layer")).drop("_r", "_own", "_l", "_layer")
+
+
 def degrees(e: DataFrame) -> DataFrame:
     return both_ways(e).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
 

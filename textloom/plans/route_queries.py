@@ -129,3 +129,45 @@ def answers_of_items(t: Tables) -> DataFrame:
     candidates = graph.join(text, ["request", "group", "key"], "full_outer").join(d.select(F.col("doc_id").alias("key"), "source"), "key")
     out = P.answer(candidates, d.select(F.col("doc_id").alias("key"), "text"), ["r_text"], 1500, 5, 4)
     return out.select("request", "group", "key", "position", "score", "is_direct", "turn", "truncated", "more")
+
+
+PAGES_SQL = r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"#]*)', 1)) AS target FROM pages), u AS (SELECT url, min('p' || page_id) AS p FROM pages WHERE url IS NOT NULL GROUP BY url),
+e AS (SELECT DISTINCT 'p' || page_id AS src, coalesce(p, target) AS dst FROM h LEFT JOIN u ON url = target), x AS (SELECT * FROM e WHERE src <> dst)
+SELECT src AS node, dst AS other, 'out' AS dir FROM x UNION ALL SELECT dst, src, 'in' FROM x"""
+
+
+@query(PAGES_SQL)
+def page_neighbors(t: Tables) -> DataFrame:
+    """Links between pages, where a url that is a page's own is that page."""
+    page = F.concat(F.lit("p"), "page_id")
+    links = G.hrefs(t.pages.select(page.alias("src"), "html"), "src", "html").select("src", F.col("target").alias("dst"), F.lit("links").alias("kind"))
+    e = G.canonical(links, t.pages.where("url is not null").select(F.col("url").alias("ref"), page.alias("node")))
+    return G.both_ways(e).select(F.col("src").alias("node"), F.col("dst").alias("other"), "dir")
+
+
+@query("""WITH r AS (SELECT conv_id, 'c' || conv_id || '/' || turn AS ref FROM conversations UNION ALL SELECT DISTINCT conv_id, 'c' || conv_id FROM conversations UNION ALL SELECT DISTINCT conv_id, 'x' || conv_id FROM conversations)
+SELECT ref, CASE WHEN ref NOT LIKE 'x%' THEN conv_id END AS owner FROM r""")
+def text_ref_owners(t: Tables) -> DataFrame:
+    """Turns belong to their conversation, which also has a name of its own."""
+    name = F.concat(F.lit("c"), "conv_id")
+    turns = t.conversations.select("conv_id", F.concat(name, F.lit("/"), "turn").alias("ref"))
+    holders = turns.groupBy(F.col("conv_id").alias("node")).agg(F.first(F.concat(F.lit("c"), F.col("conv_id"))).alias("ref"), F.collect_list("ref").alias("layers"))
+    ids = t.conversations.select("conv_id").distinct()
+    refs = turns.select("ref").unionByName(ids.select(name.alias("ref"))).unionByName(ids.select(F.concat(F.lit("x"), "conv_id").alias("ref")))
+    return G.owners(refs, holders)
+
+
+@query(r"""WITH a AS (SELECT doc_id, md5(text) AS version, n_chars FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+l AS (SELECT doc_id AS source, 0 AS k, 0 AS pos, '{"chars":' || n_chars || ',"source":' || doc_id || ',"type":"artifact","version":"' || version || '"}' AS line FROM a
+  UNION ALL SELECT doc_id, 1, p, '{"at":' || p || ',"end":' || least(p + 4000, n_chars) || ',"source":' || doc_id || ',"type":"part"}' FROM (SELECT doc_id, n_chars, unnest(range(0, greatest(n_chars, 1), 4000)) AS p FROM a)
+  UNION ALL SELECT doc_id, 2, 1, '{"quality":' || quality || ',"revision":1,"source":' || doc_id || ',"type":"note"}' FROM n SEMI JOIN a USING (doc_id))
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY k, pos) AS place, line FROM l UNION ALL SELECT NULL, 0, '{"schema":"1","scope":"current-state","type":"header"}'""")
+def state_export(t: Tables) -> DataFrame:
+    from ..sources import files
+
+    d = t.documents.where("text is not null").select(F.col("doc_id").alias("source"), "text", "n_chars")
+    artifacts = d.select("source", F.md5("text").alias("version"), F.col("n_chars").alias("chars"))
+    starts = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest("n_chars", F.lit(1)).cast("long"), F.lit(4000).cast("long")), lambda p: p < F.greatest("n_chars", F.lit(1)))
+    parts = d.select("source", "n_chars", F.explode(starts).alias("at")).select("source", "at", F.least(F.col("at") + 4000, F.col("n_chars")).alias("end"))
+    notes = t.labels.groupBy(F.col("doc_id").alias("source")).agg(F.max("quality").alias("quality")).withColumn("revision", F.lit(1))
+    return files.state_lines(artifacts, parts, notes, {"schema": "1", "scope": "current-state"})

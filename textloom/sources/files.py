@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from itertools import zip_longest
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -150,3 +150,28 @@ def json_ld(rows: DataFrame, key: str, kind: str, *fields: str) -> DataFrame:
     """id, line: one JSON-LD object a key (the least row of a repeated key), empty fields left out."""
     value = F.to_json(F.struct(F.concat(F.lit("urn:"), F.col(key).cast("string")).alias("@id"), F.lit(kind).alias("@type"), *[F.when(F.col(f).cast("string") != "", F.col(f)).alias(f) for f in fields]))
     return rows.select(F.col(key).alias("id"), value.alias("line")).groupBy("id").agg(F.min("line").alias("line"))
+
+
+def state_lines(artifacts: DataFrame, parts: DataFrame, notes: DataFrame, header: dict[str, str]) -> DataFrame:
+    """source, place, line: the current state as JSON lines: a header, then each artifact, its parts and its newest note.
+
+    artifacts: source and more; parts: source, at and more; notes: source, revision and more. Keys of a line are sorted; places number the lines of a source; the header's source is null.
+    Parts and notes of no artifact are left out."""
+    spark = artifacts.sparkSession
+
+    def line(df: DataFrame, kind: str, rank: int, order: Column) -> DataFrame:
+        fields = [F.lit(kind).alias("type") if c == "type" else F.col(c) for c in sorted([*df.columns, "type"])]
+        return df.select("source", F.struct(F.lit(rank).alias("kind"), order.cast("long").alias("at")).alias("o"), F.to_json(F.struct(*fields)).alias("line"))
+
+    known = artifacts.select("source").distinct()
+    newest = notes.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("revision")))).where("_k = 1").drop("_k")
+    rows = line(artifacts, "artifact", 0, F.lit(0)).unionByName(line(parts.join(known, "source", "left_semi"), "part", 1, F.col("at"))).unionByName(line(newest.join(known, "source", "left_semi"), "note", 2, F.col("revision")))
+    rows = rows.select("source", F.row_number().over(Window.partitionBy("source").orderBy("o")).cast("long").alias("place"), "line")
+    first = spark.range(1).select(F.lit(None).cast(dict(artifacts.dtypes)["source"]).alias("source"), F.lit(0).cast("long").alias("place"), F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted((header | {"type": "header"}).items())])).alias("line"))
+    return first.unionByName(rows)
+
+
+def write_state(lines: DataFrame, path: str) -> None:
+    """Lines in order over the part files, which the committed writer shows all at once or not at all."""
+    order = [F.col("source").asc_nulls_first(), F.col("place")]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("errorifexists").text(path)
