@@ -39,6 +39,8 @@ def test_verbatim_finds_quotes_without_an_inner_word(spark):
     long = "abcdefghijklmnopqrstuvwxyz" * 2
     quotes = [(1, "incomprehensibility characteristically"), (2, long[3:30]), (3, "-" * 20), (4, "zzzzzzzzzz" * 2), (5, "the inner word of this one is found"), (5, long[5:25])]
     texts = [(k, "é" * k + " " + t) for k in range(12) for t in [f"an incomprehensibility characteristically so {long} and {'-' * 25}\nthe inner word of this one is found"]]
-    got = E.verbatim(spark.createDataFrame(quotes, "q long, quote string"), "q", "quote", spark.createDataFrame(texts, "id long, text string"), "id", "text").collect()
     want = sorted((q, k, t.index(s) + 1) for q, s in quotes for k, t in texts if s in t)
-    assert sorted((r.q, r.id, r["at"]) for r in got) == want and len(want) == 60
+    assert len(want) == 60
+    for held in (0, 1000):  # met on words and blocks; in one pass
+        got = E.verbatim(spark.createDataFrame(quotes, "q long, quote string"), "q", "quote", spark.createDataFrame([*texts, (99, None)], "id long, text string"), "id", "text", held).collect()
+        assert sorted((r.q, r.id, r["at"]) for r in got) == want

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import lines
 from ..functions import text as T
@@ -11,14 +17,54 @@ from ..functions import text as T
 LEAST_QUOTE = 20
 #: Twice this less one is at most LEAST_QUOTE, so any place of a quote covers a whole block.
 BLOCK = 10
+#: Characters of quotes that are sent to every task at most.
+HELD = 1_000_000
+
+
+def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key: str, text: str, held: int = HELD) -> DataFrame:
+    """quote_key, key, at (1-based, of its first place): documents that hold a quote of LEAST_QUOTE characters or more as written.
+
+    Quotes of up to ``held`` characters in all are sent to the texts as one automaton, and each text is read once. Beyond that a quote is found by its longest inner word, which is a whole word of
+    the text too: texts and quotes meet on a term, then the text is searched. One without an inner word meets texts on a block: of LEAST_QUOTE characters, BLOCK stand in one of the blocks that a
+    text is cut into."""
+    asked = quotes.where((F.length(quote) >= LEAST_QUOTE) & F.col(quote_key).isNotNull()).select(quote_key, F.col(quote).alias("_q"))
+    if (asked.agg(F.sum(F.length("_q"))).first()[0] or 0) <= held:
+        return _scanned(asked, quote_key, rows, key, text)
+    return _joined(asked, quote_key, rows, key, text)
+
+
+def _scanned(asked: DataFrame, quote_key: str, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """All quotes (of a bounded size) in one pass over each text."""
+    keys: dict[str, list] = {}
+    for k, q in asked.distinct().collect():
+        keys.setdefault(q, []).append(k)
+    sent = rows.sparkSession.sparkContext.broadcast(keys)
+    df = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = StructType([StructField("quote", asked.schema[quote_key].dataType), df.schema["key"], StructField("at", LongType())])
+    kind = to_arrow_schema(out).field("quote").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for q, ks in sent.value.items():
+            automaton.add_word(q, (q, ks))
+        automaton.make_automaton()
+        for batch in batches:
+            found, places, owner = [], [], []
+            for d, t in enumerate(batch.column("text").to_pylist() if sent.value else []):
+                first: dict[str, tuple[int, list]] = {}
+                for end, (q, ks) in automaton.iter(t or ""):
+                    first.setdefault(q, (end - len(q) + 2, ks))
+                for at, ks in first.values():
+                    found += ks
+                    places += [at] * len(ks)
+                    owner += [d] * len(ks)
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column("key").take(pa.array(owner, pa.int64())), pa.array(places, pa.int64())], names=["quote", "key", "at"])
 
+    return df.mapInArrow(run, out).select(F.col("quote").alias(quote_key), F.col("key").alias(key), "at")
 
-def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """quote_key, key, at (1-based): documents that hold a quote of LEAST_QUOTE characters or more as written.
 
-    A quote is found by its longest inner word, which is a whole word of the text too: texts and quotes meet on a term, then the text is searched.
-    One without an inner word meets texts on a block: of LEAST_QUOTE characters, BLOCK stand in one of the blocks that a text is cut into."""
-    q = quotes.where(F.length(quote) >= LEAST_QUOTE).select(F.col(quote_key), F.col(quote).alias("_q"))
+def _joined(q: DataFrame, quote_key: str, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Quotes of any number, met on words or blocks."""
     # the inner words of a quote are whole terms of a text; the first and last may be cut
     inner = F.expr("slice(_ws, 2, greatest(size(_ws) - 2, 0))")
     q = q.withColumn("_ws", F.regexp_extract_all("_q", F.lit(r"([\p{L}\p{N}]+)"), 1)).withColumn("_in", inner)

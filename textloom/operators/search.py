@@ -90,7 +90,7 @@ def ladder(rows: DataFrame, key: str, text: str, query: str, *groups: str) -> Da
     df = T.apart(rows.select(key, *groups, T.terms(T.norm(F.col(text))).alias("_ts"))).withColumn("step", step)
     df = df.where("step is not null and _m >= 0").drop("_ts", "_m")
     first = df.groupBy(*groups).agg(F.min("step").alias("_first"))
-    return df.join(F.broadcast(first) if groups else first, list(groups)).where("step = _first").drop("_first") if groups else df.crossJoin(first).where("step = _first").drop("_first")
+    return df.join(first, list(groups)).where("step = _first").drop("_first") if groups else df.crossJoin(first).where("step = _first").drop("_first")
 
 
 def _tokens(query: str) -> list[str]:
