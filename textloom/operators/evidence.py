@@ -27,7 +27,7 @@ def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key
     Quotes of up to ``held`` characters in all are sent to the texts as one automaton, and each text is read once. Beyond that a quote is found by its longest inner word, which is a whole word of
     the text too: texts and quotes meet on a term, then the text is searched. One without an inner word meets texts on a block: of LEAST_QUOTE characters, BLOCK stand in one of the blocks that a
     text is cut into."""
-    asked = quotes.where((F.length(quote) >= LEAST_QUOTE) & F.col(quote_key).isNotNull()).select(quote_key, F.col(quote).alias("_q"))
+    asked = quotes.where((F.length(quote) >= LEAST_QUOTE) & F.col(quote_key).isNotNull()).select(quote_key, F.col(quote).alias("_q")).distinct()
     if (asked.agg(F.sum(F.length("_q"))).first()[0] or 0) <= held:
         return _scanned(asked, quote_key, rows, key, text)
     return _joined(asked, quote_key, rows, key, text)
@@ -36,7 +36,7 @@ def verbatim(quotes: DataFrame, quote_key: str, quote: str, rows: DataFrame, key
 def _scanned(asked: DataFrame, quote_key: str, rows: DataFrame, key: str, text: str) -> DataFrame:
     """All quotes (of a bounded size) in one pass over each text."""
     keys: dict[str, list] = {}
-    for k, q in asked.distinct().collect():
+    for k, q in asked.collect():
         keys.setdefault(q, []).append(k)
     sent = rows.sparkSession.sparkContext.broadcast(keys)
     df = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
