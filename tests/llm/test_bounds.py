@@ -118,3 +118,25 @@ def test_query_by_the_plain_field(spark, data):
         g, _ = crf.forward_backward(crf.Layout(language_id.line_lengths(ws)), model.scores(ws), model.transitions)
         mean = g.mean(axis=0)
         assert got[r.doc_id].lang_pred == model.labels[int(mean.argmax())] and got[r.doc_id].score == pytest.approx(float(mean.max()), abs=1e-5)
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_stages_on_empty_and_wide_tables(spark, tmp_path, empty):
+    """All stages in order over rows with nulls, repeats and columns of any name; each keeps the columns, the last gives the token digests."""
+    import corpus_pipeline as P
+
+    docs, benchmark = wide(spark)
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame, names = (docs.limit(0) if empty else docs), docs.columns
+    for k, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == (names if k < 4 else ["doc_id", "start", "n_tokens", "ids_crc32"]), name
+        out.write.parquet(f"{tmp_path}/{k}")
+        before, frame = frame, spark.read.parquet(f"{tmp_path}/{k}")
+        rows = frame.collect()
+        assert bool(rows) != empty, name
+        if k < 4:
+            assert all(r[c] == f"{c}={r['doc_id']}" for r in (dict(zip(names, x)) for x in rows) for c in NAMES), name
+    if not empty:
+        starts = sorted((r.start, r.n_tokens) for r in rows)
+        assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))] and len(rows) == before.count()
