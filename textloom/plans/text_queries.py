@@ -185,3 +185,36 @@ SELECT doc_id, coalesce(changed, 0) AS changed FROM documents LEFT JOIN c USING
 def changed_lines(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "text", F.replace("text", F.lit("that "), F.lit("that\n")).alias("edited"))
     return E.changed_lines(rows, "doc_id", "text", "edited")
+
+
+@query(r"""WITH d AS (SELECT doc_id, 'a `x` b' || chr(10) || '```py' || chr(10) || text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '```' || chr(10) || 'end `' || lang || '` it' END AS t FROM documents WHERE NOT contains(text, '`') AND lang IS NOT NULL),
+f AS (SELECT doc_id, '---' || chr(10) || 'a: ' || source || chr(10) || '---' || chr(10) || text AS t FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, 'code' AS kind, md5(regexp_replace(regexp_replace(t, '(?s)```.*?(```|\z)', '', 'g'), '`[^`\n]*`', '', 'g')) AS left_md5 FROM d
+UNION ALL SELECT f.doc_id, 'front matter', md5(text) FROM f JOIN documents USING (doc_id)""")
+def code_and_front_matter_out(t: Tables) -> DataFrame:
+    d = t.documents
+    code = F.concat(F.lit("a `x` b\n```py\n"), "text", F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("```\nend `"), "lang", F.lit("` it"))))
+    front = F.concat(F.lit("---\na: "), "source", F.lit("\n---\n"), "text")
+    a = d.where(~F.contains("text", F.lit("`")) & F.col("lang").isNotNull()).select("doc_id", F.lit("code").alias("kind"), F.md5(T.strip_code(code)).alias("left_md5"))
+    return a.unionByName(d.where("source is not null and text is not null").select("doc_id", F.lit("front matter").alias("kind"), F.md5(T.strip_front_matter(front)).alias("left_md5")))
+
+
+@query("""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'كتاب ی ' || doc_id || ' ۳٤' ELSE source || doc_id END AS q FROM documents WHERE source IS NOT NULL),
+l AS (SELECT doc_id, q, unnest([translate(q, 'كي', 'کی'), translate(q, 'کی', 'كي')]) AS x FROM q),
+v AS (SELECT doc_id, q AS v FROM q UNION SELECT doc_id, translate(x, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩0123456789', d || d || d) FROM l, (SELECT unnest(['0123456789', '۰۱۲۳۴۵۶۷۸۹', '٠١٢٣٤٥٦٧٨٩']) AS d))
+SELECT doc_id, count(*) AS spellings, md5(string_agg(v, '|' ORDER BY v)) AS all_md5 FROM v GROUP BY doc_id""")
+def query_spellings(t: Tables) -> DataFrame:
+    """All spellings of mixed Persian and Arabic queries, and of plain ones."""
+    q = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("كتاب ی "), "doc_id", F.lit(" ۳٤"))).otherwise(F.concat("source", "doc_id"))
+    v = t.documents.where("source is not null").select("doc_id", F.array_sort(T.variants(q)).alias("v"))
+    return v.select("doc_id", F.size("v").cast("long").alias("spellings"), F.md5(F.array_join("v", "|")).alias("all_md5"))
+
+
+@query("""WITH w AS (SELECT doc_id, (['کتاب', 'دو', 'سنگین', 'شهر'])[doc_id % 4 + 1] || (['', 'ترین', 'های', 'ها', 'ات', 'ان', 'تر', 'ین', 'ی', 'x'])[doc_id % 10 + 1] AS w FROM documents),
+s AS (SELECT doc_id, w, list_filter(['ترین', 'های', 'ها', 'ات', 'ان', 'تر', 'ین', 'ی'], lambda x: ends_with(w, x) AND length(w) - length(x) >= 3)[1] AS x FROM w)
+SELECT doc_id, w AS term, CASE WHEN x IS NULL THEN w ELSE left(w, length(w) - length(x)) END AS stem FROM s""")
+def stemmed_terms(t: Tables) -> DataFrame:
+    roots, ends = ["کتاب", "دو", "سنگین", "شهر"], ["", *T.SUFFIXES, "x"]
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (F.col("doc_id") % n + 1).cast("int"))
+    rows = t.documents.select("doc_id", F.concat(pick(roots, 4), pick(ends, 10)).alias("term"))
+    return rows.select("doc_id", "term", T.stem(F.col("term")).alias("stem"))
