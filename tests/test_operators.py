@@ -128,3 +128,13 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([(3, "c")], schema).coalesce(1).write.mode("append").parquet(src)
     incremental.run_available(incremental.new_files(spark, src, schema), ck, write)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_suffix_join_takes_the_least_ident_of_equal_paths(spark):
+    """Equal paths under several idents, in any order: the least one, never that which came last; null paths and idents name nothing."""
+    from textloom.operators import records as R
+
+    for idents in ([1, 5, 9], [9, 5, 1], [5, 9, 1]):
+        names = spark.createDataFrame([(i, "http://a/x") for i in idents] + [(0, "http://b/x"), (-1, None), (None, "http://a/x")], "ident long, url string").coalesce(1)
+        got = R.by_suffix(spark.createDataFrame([("z/x",), ("z/y",)], "path string"), "path", names, "url", "ident")
+        assert {r.path: r.ident for r in got.collect()} == {"z/x": 1, "z/y": None}

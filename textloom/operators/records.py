@@ -37,10 +37,11 @@ def mentions(rows: DataFrame, key: str, text: str, ids: DataFrame, name: str, pa
 
 
 def by_suffix(rows: DataFrame, path: str, names: DataFrame, full: str, ident: str) -> DataFrame:
-    """Adds ident: of the equal path, else of the least path with the same last part."""
+    """Adds ident: of the equal path, else of the least path with the same last part; of equal paths the least ident."""
     last = lambda c: F.regexp_extract(c, r"([^/]+)/*$", 1)
     exact = names.groupBy(F.col(full).alias("_f")).agg(F.min(ident).alias("_e"))
-    base = names.groupBy(last(F.col(full)).alias("_b")).agg(F.min_by(ident, full).alias("_s"))
+    known = names.where(F.col(full).isNotNull() & F.col(ident).isNotNull())
+    base = known.groupBy(last(F.col(full)).alias("_b")).agg(F.min(F.struct(F.col(full).alias("p"), F.col(ident).alias("i")))["i"].alias("_s"))
     j = rows.join(exact, F.col(path) == F.col("_f"), "left").withColumn("_l", last(F.col(path))).join(base, F.col("_l") == F.col("_b"), "left")
     return j.withColumn(ident, F.coalesce("_e", "_s")).drop("_f", "_e", "_l", "_b", "_s")
 
