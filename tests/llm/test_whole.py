@@ -297,3 +297,22 @@ def test_repeated_rows_get_equal_rows(spark, frame):
     for df in (language_id.identify(twice), secret_scan.scan(twice), decontamination.scan(twice, bench), quality_classifier.classify(twice, spark.createDataFrame([(8, 1), (9, 0)], "doc_id long, quality int"))):
         rows = Counter(map(tuple, df.collect()))
         assert sum(rows.values()) == 2 * frame.count() and all(n % 2 == 0 for n in rows.values())
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """Only texts of over 50,000 characters, which were left out of training before, tell one label from the other; rows in any order, equal scores."""
+    r = np.random.RandomState(6)
+    text = lambda mark: mark.join(r.choice(["thing", "other", "and", "the", "of"], 9_000))
+    rows = [(i, text(" ") if i % 2 else text("!! ")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    assert min(len(t) for _, t in rows) > 30_000 and sum(len(t) > samples.MAX_CHARS for _, t in rows) >= 20
+    runs = [{x.doc_id: (x.score, x.predicted) for x in quality_classifier.classify(spark.createDataFrame(rows[::way], "doc_id long, text string").repartition(n), labels).collect()} for way, n in ((1, 1), (-1, 7))]
+    assert runs[0] == runs[1] and all(runs[0][i][1] == i % 2 for i in range(40))
+
+
+def test_values_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "FEW", 5)
+    r = np.random.RandomState(7)
+    values = np.concatenate([r.standard_normal(300), np.repeat(r.standard_normal(3), 50)])
+    df = spark.createDataFrame([(k % 2, float(x)) for k, x in enumerate(values)], "y int, s double")
+    assert [quality_classifier._ranked(df, k) for k in (0, 200, 449)] == np.sort(values)[[0, 200, 449]].tolist()
