@@ -62,3 +62,21 @@ def test_a_refresh_without_news_writes_no_postings(spark, tmp_path):
     assert tuple(I.refresh(frame(spark, {1: "a b", 2: ""}), "id", "text", path).first()) == (2, 2, 2, 0, 0) and files(path) == n
     I.compact(spark, path)
     assert [k for k, _ in scores(spark, path, "b")] == [1]
+
+
+def test_terms_are_counted_in_their_row(spark, tmp_path):
+    """Counts without a shuffle of terms: one exchange alone, of finished postings, whose tasks stay small."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import index as I
+
+    lists = [None, [], ["a"], sorted("b a b c a b".split()), ["z"] * 5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "key long, terms array<string>")
+    counted = I._counted(df)
+    got = {r.key: (r.size, None if r.terms is None else {(x.term, x.tf) for x in r.terms}) for r in counted.collect()}
+    assert got[0] == (None, None) and got[1] == (0, None)
+    assert all(got[i] == (len(t), set(Counter(t).items())) for i, t in enumerate(lists) if t)
+    each = counted.where("size > 0").select("key", "size", F.inline("terms"))
+    assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()

@@ -19,7 +19,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..sources.store import shared_path
@@ -62,10 +61,22 @@ def _live(log: list[dict]) -> list[tuple[int, dict]]:
     return list(enumerate(log, 1))[first:]
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """terms, an ascending list, as term, tf of its distinct ones, counted in the row (equal terms stand together); adds size, that of the list."""
+    n, t, first = F.size("terms"), F.col("terms"), F.col("_first")
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+    rows = rows.withColumn("_first", F.when(n > 0, places)).withColumn("size", F.when(t.isNotNull(), n.cast("long")))
+    # each place with the next one, or with that behind the end
+    ends = F.concat(F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), F.array(n + 1))
+    return rows.withColumn("terms", F.zip_with(first, ends, lambda a, b: F.struct(F.element_at(t, a).alias("term"), (b - a).cast("long").alias("tf")))).drop("_first")
+
+
 def _write_postings(each: DataFrame, where: str) -> None:
-    """key, len, term, tf by bucket; a bucket is spread by the document over its share of the tasks, so that a term of every document is no one task's work."""
-    parts = max(1, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    each = each.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))).sortWithinPartitions("bucket", "term", "key")
+    """key, len, term, tf by bucket; a bucket is spread by the document over several times its share of the tasks, so that neither a term of every document
+    nor a few buckets that meet are one task's work, and Spark cuts what is still large to its advisory size: a task sorts the same amount whatever the input."""
+    parts = max(1, 4 * int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    each = each.withColumn("bucket", _bucket(F.col("term"))).withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    each = each.hint("rebalance", "bucket", "_part").sortWithinPartitions("bucket", "term", "key").drop("_part")
     each.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(where)
 
 
@@ -81,23 +92,24 @@ def refresh(rows: DataFrame, key: str, text: str, path: str, most: int | None =
         gen, folder, staged = len(log) + 1, uuid.uuid4().hex, shared_path(spark, "index-read")
         base = f"{path}/data/{folder}"
         now = rows.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("_t")).withColumn("fingerprint", F.sha2("_t", 256))
-        if log:
-            old = documents(spark, path, gen - 1).select("key", F.col("fingerprint").alias("_f"), F.col("len").alias("_l"), F.col("since").alias("_g"))
-        else:
-            old = spark.createDataFrame([], T_.StructType([now.schema["key"], *T_._parse_datatype_string("_f string, _l long, _g long").fields]))
         stale = ~F.col("fingerprint").eqNullSafe(F.col("_f"))
         fresh = stale
-        marked = now.join(old, "key", "left")
+        if log:
+            old = documents(spark, path, gen - 1).select("key", F.col("fingerprint").alias("_f"), F.col("len").alias("_l"), F.col("since").alias("_g"))
+            marked = now.join(old, "key", "left")
+        else:  # nothing to join: the texts stay where they are read
+            marked = now.withColumns({c: F.lit(None).cast(k) for c, k in (("_f", "string"), ("_l", "long"), ("_g", "long"))})
         if most is not None:
             picked = marked.where(stale).select("key").orderBy("key").limit(most).withColumn("_picked", F.lit(True))
             marked, fresh = marked.join(F.broadcast(picked), "key", "left"), stale & F.coalesce("_picked", F.lit(False))  # most rows
-        terms = F.when(fresh, T.terms(T.term_key(F.col("_t"))))
-        marked.select("key", "fingerprint", "_f", "_l", "_g", terms.alias("terms"), (stale & ~fresh).alias("behind")).write.parquet(staged)
+        terms = F.when(fresh, F.sort_array(T.terms(T.term_key(F.col("_t")))))
+        marked = marked.select("key", "fingerprint", "_f", "_l", "_g", terms.alias("terms"), (stale & ~fresh).alias("behind"))
+        _counted(marked).write.parquet(staged)
         read = spark.read.parquet(staged)
-        new = read.where("terms is not null").select("key", "fingerprint", F.size("terms").cast("long").alias("len"), F.lit(gen).cast("long").alias("since"))
-        kept = read.where("terms is null and _f is not null").select("key", F.col("_f").alias("fingerprint"), F.col("_l").alias("len"), F.col("_g").alias("since"))
+        new = read.where("size is not null").select("key", "fingerprint", F.col("size").alias("len"), F.lit(gen).cast("long").alias("since"))
+        kept = read.where("size is null and _f is not null").select("key", F.col("_f").alias("fingerprint"), F.col("_l").alias("len"), F.col("_g").alias("since"))
         new.unionByName(kept).write.parquet(f"{base}/documents")
-        each = read.where("size(terms) > 0").select("key", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
+        each = read.where("size > 0").select("key", F.col("size").alias("len"), F.inline("terms"))
         held = spark.read.parquet(f"{base}/documents")
         n, total, indexed = held.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)), F.count_if(F.col("since") == gen)).first()
         lag = read.where("behind").count()
