@@ -138,3 +138,12 @@ def test_suffix_join_takes_the_least_ident_of_equal_paths(spark):
         names = spark.createDataFrame([(i, "http://a/x") for i in idents] + [(0, "http://b/x"), (-1, None), (None, "http://a/x")], "ident long, url string").coalesce(1)
         got = R.by_suffix(spark.createDataFrame([("z/x",), ("z/y",)], "path string"), "path", names, "url", "ident")
         assert {r.path: r.ident for r in got.collect()} == {"z/x": 1, "z/y": None}
+
+
+def test_orphans_meet_each_target_once(spark):
+    """Many edges into one node are one row of the join, not one each."""
+    e = spark.range(500).select(F.col("id").cast("string").alias("src"), F.lit("hub").alias("dst"))
+    got = G.orphans(spark.createDataFrame([("hub",), ("x",), (None,), ("x",)], "node string"), e)
+    assert sorted(str(r.node) for r in got.collect()) == ["None", "x", "x"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti") :]

@@ -109,8 +109,8 @@ def dangling(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, e: DataFrame) -> DataFrame:
-    """Nodes that no edge enters."""
-    return nodes.join(e.select(F.col("dst").alias("node")), "node", "left_anti")
+    """Nodes that no edge enters; the many edges into a node are one row before they meet it."""
+    return nodes.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
 def hrefs(rows: DataFrame, key: str, html: str) -> DataFrame:
