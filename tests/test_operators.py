@@ -147,3 +147,13 @@ def test_orphans_meet_each_target_once(spark):
     assert sorted(str(r.node) for r in got.collect()) == ["None", "x", "x"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("LeftAnti") :]
+
+
+def test_chunks_by_few_rows_and_without_texts(spark):
+    """More rows than a worker holds at once, null and empty texts: the same chunks, with texts or without them."""
+    texts = [None, "", "short", "# a\n\n" + "word. " * 1500] * (C.FEW // 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = C.chunks(df, "id", "text")
+    assert sorted((r.id, r.start_char, r.end_char, r.text) for r in got.collect()) == [(i, a, b, t[a:b]) for i, t in enumerate(texts) for a, b in C.spans(t or "")]
+    bare = C.chunks(df, "id", "text", with_text=False)
+    assert "text" not in bare.columns and sorted(map(tuple, bare.collect())) == sorted(map(tuple, got.drop("text").collect()))

@@ -13,7 +13,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from ..functions import ids
 SOFT, HARD, TAIL, VERSION = 4000, 6000, 400, "chunk-1"
 ENDS = ".!?؟۔…\n"
 SPACES = " \t\r\n\x0b\x0c\x85\xa0\u2028\u2029"
+#: Rows whose texts a worker holds at a time.
+FEW = 64
 
 _HEADING = re.compile(r"^(#{1,6}) ([^\n]*)", re.M)
 _BEHIND_BLANKS = re.compile(r"^(?:[ \t\r]*\n)+(?=[ \t\r]*[^ \t\r\n])", re.M)
@@ -85,21 +87,30 @@ def heading_paths(text: str, starts: list[int]) -> list[list[str]]:
     return out
 
 
-def chunks(rows: DataFrame, key: str, text: str, version: Column | None = None) -> DataFrame:
-    """key, idx, start_char, end_char, heading_path, text (and ``version`` of the whole text) of every chunk; one pass, no shuffle."""
+def chunks(rows: DataFrame, key: str, text: str, version: Column | None = None, with_text: bool = True) -> DataFrame:
+    """key, idx, start_char, end_char, heading_path, text (unless not asked for, and ``version`` of the whole text) of every chunk; one pass, no shuffle.
+
+    A worker holds the texts of FEW rows at a time as objects, not those of a whole batch, and writes no texts that nobody asked for."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t, v in zip(frame["k"], frame["t"], frame["v"]):
-                found = spans(t or "")
-                paths = heading_paths(t, [a for a, _ in found]) if len(found) > 1 else [[]] * len(found)
-                out += [(k, i, a, b, path, t[a:b], v) for i, ((a, b), path) in enumerate(zip(found, paths))]
-            yield pd.DataFrame(out, columns=["k", "idx", "start_char", "end_char", "heading_path", "text", "version"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, FEW):
+                batch = whole.slice(at, FEW)
+                owner, out = [], []
+                for i, t in enumerate(batch.column("t").to_pylist()):
+                    found = spans(t or "")
+                    paths = heading_paths(t, [a for a, _ in found]) if len(found) > 1 else [[]] * len(found)
+                    owner += [i] * len(found)
+                    out += [(k, a, b, path, t[a:b] if with_text else None) for k, ((a, b), path) in enumerate(zip(found, paths))]
+                pick, (idx, start, end, path, part) = pa.array(owner, pa.int64()), zip(*out) if out else [()] * 5
+                columns = [batch.column("k").take(pick), pa.array(idx, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(path, pa.list_(pa.string()))]
+                columns += ([pa.array(part, pa.string())] if with_text else []) + [batch.column("v").take(pick)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "idx", "start_char", "end_char", "heading_path", *(["text"] if with_text else []), "version"])
 
     source = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.lit(None) if version is None else version).cast("string").alias("v"))
-    done = source.mapInPandas(run, f"k {kind}, idx long, start_char long, end_char long, heading_path array<string>, text string, version string").withColumnRenamed("k", key)
+    text_kind = "text string, " if with_text else ""
+    done = source.mapInArrow(run, f"k {kind}, idx long, start_char long, end_char long, heading_path array<string>, {text_kind}version string").withColumnRenamed("k", key)
     return done.drop("version") if version is None else done
 
 

@@ -106,7 +106,7 @@ def chunk_spans(t: Tables) -> DataFrame:
 
 @query("""SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, CASE WHEN coalesce(length(text), 0) <= 4000 THEN least(coalesce(length(text), 0), 1) END::BIGINT AS chunks_if_small, true AS holds FROM documents""")
 def chunk_invariants(t: Tables) -> DataFrame:
-    return C.invariants(t.documents, C.chunks(t.documents, "doc_id", "text").drop("text"), "doc_id", "text")
+    return C.invariants(t.documents, C.chunks(t.documents, "doc_id", "text", with_text=False), "doc_id", "text")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, conv_id || '/' || turn AS ref FROM conversations)
