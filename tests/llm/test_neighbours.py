@@ -133,3 +133,25 @@ def test_normal_distribution():
 
     z = np.linspace(-6, 6, 999)
     assert np.abs(N.normal(z) - [0.5 * (1 + math.erf(x / math.sqrt(2))) for x in z]).max() < 2e-7
+
+
+def test_lists_sent_follow_the_queries_not_the_blocks(spark, monkeypatch):
+    """Vectors without structure, every cell visited: four times the rows in four times the blocks send a query some more lists, not four times as many."""
+    monkeypatch.setattr(N, "fit", lambda *a: N.Setting(2, 1, 1e6, 3, 1.0, 0, 1.0, 1.0))
+    monkeypatch.setattr(N, "BLOCK_NUMBERS", 8 * 256)
+    sent, real = [], N._candidates
+
+    def kept(*a):
+        lists = N.saved(real(*a), "lists")
+        sent.append(lists.select(F.sum(F.size("found"))).first()[0])
+        return lists
+
+    monkeypatch.setattr(N, "_candidates", kept)
+    r, each = np.random.RandomState(3), {}
+    for n in (2000, 8000):
+        rows = {i: [float(v) for v in r.standard_normal(8)] for i in range(n)}
+        sent.clear()
+        assert found(N.search(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), asked())[0]) == by_hand(rows)
+        each[n] = sum(sent) / (n // 20)
+    print(each)
+    assert each[8000] <= 1.8 * each[2000]

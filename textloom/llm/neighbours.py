@@ -10,7 +10,9 @@ that still finds TARGET of them is taken. All rows are indexed. Vectors without
 
 Rows that share a vector are one row with its FEW + 1 smallest ids, as no list needs more; equal query vectors are answered once. So copies, however many, fill no cell.
 Cells that share the first projections of a table are a group; groups are cut into blocks of bounded rows and bounded queries by hash, a query goes once to each block of a group it probes, and a
-block sends the best FEW + 1 rows of each of its queries, never pairs. A query that finds too few rows is answered by an exact scan, in query blocks of bounded size.
+block sends the best FEW + 1 rows of each of its queries, never pairs. The rows are searched in rounds, a block of them first and then GROWTH times as many as before; from the second round on a block
+sends of a query what is no worse than its FEW + 1 best so far. A round then adds some GROWTH lists to a query, so what is sent grows with the logarithm of the blocks, not with their number.
+A query that finds too few rows is answered by an exact scan, in query blocks of bounded size; a task of a scan sends one list a query.
 
 Vectors null, empty, zero or with null or non-finite components take no part, nor do rows of null id. Missing components of a shorter vector count as zero. Rows of one id: the least vector stays. Ties go to the smaller
 id. An empty table, or none of its ids a query, gives an empty result. Extra columns are ignored. Reruns agree (seeds are fixed).
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ HASHES, WIDTHS, PROBES = (2, 4, 6, 8, 10), (1.0, 2.0, 3.0, 4.0), (1, 2, 4, 8, 16
 REACH = 3
 #: Numbers of a block's rows, and its queries; queries of one exact scan.
 BLOCK_NUMBERS, BLOCK_QUERIES, SCAN_QUERIES = 1 << 20, 2048, 512
+#: Rows searched after a round, in times of those before it.
+GROWTH = 4
 LISTED = "array<struct<x: bigint, score: double, ids: array<bigint>>>"
 
 
@@ -176,8 +180,8 @@ def fit(queries: np.ndarray, rows: np.ndarray, near: list[np.ndarray], distance:
     return Setting(s.tables, s.hashes, s.width, s.probes, s.distance, prefix, s.recall, s.work)
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: list[list[int]], keys: np.ndarray, few: int, open_: np.ndarray | None = None) -> Iterator[list[dict]]:
-    """For each query the ``few`` best rows by (score, least id), scored exactly; open_: which rows each query may see."""
+def _best(q: np.ndarray, x: np.ndarray, ids: list[list[int]], keys: np.ndarray, few: int, floors: np.ndarray, open_: np.ndarray | None = None) -> Iterator[list[dict]]:
+    """For each query the ``few`` best rows by (score, least id), scored exactly, that score no less than its floor; open_: which rows each query may see."""
     least = np.array([i[0] for i in ids], np.int64)
     for at in range(0, len(q), 128):
         part = q[at : at + 128]
@@ -187,9 +191,10 @@ def _best(q: np.ndarray, x: np.ndarray, ids: list[list[int]], keys: np.ndarray,
         slack = 1e-9 * np.maximum(1e-300, np.sqrt((part * part).sum(axis=1)) * (np.sqrt((x * x).sum(axis=1)).max() if len(x) else 0))
         for k in range(len(part)):
             row = rough[k]
-            floor = np.partition(row, len(row) - few)[len(row) - few] if len(row) > few else -np.inf
+            floor = max(floors[at + k], np.partition(row, len(row) - few)[len(row) - few] if len(row) > few else -np.inf)
             pick = np.flatnonzero((row >= floor - slack[k]) & (row > -np.inf))
             exact = scores(np.broadcast_to(part[k], (len(pick), x.shape[1])), x[pick])
+            pick, exact = pick[exact >= floors[at + k]], exact[exact >= floors[at + k]]
             order = np.lexsort((least[pick], -exact))[:few]
             yield [{"x": int(keys[i]), "score": float(s), "ids": ids[i]} for i, s in zip(pick[order].tolist(), exact[order].tolist())]
 
@@ -198,15 +203,18 @@ _LISTS = pa.list_(pa.struct([("x", pa.int64()), ("score", pa.float64()), ("ids",
 
 
 def _scan(space: Space, queries):
-    """Each batch's best rows of a bounded set of queries: all pairs are scored."""
+    """Each task's best rows of a bounded set of queries: all pairs are scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, q = queries.value
+        lists: list[list[dict]] = [[] for _ in keys]
         for batch in batches:
             if batch.num_rows:
-                x = vectors_of(batch.column("v"), space.numbers)
-                lists = list(_best(q, x, batch.column("ids").to_pylist(), batch.column("x").to_numpy(), FEW + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, _LISTS)], names=["q", "found"])
+                x, floors = vectors_of(batch.column("v"), space.numbers), np.array([own[-1]["score"] if len(own) > FEW else -np.inf for own in lists])
+                for k, more in enumerate(_best(q, x, batch.column("ids").to_pylist(), batch.column("x").to_numpy(), FEW + 1, floors)):
+                    if more:
+                        lists[k] = sorted(lists[k] + more, key=lambda f: (-f["score"], f["ids"][0]))[: FEW + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, _LISTS)], names=["q", "found"])
 
     return run
 
@@ -232,7 +240,7 @@ def _sampled(spark, vecs: DataFrame, space: Space, total: int, block: int) -> Se
     keys, q = first.column("x").to_numpy(), vectors_of(first.column("v"), space.numbers)
     rows = vectors_of(vecs.orderBy(by_hash, "x").limit(ROWS).select("v").toArrow().column("v"), space.numbers)
     lists = vecs.mapInArrow(_scan(space, spark.sparkContext.broadcast((keys, q))), f"q long, found {LISTED}")
-    near = _top(lists, FEW + 1).where("x != q").join(vecs.select("x", "v"), "x").select("q", "v").toArrow()
+    near = _top(_flat(lists), FEW + 1).where("x != q").join(vecs.select("x", "v"), "x").select("q", "v").toArrow()
     owner, near_vectors = near.column("q").to_numpy(), vectors_of(near.column("v"), space.numbers)
     qs, ns = space.queries(q), space.rows(near_vectors)
     groups = [np.flatnonzero(owner == k) for k in keys.tolist()]
@@ -240,9 +248,14 @@ def _sampled(spark, vecs: DataFrame, space: Space, total: int, block: int) -> Se
     return fit(qs @ matrix, space.rows(rows) @ matrix, [ns[g] @ matrix for g in groups], max(float(np.median(apart)) if len(apart) else 1.0, 1e-6), offset, total, block)
 
 
-def _top(lists: DataFrame, few: int) -> DataFrame:
-    """q, x, score, ids: the best ``few`` rows of each query over all lists."""
-    flat = lists.select("q", F.explode("found").alias("f")).groupBy("q", F.col("f.x").alias("x")).agg(F.max("f.score").alias("score"), F.first("f.ids").alias("ids"))
+def _flat(lists: DataFrame) -> DataFrame:
+    """q, x, score, ids: the rows of all lists."""
+    return lists.select("q", F.explode("found").alias("f")).select("q", "f.*")
+
+
+def _top(flat: DataFrame, few: int) -> DataFrame:
+    """q, x, score, ids: the best ``few`` rows of each query."""
+    flat = flat.groupBy("q", "x").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     return flat.withColumn("r", F.row_number().over(order)).where(F.col("r") <= few).drop("r")
 
@@ -281,16 +294,17 @@ def _query_cells(space: Space, s: Setting, vectors: bool):
                     first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (g[1:] != g[:-1])]))
                     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)), pa.int32()), pa.array(c))
                     pick = pa.array(o[first])
-                    more = [batch.column("x").take(pick), batch.column("v").take(pick), lists] if vectors else []
-                    yield pa.RecordBatch.from_arrays([pa.array(g[first]), *more], names=["g", "x", "v", "cells"] if vectors else ["g"])
+                    more = [*(batch.column(c).take(pick) for c in ("x", "v", "floor")), lists] if vectors else []
+                    yield pa.RecordBatch.from_arrays([pa.array(g[first]), *more], names=["g", "x", "v", "floor", "cells"] if vectors else ["g"])
 
     return run
 
 
 def _block(space: Space):
-    """The best rows of each query of a block among the cells it visits."""
+    """The best rows of each query of a block among the cells it visits; no list without rows."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        keys: list[int] = []
         lists: list[list[dict]] = []
         if rows.num_rows and queries.num_rows:
             x, q = vectors_of(rows.column("v"), space.numbers), vectors_of(queries.column("v"), space.numbers)
@@ -302,29 +316,47 @@ def _block(space: Space):
             hit = known[at] == visit
             visits = np.zeros((len(q), len(known)), np.bool_)
             visits[owner[hit], at[hit]] = True
-            lists = list(_best(q, x, rows.column("ids").to_pylist(), rows.column("x").to_numpy(), FEW + 1, visits[:, of]))
-        keys = queries.column("x") if lists else pa.array([], pa.int64())
-        return pa.table({"q": keys.cast(pa.int64()), "found": pa.array(lists, _LISTS)})
+            own = _best(q, x, rows.column("ids").to_pylist(), rows.column("x").to_numpy(), FEW + 1, queries.column("floor").to_numpy(), visits[:, of])
+            for key, found in zip(queries.column("x").to_pylist(), own):
+                if found:
+                    keys.append(key)
+                    lists.append(found)
+        return pa.table({"q": pa.array(keys, pa.int64()), "found": pa.array(lists, _LISTS)})
 
     return run
 
 
-def _candidates(vecs: DataFrame, space: Space, s: Setting, block: int) -> DataFrame:
-    """q, found: the lists of all blocks."""
+def rounds(total: int, block: int) -> list[tuple[float, float]]:
+    """Shares of the rows that each round begins and ends at: less than a block of rows, then GROWTH times as many."""
+    ends = [1.0 if total <= block else 0.9 * block / total]
+    while ends[-1] < 1:
+        ends.append(min(1.0, ends[-1] * GROWTH))
+    return list(zip([0.0, *ends], ends))
+
+
+def _candidates(vecs: DataFrame, best: DataFrame | None, space: Space, s: Setting, block: int, low: float, high: float) -> DataFrame:
+    """q, found: the lists of all blocks of the rows from share ``low`` to ``high``; best: (q, score) of the FEW + 1 best rows before."""
     asked = vecs.where("is_query").select("x", "v")
     number = vecs.schema["v"].dataType
-    tall = vecs.select("x", "v", "ids")
+    share = F.pmod(F.xxhash64(F.lit(23), "x"), F.lit(1 << 30)) / (1 << 30)
+    tall = vecs.where((share >= low) & (share < high)).select("x", "v", "ids")
+    worst = F.lit(float("-inf"))
+    if best is None:
+        asked = asked.withColumn("floor", worst)
+    else:
+        floors = best.groupBy("q").agg(F.when(F.count(F.lit(1)) > FEW, F.min("score")).alias("floor"))
+        asked = asked.join(floors, F.col("x") == F.col("q"), "left").select("x", "v", F.coalesce("floor", worst).alias("floor"))
     sizes = tall.mapInArrow(_row_cells(space, s, False), "g long").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("rp"))
     loads = asked.mapInArrow(_query_cells(space, s, False), "g long").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("qp"))
     parts = saved(sizes.join(loads, "g"), "groups")
     field = lambda n, t: T.StructField(n, t)
     longs = T.ArrayType(T.LongType())
     rows = tall.mapInArrow(_row_cells(space, s, True), T.StructType([field("g", T.LongType()), field("x", T.LongType()), field("v", number), field("ids", longs), field("cell", T.LongType())]))
-    probes = asked.mapInArrow(_query_cells(space, s, True), T.StructType([field("g", T.LongType()), field("x", T.LongType()), field("v", number), field("cells", longs)]))
+    probes = asked.mapInArrow(_query_cells(space, s, True), T.StructType([field("g", T.LongType()), field("x", T.LongType()), field("v", number), field("floor", T.DoubleType()), field("cells", longs)]))
     split = lambda n: F.pmod(F.xxhash64("x"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = rows.join(parts, "g").select("g", split("rp").alias("a"), every("qp").alias("b"), "x", "v", "ids", "cell")
-    probes = probes.join(parts, "g").select("g", every("rp").alias("a"), split("qp").alias("b"), "x", "v", "cells")
+    probes = probes.join(parts, "g").select("g", every("rp").alias("a"), split("qp").alias("b"), "x", "v", "floor", "cells")
     return rows.groupBy("g", "a", "b").cogroup(probes.groupBy("g", "a", "b")).applyInArrow(_block(space), f"q long, found {LISTED}")
 
 
@@ -346,7 +378,11 @@ def search(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double"), None
     space, block = Space(numbers, norm), max(256, BLOCK_NUMBERS // numbers)
     setting = _sampled(spark, vecs, space, total, block)
-    near = saved(_lists(_top(_candidates(vecs, space, setting, block), FEW + 1)), "near")
+    best = None
+    for low, high in rounds(total, block):  # the first rows are one block in each table, whatever the groups of all rows
+        flat = _flat(_candidates(vecs, best, space, setting if low else replace(setting, prefix=0), block, low, high))
+        best = saved(_top(flat if best is None else flat.unionByName(best), FEW + 1), "best")
+    near = saved(_lists(best), "near")
     short = near.where(F.size("near") >= min(FEW + 1, ids)).select("q")
     short = saved(vecs.where("is_query").select("x", "v").join(short, F.col("x") == F.col("q"), "left_anti"), "short")
     left = short.count()
@@ -357,7 +393,7 @@ def search(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str
             own = short.where(F.pmod(F.xxhash64("x"), F.lit(blocks)) == k).toArrow()
             if own.num_rows:
                 held = spark.sparkContext.broadcast((own.column("x").to_numpy(), vectors_of(own.column("v"), numbers)))
-                near = near.unionByName(saved(_lists(_top(vecs.mapInArrow(_scan(space, held), f"q long, found {LISTED}"), FEW + 1)), "scanned"))
+                near = near.unionByName(saved(_lists(_top(_flat(vecs.mapInArrow(_scan(space, held), f"q long, found {LISTED}")), FEW + 1)), "scanned"))
     lists = vecs.where("is_query").select("x", "v").join(near, F.col("x") == F.col("q")).select("v", "near")
     out = asked.join(lists, "v").select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, FEW).alias("near"))
     out = out.select("query_id", F.posexplode("near").alias("rank", "n"))
