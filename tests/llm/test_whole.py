@@ -226,6 +226,36 @@ def test_mined_rules_equal_every_combination(spark):
     assert n and set(url_filters.mine(df, 0.02, 0.8, 1.2)) == set(want) and len(want) > 2
 
 
+@pytest.mark.parametrize("most", [50_000, 500])
+def test_mined_rules_of_urls_of_many_tokens(spark, monkeypatch, most):
+    """Twelve tokens that tell something come before x and y, which tell nothing but together; also where FP-growth may list few rules."""
+    import itertools
+
+    monkeypatch.setattr(url_filters, "MAX_RULES", most)
+    r, names = random.Random(11), [f"n{k:02}" for k in range(12)] + ["x", "y"]
+    rows = []
+    for k in range(300):
+        v = ("block", "allow")[k % 2]
+        some = ["x", "y"] if v == "block" and k % 4 else r.choice([["x"], ["y"]]) if v == "allow" else []
+        rows.append((r.sample(names[:12], 10 if len(some) == 2 else 4) + some, v if k % 10 else None))
+    n, total, least = sum(v is not None for _, v in rows), len(rows), max(2, int(sum(v is not None for _, v in rows) * 0.05))
+    has = {t: np.array([t in items for items, _ in rows]) for t in names}
+    of = {v: np.array([w == v for _, w in rows]) for v in ("allow", "block")}
+    want = []
+    for size in range(1, len(names) + 1):
+        for body in itertools.combinations(names, size):
+            hit = np.logical_and.reduce([has[t] for t in body])
+            b, c = int((hit & (of["allow"] | of["block"])).sum()), int(hit.sum())
+            for label, its in of.items():
+                a = int((hit & its).sum())
+                if a >= least and a >= 0.8 * b and a * total >= 1.5 * int(its.sum()) * c:
+                    if not any(w[1] == label and w[2] >= a / b and w[0] < set(body) for w in want):
+                        want.append((frozenset(body), label, a / b, a))
+    df = spark.createDataFrame(rows, "_items array<string>, _verdict string")
+    got = url_filters.mine(df, 0.05, 0.8, 1.5)
+    assert n < total and frozenset("xy") in {w[0] for w in want} and set(got) == set(want)
+
+
 def test_urls_of_every_awkward_kind(spark):
     """Repeats, nulls, clashing columns: defined verdicts."""
     df = spark.createDataFrame([(1, "http://x.com/en/1", "q", "z"), (1, "http://x.com/en/1", "q", "z"), (None, None, "q", "z"), (3, "://", "q", "z"), (4, "http:///p", "q", "z"), (5, "", "q", "z")], "page_id long, url string, host string, _items string")

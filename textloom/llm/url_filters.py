@@ -11,9 +11,12 @@ the verdict of the best mined rule, or allow.
 FP-growth lists every combination, so baskets are made short first, without losing a rule that would stay:
 tokens below the support are in no rule; tokens of one and the same set of urls (equal counts and equal sums of
 row hashes) are one item; a token whose urls all have one label, with enough lift, is a rule of its own, which
-prunes every longer one, so it is not mined again. Of what is left a url gives its WIDTH most telling tokens
-(a documented bound of the classifier); confidence, support and lift of every rule are then counted anew over
-all urls. If over MAX_RULES would be collected, the support is doubled until they are not.
+prunes every longer one, so it is not mined again. Of what is left FP-growth gets the WIDTH most telling tokens of
+a url, or fewer if it would list over MAX_RULES rules. What it then can't see are sets that some url of more tokens
+holds; those are mined level by level (``_longer``). Only sets that each lesser one exceeds in urls are extended, as
+any other set has a part with the same counts, which prunes it; so nested urls, of whatever depth, add no combinations.
+Confidence, support and lift of every rule are counted anew over all urls. No combination of tokens is left out. The
+number of sets grows with the tokens a url has and with one in ``min_support``, not with the urls.
 
 Null urls and urls without ``://`` have empty host and path, no tokens, and are allowed. Without labelled urls
 nothing is mined. Equally good rules: the one with more urls, then the one that sorts last. Repeated rows get
@@ -102,6 +105,78 @@ def _counted(rows: DataFrame, rules: list[tuple[frozenset, str]]) -> dict[tuple[
     return {rules[r[0]]: (r[1], r[2], r[3]) for r in out}
 
 
+def _extended(baskets: DataFrame, sets: list[tuple], least: int) -> list:
+    """Rows (s, block, allow, c, cut): the sets that are one of ``sets`` and one later token, with enough urls of a label, at least one of them cut."""
+    tree: dict = {}
+    for own in sets:
+        node = tree
+        for t in own:
+            node = node.setdefault(t, {})
+        node[None] = True
+    sent = baskets.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = sent.value
+
+        def told(n: dict) -> pa.RecordBatch:
+            cols = [pa.array([v[k] for v in n.values()], pa.int64()) for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.list_(pa.int32())), *cols], names=["s", "block", "allow", "c", "cut"])
+
+        for batch in batches:
+            n: dict[tuple, list[int]] = {}
+            for own, verdict, cut in zip(*(batch.column(c).to_pylist() for c in ("own", "_verdict", "cut"))):
+                add, walk = (verdict == "block", verdict == "allow", 1, cut), [(whole, (), 0)]
+                while walk:
+                    node, body, at = walk.pop()
+                    for j in range(at, len(own)):
+                        t = own[j]
+                        if None in node:
+                            have = n.setdefault((*body, t), [0, 0, 0, 0])
+                            for k in range(4):
+                                have[k] += add[k]
+                        if t in node:
+                            walk.append((node[t], (*body, t), j + 1))
+                if len(n) > MAX_RULES:
+                    yield told(n)
+                    n = {}
+            yield told(n)
+
+    out = baskets.mapInArrow(run, "s array<int>, block long, allow long, c long, cut long").groupBy("s").agg(*[F.sum(c).alias(c) for c in ("block", "allow", "c", "cut")])
+    return out.where((F.greatest("block", "allow") >= least) & (F.col("cut") > 0)).collect()
+
+
+def _longer(rows: DataFrame, rank, width: int, holds, least: int) -> list[tuple[frozenset, str]]:
+    """(tokens, label) of the rules whose tokens some labelled url of over ``width`` ranked tokens holds; holds(label, a, b, c): whether it is one.
+
+    Level by level; a set is extended if each lesser one has more urls and no rule of its own is sure, as other sets' extensions are pruned."""
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = rank.value
+        for batch in batches:
+            verdict = batch.column("_verdict")
+            own = [sorted(at[i] for i in set(items or ()) if i in at) for items in batch.column("_items").to_pylist()]
+            cut = [v is not None and len(x) > width for v, x in zip(verdict.to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), verdict, pa.array(cut, pa.bool_())], names=["own", "_verdict", "cut"])
+
+    baskets = saved(rows.mapInArrow(ranked, "own array<int>, _verdict string, cut boolean"), "ranked")
+    if baskets.where("cut").isEmpty():
+        return []
+    names, out, before = list(rank.value), [], {(): -1}
+    while before:
+        keys, level = list(before), {}
+        for k in range(0, len(keys), MAX_RULES):
+            for r in _extended(baskets, keys[k : k + MAX_RULES], least):
+                body = tuple(r.s)
+                parts = [body[:i] + body[i + 1 :] for i in range(len(body))]
+                if all(x in before and before[x] != r.c for x in parts):
+                    rules = {v: a for v, a in (("allow", r.allow), ("block", r.block)) if a >= least and holds(v, a, r.allow + r.block, r.c)}
+                    out += [(frozenset(names[t] for t in body), v) for v in rules]
+                    if r.allow + r.block not in rules.values():
+                        level[body] = r.c
+        before = level
+    return out
+
+
 def mine(df: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[tuple[frozenset, str, float, int]]:
     """(tokens, verdict, confidence, count) rules of a table with _items and _verdict (null where unknown)."""
     from pyspark.ml.fpm import FPGrowth
@@ -114,6 +189,7 @@ def mine(df: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float
     if not n:
         return []
     least = max(2, int(n * min_support))
+    holds = lambda label, a, b, c: a >= min_confidence * b and a * total >= min_lift * totals.get(label, 0) * c
     # one row a token with enough support: at most (tokens a url) / min_support of them
     numbered = rows.withColumn("_r", F.xxhash64(F.monotonically_increasing_id()))
     stats = numbered.select(F.explode("_items").alias("t"), "_verdict", "_r").groupBy("t").agg(
@@ -127,28 +203,34 @@ def mine(df: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float
             sets.setdefault((r.c, r.x, r.y), []).append((r.t, abs(r.blocked / r.c - totals.get("block", 0) / total)))
     mixed = {min(ts)[0]: ts[0][1] for ts in sets.values()}
     if mixed:
-        # tokens by how telling they are, so that the first WIDTH of a url are its most telling ones
+        # tokens by how telling they are, so that the first of a url are its most telling ones
         rank = spark.sparkContext.broadcast({t: k for k, t in enumerate(sorted(mixed, key=lambda t: (-mixed[t], t)))})
 
-        def basket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = rank.value
-            for batch in batches:
-                out = [sorted((i for i in items if i in at), key=at.get)[:WIDTH] + [_LABEL + v] for items, v in zip(batch.column("_items").to_pylist(), batch.column("_verdict").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
+        def baskets(width: int) -> DataFrame:
+            def basket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                at = rank.value
+                for batch in batches:
+                    out = [sorted((i for i in items if i in at), key=at.get)[:width] + [_LABEL + v] for items, v in zip(batch.column("_items").to_pylist(), batch.column("_verdict").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
+
+            return known.mapInArrow(basket, "items array<string>")
 
-        baskets = known.mapInArrow(basket, "items array<string>")
+        width = WIDTH
         while True:
-            model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=min_confidence).fit(baskets)
+            # a little less than both limits, which are held against exact counts below
+            model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence - 1e-9).fit(baskets(width))
             rules = saved(model.associationRules.where(F.col("consequent")[0].startswith(_LABEL)).select("antecedent", F.col("consequent")[0].alias("label")), "rules")
-            if rules.count() <= MAX_RULES:
+            if rules.count() <= MAX_RULES or width == 1:
                 break
-            least *= 2
+            width //= 2  # what longer ones hold is left to _longer
         found += [(frozenset(r.antecedent), r.label[len(_LABEL) :]) for r in rules.collect()]
+        found += _longer(rows, rank, width, holds, least)
     found = sorted(set(found), key=lambda r: (sorted(r[0]), r[1]))
     out = []
-    for (body, label), (a, b, c) in _counted(rows, found).items():
-        if a >= least and a >= min_confidence * b and a * total >= min_lift * totals.get(label, 0) * c:
-            out.append((body, label, a / b, a))
+    for k in range(0, len(found), MAX_RULES):
+        for (body, label), (a, b, c) in _counted(rows, found[k : k + MAX_RULES]).items():
+            if a >= least and holds(label, a, b, c):
+                out.append((body, label, a / b, a))
     # a rule that a part of it already makes, at no less confidence, is pruned
     out.sort(key=lambda r: (len(r[0]), -r[2], -r[3], sorted(r[0])))
     kept: list = []
